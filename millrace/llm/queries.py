@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, ngram_join, packing, pii, quality
+from . import embed_dedup, mixing, ngram_join, packing, pii, quality, substring
 from .common import read
 
 
@@ -29,6 +29,14 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer=tokenizer, ranks=ranks)
 
 
+def op5_sorted_projection_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
+def op8_sliding_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup(read(spark, sf_dir, "documents"))
+
+
 def op9_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -41,6 +49,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_surrogates": op1_pii_surrogates,
     "op2_weighted_fair_mix": op2_weighted_fair_mix,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op5_sorted_projection_passes": op5_sorted_projection_passes,
+    "op8_sliding_sentence_spans": op8_sliding_sentence_spans,
     "op9_importance_resampling": op9_importance_resampling,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
