@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embed_dedup, mixing, ngram_join, packing, pii, quality, substring
+from . import embed_dedup, matroska, mixing, ngram_join, packing, pii, preference, quality, substring, toxicity
 from .common import read
 
 
@@ -29,10 +29,22 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer=tokenizer, ranks=ranks)
 
 
+def op4_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op5_sorted_projection_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
+def op6_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.texts_as_media(read(spark, sf_dir, "documents"))
+
+
+def op7_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference.preference_table(read(spark, sf_dir, "conversations"))
+
+
 def op8_sliding_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup(read(spark, sf_dir, "documents"))
 
@@ -49,7 +61,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_surrogates": op1_pii_surrogates,
     "op2_weighted_fair_mix": op2_weighted_fair_mix,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_weak_supervision": op4_weak_supervision,
     "op5_sorted_projection_passes": op5_sorted_projection_passes,
+    "op6_matroska": op6_matroska,
+    "op7_preference_formatting": op7_preference_formatting,
     "op8_sliding_sentence_spans": op8_sliding_sentence_spans,
     "op9_importance_resampling": op9_importance_resampling,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
