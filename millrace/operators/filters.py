@@ -81,7 +81,7 @@ def tercile_segment(df: DataFrame, column: str, segment: str = "all", low: float
 
 def lag_sources(t: DataFrame, targets: DataFrame, max_lag: int, period: int) -> DataFrame:
     """Rows of t that some target could read at a lag of 1..max_lag periods."""
-    wanted = targets.select((F.col("t") - F.explode(F.sequence(F.lit(1), F.lit(max_lag))) * period).alias("t")).distinct()
+    wanted = targets.select("t", F.explode(F.sequence(F.lit(1), F.lit(max_lag))).alias("k")).select((F.col("t") - F.col("k") * period).alias("t")).distinct()
     return t.join(wanted, "t", "left_semi")
 
 

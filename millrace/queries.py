@@ -1,10 +1,495 @@
-"""Registry of queries and of the SQL that checks them."""
+"""The queries of the screening engine, each over whole tables; oracles.py has their SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from . import frames
+from .frames import CONTROL, MAX_LAG, PERIOD, TARGET, VARIABLES
+from .operators import association, axis, causality, charts, filters, joins, preprocess, quality, ranking, residual, review, stability, validation
+from .oracles import ORACLE_SQL
+from .plans.screening import Config, confirm, screen
+from .sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def r6(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+def windows(wide: DataFrame) -> list[dict]:
+    first = wide.agg(F.min("t")).first()[0]
+    return [{"start": first + 7200, "end": first + 36000}, {"start": first + 72000, "end": first + 90000}]
+
+
+def target_times(h: DataFrame) -> DataFrame:
+    return h.where((F.col("variable") == TARGET) & F.col("value").isNotNull()).select("t")
+
+
+def scores(h: DataFrame) -> DataFrame:
+    return association.lag_scores(h, TARGET, MAX_LAG, PERIOD)
+
+
+@query
+def exclude_windows_stats(spark, sf):
+    wide = frames.hourly_wide(spark, sf)
+    return r6(filters.exclusion_stats(wide, windows(wide)), "ratio")
+
+
+@query
+def exclude_conditions(spark, sf):
+    rules = [{"column": "click", "operator": ">", "value": 60}, {"column": "error", "operator": "<", "value": 20}]
+    return r6(filters.exclude(frames.hourly_wide(spark, sf), rules=rules).select("t", "click", "error"), "click", "error")
+
+
+@query
+def exclusion_gap_starts(spark, sf):
+    wide = frames.hourly_wide(spark, sf)
+    return filters.gap_starts(wide, filters.window_mask(windows(wide)))
+
+
+@query
+def dedupe_keep_last(spark, sf):
+    e = frames.read(spark, sf, "events").select(F.col("ts").cast("date").cast("timestamp_ntz").alias("day"), "event_id", "value")
+    return r6(tables.load_series(e, "day", "event_id").select("t", "event_id", "value"), "value")
+
+
+@query
+def duplicate_timestamps(spark, sf):
+    return tables.duplicate_times(frames.read(spark, sf, "lineitem"), "l_shipdate")
+
+
+@query
+def tercile_segment(spark, sf):
+    return r6(filters.tercile_segment(frames.hourly_wide(spark, sf), CONTROL, "mid").select("t", CONTROL), CONTROL)
+
+
+@query
+def column_admission(spark, sf):
+    return r6(filters.column_admission(frames.hourly(spark, sf), F.count(F.lit(1)), 0.93, [TARGET]), "valid_ratio")
+
+
+@query
+def lag_source_mask(spark, sf):
+    wide = frames.hourly_wide(spark, sf)
+    return filters.lag_sources(wide.select("t"), wide.where(F.col(CONTROL) > 60).select("t"), 3, PERIOD)
+
+
+@query
+def sample_period(spark, sf):
+    return axis.sample_period(target_times(frames.hourly(spark, sf)))
+
+
+@query
+def segment_ids_exact(spark, sf):
+    return axis.segment_ids(target_times(frames.hourly(spark, sf)), PERIOD)
+
+
+@query
+def segment_ids_tolerant(spark, sf):
+    return axis.segment_ids(target_times(frames.hourly(spark, sf)), PERIOD, tolerance=2.5)
+
+
+@query
+def resample_median(spark, sf):
+    return r6(axis.resample(frames.hourly(spark, sf), 10800), "value")
+
+
+@query
+def interpolate_time(spark, sf):
+    return r6(preprocess.interpolate(frames.hourly(spark, sf), 2), "value")
+
+
+@query
+def ffill_limit(spark, sf):
+    return r6(preprocess.forward_fill(frames.hourly(spark, sf), 2), "value")
+
+
+@query
+def standardize(spark, sf):
+    return r6(preprocess.standardize(frames.hourly(spark, sf)).select("t", "variable", "value"), "value")
+
+
+@query
+def lowpass(spark, sf):
+    return r6(preprocess.lowpass(frames.hourly(spark, sf), 90.0), "value")
+
+
+@query
+def detrend_centered(spark, sf):
+    return r6(preprocess.detrend_centered(frames.hourly(spark, sf), 8), "value")
+
+
+@query
+def detrend_trailing(spark, sf):
+    return r6(preprocess.detrend_trailing(frames.hourly(spark, sf), 8), "value")
+
+
+@query
+def diff_segment(spark, sf):
+    h = frames.hourly(spark, sf)
+    s = axis.segment_ids(target_times(h), PERIOD)
+    return r6(preprocess.difference(h.join(s, "t"), 1, ["segment"]).select("t", "variable", "value"), "value")
+
+
+@query
+def diff_interval(spark, sf):
+    h = frames.hourly(spark, sf)
+    s = axis.segment_ids(target_times(h), PERIOD, tolerance=1.5)
+    k = preprocess.diff_interval(150, PERIOD)
+    return r6(preprocess.difference(h.join(s, "t"), k, ["segment"]).select("t", "variable", "value"), "value")
+
+
+@query
+def lag_pearson(spark, sf):
+    return r6(scores(frames.hourly(spark, sf)).select("variable", "lag", "n", "pearson"), "pearson")
+
+
+@query
+def lag_spearman(spark, sf):
+    return r6(scores(frames.hourly(spark, sf)).select("variable", "lag", "n", "spearman"), "spearman")
+
+
+@query
+def lag_p_and_q_values(spark, sf):
+    return association.with_q_values(association.with_p_values(scores(frames.hourly(spark, sf)))).select("variable", "lag", "pearson_p", "spearman_p", "pearson_q", "spearman_q")
+
+
+@query
+def bh_adjust(spark, sf):
+    p = scores(frames.hourly(spark, sf)).select("variable", "lag", (1 - F.col("abs_pearson")).alias("p"))
+    return r6(association.benjamini_hochberg(p, "p", "q"), "p", "q")
+
+
+@query
+def best_lag(spark, sf):
+    return r6(association.best_lags(scores(frames.hourly(spark, sf))).select("variable", "lag", "n", "score", "method", "direction"), "score")
+
+
+@query
+def lag_peak_quality(spark, sf):
+    p = association.peak_quality(scores(frames.hourly(spark, sf)), MAX_LAG)
+    return r6(p.select("variable", "best_lag", "best_score", "peak_prominence", "lag_quality", "temporal_direction_status"), "best_score", "peak_prominence", "lag_quality")
+
+
+@query
+def diagnostics(spark, sf):
+    return r6(quality.diagnostics(frames.hourly(spark, sf)), "missing_rate", "abnormal_jump_ratio", "robust_outlier_ratio", "saturation_ratio")
+
+
+@query
+def data_quality_score(spark, sf):
+    return quality.diagnostics(frames.hourly(spark, sf)).select("variable", F.round(quality.quality_score(), 6).alias("data_quality_score"))
+
+
+@query
+def residual_corr(spark, sf):
+    out = residual.residual_corr(frames.hourly_wide(spark, sf), TARGET, [v for v in VARIABLES if v not in (TARGET, CONTROL)], [CONTROL], MAX_LAG, PERIOD)
+    return r6(out.drop("residual_status"), "residual_corr")
+
+
+@query
+def residual_corr_many_controls(spark, sf):
+    return residual.residual_corr(frames.hourly_wide(spark, sf), TARGET, ["click", "error"], [CONTROL, "signup"], MAX_LAG, PERIOD)
+
+
+@query
+def regime_scores(spark, sf):
+    return r6(stability.regime_scores(frames.hourly(spark, sf), TARGET, CONTROL, MAX_LAG, PERIOD), "score", "signed_corr")
+
+
+@query
+def regime_robustness(spark, sf):
+    out = stability.regime_robustness(stability.regime_scores(frames.hourly(spark, sf), TARGET, CONTROL, MAX_LAG, PERIOD), MAX_LAG)
+    columns = ["regime_strength_consistency", "regime_sign_consistency", "regime_lag_consistency", "regime_stability_final"]
+    return r6(out.select("variable", "regime_count", *columns, "regime_evidence_status", "regime_sign_reversal_flag"), *columns)
+
+
+def rolling(spark, sf):
+    h = frames.hourly(spark, sf)
+    best = association.best_lags(scores(h)).select("variable", "lag")
+    pairs = axis.lagged_pairs(h, TARGET, list(range(-MAX_LAG, MAX_LAG + 1)), PERIOD).join(best, ["variable", "lag"]).select("variable", "t", "x", "y")
+    return stability.rolling_correlations(axis.segment_ids(pairs, PERIOD, keys=["variable"]), 24, 12)
+
+
+@query
+def rolling_corr(spark, sf):
+    return r6(rolling(spark, sf), "r")
+
+
+@query
+def rolling_stability(spark, sf):
+    out = stability.rolling_stability(rolling(spark, sf))
+    return r6(out.select("variable", "rolling_corr_median", "rolling_sign_consistency", "valid_window_count", "rolling_stability"), "rolling_corr_median", "rolling_sign_consistency", "rolling_stability")
+
+
+@query
+def innovation(spark, sf):
+    h = frames.hourly(spark, sf)
+    out = association.innovation(h, TARGET, association.best_lags(scores(h)), MAX_LAG, PERIOD)
+    return r6(out.select("variable", "raw_lag", "innovation_lag", "innovation_score", "innovation_verified"), "innovation_score")
+
+
+@query
+def redundant_pairs(spark, sf):
+    return r6(association.redundant_pairs(frames.hourly(spark, sf), TARGET), "r")
+
+
+def scored(spark, sf):
+    return ranking.score_components(frames.rules(spark, sf))
+
+
+def used(spark, sf):
+    return ranking.recommended_use(ranking.risk_flags(scored(spark, sf)))
+
+
+@query
+def score_components(spark, sf):
+    columns = ["base_score", "support_bonus_rate", "stability_support", "evidence_score", "final_score"]
+    return r6(scored(spark, sf).select("part", *columns), *columns)
+
+
+@query
+def risk_flags(spark, sf):
+    return used(spark, sf).select("part", "risk_flags", "risk_count", "strong_risk_count", "risk_level")
+
+
+@query
+def grade_use(spark, sf):
+    return used(spark, sf).select("part", "candidate_grade", "recommended_use")
+
+
+@query
+def risk_flag_filter(spark, sf):
+    return filters.with_risk_flags(used(spark, sf), ["lag_boundary", "formula_like"]).select("part")
+
+
+@query
+def control_reference(spark, sf):
+    return frames.rules(spark, sf).select("part", filters.control_reference(F.col("variable")).alias("reference"))
+
+
+@query
+def initial_order(spark, sf):
+    return ranking.rank_rows(scored(spark, sf), ranking.initial_order(), "driver_rank").select("part", F.col("driver_rank").cast("long").alias("driver_rank"))
+
+
+def pooled(spark, sf):
+    u = used(spark, sf)
+    res = u.select("variable", "residual_corr", "residual_lag_quality", F.col("residual_n"), "residual_status")
+    return ranking.recommended_pool(u, res, 20, ["v3", "v31"]), res
+
+
+@query
+def recommended_pool(spark, sf):
+    return pooled(spark, sf)[0].select("part", "candidate_source", "selected_by_raw", "selected_by_residual", "common_capacity_candidate_flag", F.col("candidate_pool_rank").cast("long").alias("candidate_pool_rank"))
+
+
+@query
+def priority_tiers(spark, sf):
+    pool, res = pooled(spark, sf)
+    out = ranking.priority_tiers(pool, res).select("part", "load_adjusted_relation_status", "candidate_priority_tier", "candidate_priority_score", F.col("candidate_priority_rank").cast("long").alias("candidate_priority_rank"))
+    return r6(out, "candidate_priority_score")
+
+
+@query
+def review_tier(spark, sf):
+    return review.review_candidates(used(spark, sf)).select("part", "review_priority")
+
+
+@query
+def review_decision(spark, sf):
+    return used(spark, sf).select("part", review.review_decision().alias("decision"))
+
+
+@query
+def evidence_score(spark, sf):
+    points = used(spark, sf).drop("evidence_score").withColumn("evidence_score", F.round(review.evidence_points(), 9))
+    return points.select("part", F.round("evidence_score", 6).alias("points"), review.evidence_level().alias("evidence_level"))
+
+
+@query
+def evidence_matrix(spark, sf):
+    r = frames.rules(spark, sf).select(F.col("part").cast("string").alias("variable"), "part", "lift_status")
+    g = r.where("part % 3 = 0").select("variable", F.lit("supported").alias("state"))
+    lift = r.where("part % 2 = 0").select("variable", F.col("lift_status").alias("state"))
+    out = review.evidence_matrix(r, {"granger": g, "model": None, "lift": lift})
+    return out.select(F.col("variable").cast("long").alias("part"), "granger", "model", "lift")
+
+
+@query
+def validation_summary(spark, sf):
+    states = frames.rules(spark, sf).selectExpr(
+        "part", "case part % 4 when 0 then 'supported' when 1 then 'zero' when 2 then 'missing' else 'not_run' end as a",
+        "case part % 3 when 0 then 'supported' when 1 then 'no_support' else 'not_run' end as b", "case part % 2 when 0 then 'supported' else 'not_run' end as c",
+    )
+    status, consistency = review.validation_status(["a", "b", "c"])
+    return states.select("part", status.alias("validation_status"), consistency.alias("evidence_consistency"))
+
+
+@query
+def final_review(spark, sf):
+    pick = lambda names, n: F.element_at(F.array(*[F.lit(x) for x in names]), (F.col("part") % n + 1).cast("int"))
+    d = scored(spark, sf).withColumns({"decision": pick(["priority_review", "secondary_review", "manual_review_only", "not_recommended", "other"], 5), "data_priority": pick(["high", "medium", "low"], 3)})
+    return review.final_order(d).select("part", F.col("final_rank").cast("long").alias("final_rank"))
+
+
+@query
+def fill_missing_join(spark, sf):
+    c = frames.read(spark, sf, "customer").selectExpr("c_custkey", "case when c_custkey % 3 = 0 then ' ' when c_custkey % 3 = 1 then null else c_mktsegment end as label")
+    o = frames.read(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderpriority").alias("label"), "o_orderkey")
+    return joins.fill_missing(c, o, "c_custkey", ["label"], "o_orderkey", blank=True)
+
+
+def two_rankings(spark, sf):
+    r = frames.rules(spark, sf)
+    rank = lambda c: F.row_number().over(Window.orderBy(F.desc(c), "part")).cast("long").alias("rank")
+    return r, rank
+
+
+@query
+def branch_comparison(spark, sf):
+    r, rank = two_rankings(spark, sf)
+    a = r.where("part % 10 <> 0").select("variable", rank("raw_corr"), "lag", F.col("raw_corr").alias("score"))
+    b = r.where("part % 10 <> 1").select("variable", rank("lag_quality"), (-F.col("lag")).alias("lag"), F.col("lag_quality").alias("score"))
+    out = joins.compare_branches(a, b, 20)
+    out = out.withColumns({c: F.col(c).cast("double") for c in ("lag_delta", "rank_delta")})
+    return r6(out.select("variable", "presence", "score_delta", "lag_delta", "rank_delta", "direction_changed", "in_raw_top", "in_processed_top"), "score_delta")
+
+
+@query
+def occurrence_join(spark, sf):
+    line = frames.read(spark, sf, "lineitem").select(F.col("l_suppkey").alias("k"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("i"), "l_linenumber")
+    return joins.occurrence_join(line.where("l_linenumber = 1").select("k", "i"), line.where("l_linenumber = 2").select("k", F.col("i").cast("double").alias("j")), "k", "i", "j")
+
+
+@query
+def topk_overlap(spark, sf):
+    r, rank = two_rankings(spark, sf)
+    return joins.topk_overlap(r.select("variable", rank("raw_corr")), r.select("variable", rank("lag_quality")), [10, 20, 30])
+
+
+def splits(wide: DataFrame) -> list[validation.Split]:
+    return validation.expanding_splits(wide.count(), gap=2)
+
+
+@query
+def expanding_splits(spark, sf):
+    return validation.split_table(spark, splits(frames.hourly_wide(spark, sf)))
+
+
+@query
+def fold_context(spark, sf):
+    wide = frames.hourly_wide(spark, sf).select("t")
+    return r6(validation.fold_context(validation.fold_rows(wide, splits(wide))), "minutes")
+
+
+FEATURES = [(TARGET, 1), ("click", 2), ("view", 5)]
+
+
+@query
+def lag_features(spark, sf):
+    return r6(validation.lag_features(frames.hourly_wide(spark, sf), FEATURES, PERIOD), *[f"{v}__lag_{k}" for v, k in FEATURES])
+
+
+@query
+def fold_errors(spark, sf):
+    pairs = validation.lag_features(frames.hourly_wide(spark, sf), [(TARGET, 1)], PERIOD).join(frames.hourly_wide(spark, sf).select("t", TARGET), "t")
+    p = pairs.select(F.expr("cast(t div 604800 % 3 as int)").alias("fold"), F.col(TARGET).alias("actual"), F.col(f"{TARGET}__lag_1").alias("predicted")).dropna()
+    return r6(validation.fold_errors(p, ["fold"]), "rmse", "mae", "r2")
+
+
+@query
+def uplift_summary(spark, sf):
+    m = frames.read(spark, sf, "part").selectExpr("concat('v', p_partkey % 50) as variable", "(p_partkey * 7 % 41) / 2.0D - 8 as rmse_improvement_pct", "(p_partkey * 11 % 37) / 2.0D - 7 as mae_improvement_pct")
+    columns = ["positive_rmse_fold_ratio", "median_rmse_improvement_pct", "median_mae_improvement_pct", "worst_fold_rmse_improvement_pct"]
+    return r6(validation.uplift_summary(m).select("variable", "fold_count", "positive_rmse_fold_count", "positive_mae_fold_count", *columns, "validation_status"), *columns)
+
+
+@query
+def variable_importance(spark, sf):
+    f = frames.read(spark, sf, "part").selectExpr("concat('v', p_partkey % 40, '__lag_', p_partkey) as feature", "(p_partkey * 13 % 1009) / 1009.0D as importance")
+    return r6(validation.variable_importance(f).drop("best_feature"), "total_importance", "max_importance")
+
+
+@query
+def trend_stats(spark, sf):
+    return r6(charts.trend_stats(frames.hourly(spark, sf)), "mean", "sd", "lo", "hi", "median", "span", "known_ratio")
+
+
+@query
+def histogram(spark, sf):
+    return charts.histogram(frames.hourly(spark, sf))
+
+
+@query
+def downsample(spark, sf):
+    return r6(axis.downsample(frames.hourly_wide(spark, sf).select("t", "purchase"), 100), "purchase")
+
+
+@query
+def scatter_matrix(spark, sf):
+    return r6(charts.scatter_matrix(frames.hourly_wide(spark, sf), ["click"], ["purchase", "view"]), "x", "y")
+
+
+@query
+def lag_profile(spark, sf):
+    return r6(charts.lag_profile(scores(frames.hourly(spark, sf)), "click"), "pearson", "spearman")
+
+
+@query
+def granger(spark, sf):
+    return causality.granger(frames.hourly(spark, sf), TARGET, 3, PERIOD)
+
+
+@query
+def conditional_granger(spark, sf):
+    return causality.conditional_granger(frames.hourly(spark, sf), TARGET, [CONTROL], 3, PERIOD)
+
+
+@query
+def model_lift(spark, sf):
+    h = frames.hourly(spark, sf)
+    return causality.model_lift(h, TARGET, association.best_lags(scores(h)), MAX_LAG, PERIOD)
+
+
+@query
+def forest_importance(spark, sf):
+    wide = frames.hourly_wide(spark, sf)
+    rows = validation.lag_features(wide, FEATURES, PERIOD).join(wide.select("t", TARGET), "t")
+    return validation.forest_importance(rows, [f"{v}__lag_{k}" for v, k in FEATURES], TARGET)
+
+
+@query
+def boosted_folds(spark, sf):
+    wide = frames.hourly_wide(spark, sf)
+    rows = validation.lag_features(wide, FEATURES, PERIOD).join(wide.select("t", TARGET), "t").dropna()
+    return validation.boosted_folds(rows, [f"{v}__lag_{k}" for v, k in FEATURES], TARGET, validation.expanding_splits(rows.count(), gap=2), rounds=5)
+
+
+@query
+def screening(spark, sf):
+    s = screen(frames.hourly_wide(spark, sf), Config(TARGET, MAX_LAG, controls=(CONTROL,), capacity=CONTROL))
+    return s.ranked.select("driver_rank", "variable", "lag", "final_score", "candidate_grade", "recommended_use", "risk_flags")
+
+
+@query
+def review_queue(spark, sf):
+    config = Config(TARGET, MAX_LAG, controls=(CONTROL,), capacity=CONTROL)
+    return confirm(screen(frames.hourly_wide(spark, sf), config), config)["review"].select("variable", "review_priority", "conditional_status", "conditional_q", "decision")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_lag(spark, sf_dir).orderBy(F.desc("score")).limit(20)
+
+
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
