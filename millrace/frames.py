@@ -68,19 +68,16 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select(seconds_of(F.col("ts")).alias("t"), F.col("event_type").alias("variable"), "value", "event_id")
 
 
-def hourly_known(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir)
-    return e.groupBy((F.col("t") - F.pmod("t", F.lit(PERIOD))).alias("t"), "variable").agg(F.median("value").alias("value"))
-
-
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """t, variable, value with nulls: unpivot(pivot) over the known medians, in one pass."""
+    """t, variable, value with nulls where an hour has no such event."""
     wide = hourly_wide(spark, sf_dir)
     return wide.select("t", F.inline(F.array(*[F.struct(F.lit(v).alias("variable"), F.col(v).alias("value")) for v in VARIABLES])))
 
 
 def hourly_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hourly_known(spark, sf_dir).groupBy("t").pivot("variable", VARIABLES).agg(F.first("value"))
+    """t and a median a variable: the pivot and the medians are one aggregation, so one shuffle."""
+    e = events(spark, sf_dir).withColumn("t", F.col("t") - F.pmod("t", F.lit(PERIOD)))
+    return e.groupBy("t").agg(*[F.median(F.when(F.col("variable") == v, F.col("value"))).alias(v) for v in VARIABLES])
 
 
 def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
