@@ -7,6 +7,7 @@ executor only means that its tasks run again.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -50,6 +51,13 @@ def forget(df: DataFrame) -> None:
         if "/millrace-" in folder:
             path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    tidy(spark)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of jobs that have ended: it learns of them from garbage collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def free_name(df: DataFrame, name: str) -> str:

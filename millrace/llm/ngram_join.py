@@ -1,20 +1,20 @@
 """N-gram Jaccard self-join: documents link when the Jaccard similarity of their shingle sets is at least `percent`/100.
 
-Documents with equal sets form a class at once; from there on only class
-representatives are compared. Two sets that link share one of the first
-floor(0.2 n) + 1 shingles of each under any one global order (at 80 %), so those
-shingles are the keys of tiles, and sizes and places within the tile bound the
-overlap from above (size bands). Bitmap signatures bound it once more, by the
-bits that one set has and the other lacks; what is left is compared exactly, as
-sorted arrays.
-
-A tile's documents are first compared with one leader. Links found so merge
-most copies; after that only pairs of a tile that are not yet in one component
-are compared, so a group of near copies costs in proportion to its size,
-and no pair that could change a component is left out. Shingles that very many
-documents share come last in the global order (found by sums of what tasks see
-often; they only move the order, never the result), so common passages make no
-large tiles.
+Documents with equal sets form a class at once (a set is known by 64-bit
+hashes); from there on only classes are compared. Two different sets that link
+share SHARED of the first floor(0.2 n) + SHARED shingles of each under any one
+global order (at 80 %), so those shingles are the keys of tiles, and sizes and
+places within the tile bound the overlap from above (size bands). Bitmap
+signatures bound it once more, by the bits that one set has and the other lacks;
+what is left is compared exactly, as sorted arrays.
+
+A tile's classes are first compared with one leader, the first of one of LEADERS
+orders that take turns from tile to tile. Links found so merge most copies; after that only
+pairs of a tile that are not yet in one component are compared, so a group of
+near copies costs in proportion to its size, and no pair that could change a
+component is left out. Shingles that very many documents share come last in the
+global order (found by sums of what tasks see often; they only move the order,
+never the result), so common passages make no large tiles.
 
 Defined results: a null or empty text, or one without words, has an empty set
 and links with nothing; fewer than k words make one shingle; rows that share a
@@ -34,10 +34,13 @@ from pyspark.sql import functions as F
 from .common import durable, forget, mix, shingle_sets, signed
 from .components import components
 
-#: A shingle of this share of a task's documents counts as common there ...
-COMMON_SHARE = 0.002
+#: A shingle of this share of a task's documents (and of 3 at least) counts as common there ...
+COMMON_SHARE = 0.0003
 #: ... and so many common shingles at most are ordered last (the commonest; the bound on what is broadcast).
 COMMON_MOST = 65_536
+#: Linking sets of different documents are of 4 shingles at least, so they share more than this.
+SHARED = 2
+LEADERS = 16
 
 
 # ------------------------------------------------------------------ sets
@@ -48,6 +51,7 @@ def common_shingles(docs: DataFrame, k: int) -> np.ndarray:
         seen = np.zeros(0, np.uint64)
         times = np.zeros(0, np.int64)
         n, pending, held = 0, [], 0
+        sets_seen: set[int] = set()
 
         def fold(seen, times, pending, n):
             found, count = np.unique(np.concatenate(pending), return_counts=True)
@@ -59,6 +63,10 @@ def common_shingles(docs: DataFrame, k: int) -> np.ndarray:
         for batch in batches:
             for shingles in shingle_sets(batch.column(0), k):
                 n += 1
+                one = int(set_hash(shingles))
+                if one in sets_seen:
+                    continue
+                sets_seen.add(one)
                 pending.append(shingles)
                 held += len(shingles)
                 if held > 2_000_000:
@@ -74,14 +82,14 @@ def common_shingles(docs: DataFrame, k: int) -> np.ndarray:
     return np.asarray([r["shingle"] for r in reversed(top)], np.int64).view(np.uint64)
 
 
-def prefix_length(n: int, percent: int) -> int:
-    """How many first shingles of a set of n one of a linking set's must be among."""
-    return n - (-(-percent * n // 100)) + 1
+def set_hash(shingles: np.ndarray, salt: int = 0) -> np.uint64:
+    with np.errstate(over="ignore"):
+        return mix(np.add.reduce(mix(shingles ^ np.uint64(salt)), keepdims=True) + np.uint64(len(shingles)))[0]
 
 
-def index_length(n: int, percent: int) -> int:
-    """The same for the smaller set of a pair, which must overlap by 2 percent / (100 + percent) of its size."""
-    return n - (-(-2 * percent * n // (100 + percent))) + 1
+def prefix_length(n: int, percent: int) -> int:
+    """Among how many first shingles of a set of n are SHARED of those it shares with any linking set."""
+    return min(n, n - (-(-percent * n // 100)) + SHARED)
 
 
 def bitmap(shingles: np.ndarray) -> bytes:
@@ -121,9 +129,8 @@ def signatures(docs: DataFrame, k: int, percent: int, common: np.ndarray) -> Dat
             n, h1, h2, bits, first = [], [], [], [], []
             for s in shingle_sets(batch.column(1), k):
                 n.append(len(s))
-                with np.errstate(over="ignore"):
-                    h1.append(int(mix(np.add.reduce(mix(s), keepdims=True) + np.uint64(len(s)))[0]))
-                    h2.append(int(mix(np.add.reduce(mix(s ^ np.uint64(0x5851F42D4C957F2D)), keepdims=True))[0]))
+                h1.append(int(set_hash(s)))
+                h2.append(int(set_hash(s, 0x5851F42D4C957F2D)))
                 bits.append(bitmap(s) if len(s) else None)
                 want = prefix_length(len(s), percent) if len(s) else 0
                 if len(ordered) and want:
@@ -144,13 +151,13 @@ def signatures(docs: DataFrame, k: int, percent: int, common: np.ndarray) -> Dat
 
 
 def sets(docs: DataFrame, k: int) -> DataFrame:
-    """rep, its sorted shingles as bytes."""
+    """node, its sorted shingles as bytes."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1), k)], pa.binary())], ["rep", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1), k)], pa.binary())], ["node", "shingles"])
 
-    return docs.select("rep", "text").mapInArrow(each, "rep long, shingles binary")
+    return docs.select("node", "text").mapInArrow(each, "node long, shingles binary")
 
 
 # ------------------------------------------------------------------ pairs
@@ -180,32 +187,32 @@ def exact_filter(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b", "one", "other").mapInArrow(each, "a long, b long")
 
 
-def joined(left: DataFrame, right: DataFrame, percent: int, same: bool, apart: bool = False) -> DataFrame:
-    """Where a pair's sizes and the shingle's places still allow a link.
+def joined(left: DataFrame, right: DataFrame, percent: int, apart: bool) -> DataFrame:
+    """Pairs of classes (a, b), once for each tile in which sizes and the shingle's places still allow a link.
 
     A shingle at places i and j leaves at most min(i, j) shared ones before it
-    and the shorter rest after it; the smaller set has it in its index prefix.
+    and the shorter rest after it. Of the smaller set, whose overlap must be
+    2 percent / (100 + percent) of its size, a shorter prefix counts. apart:
+    both sides are one table, and only pairs of different components count.
     """
     x = left.select("shingle", *[F.col(c).alias(f"{c}x") for c in left.columns if c != "shingle"])
     y = right.select("shingle", *[F.col(c).alias(f"{c}y") for c in right.columns if c != "shingle"])
     bound = F.least("ix", "iy") + 1 + F.least(F.col("nx") - F.col("ix") - 1, F.col("ny") - F.col("iy") - 1)
     small_first = F.when(F.col("nx") <= F.col("ny"), F.col("keyx")).otherwise(F.col("keyy"))
-    order = (F.col("repx") < F.col("repy")) if same else (F.col("repx") != F.col("repy"))
-    both = x.join(y, "shingle").where(order)
-    if apart:
-        both = both.where("componentx <> componenty")
+    both = x.join(y, "shingle").where("componentx <> componenty and nodex < nodey" if apart else "nodex <> nodey")
     both = both.where(small_first & (100 * bound >= percent * (F.col("nx") + F.col("ny") - bound)))
-    return both.select(F.least("repx", "repy").alias("a"), F.greatest("repx", "repy").alias("b"))
+    return both.select(F.least("nodex", "nodey").alias("a"), F.greatest("nodex", "nodey").alias("b"))
 
 
-def verified(candidates: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
-    """The links among candidates (a, b)."""
-    of = lambda end: reps.select(F.col("rep").alias(end), F.col("n").alias(f"n{end}"), F.col("bits").alias(f"bits_{end}"))
+def verified(candidates: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """The links among candidates (a, b). classes: node, n, bits and doc_id of one of its documents."""
+    of = lambda end: classes.select(F.col("node").alias(end), F.col("n").alias(f"n{end}"), F.col("bits").alias(f"bits_{end}"))
     likely = durable(bitmap_filter(candidates.join(of("a"), "a").join(of("b"), "b"), percent))
-    ends = likely.select(F.col("a").alias("rep")).union(likely.select(F.col("b").alias("rep"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(ends, "rep", "left_semi").dropDuplicates(["rep", "text"])
-    arrays = durable(sets(texts, k))
-    found = durable(exact_filter(likely.join(arrays.select(F.col("rep").alias("a"), F.col("shingles").alias("one")), "a").join(arrays.select(F.col("rep").alias("b"), F.col("shingles").alias("other")), "b"), percent))
+    ends = likely.select(F.col("a").alias("node")).union(likely.select(F.col("b").alias("node"))).distinct()
+    wanted = classes.select("node", "doc_id").join(ends, "node", "left_semi")
+    arrays = durable(sets(docs.join(wanted, "doc_id"), k).dropDuplicates(["node", "shingles"]))
+    one, other = arrays.select(F.col("node").alias("a"), F.col("shingles").alias("one")), arrays.select(F.col("node").alias("b"), F.col("shingles").alias("other"))
+    found = durable(exact_filter(likely.join(one, "a").join(other, "b"), percent).distinct())
     forget(likely)
     forget(arrays)
     return found
@@ -214,32 +221,43 @@ def verified(candidates: DataFrame, docs: DataFrame, reps: DataFrame, k: int, pe
 def jaccard_components(documents: DataFrame, *, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of documents."""
     docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    signed_docs = durable(signatures(docs, k, percent, common_shingles(docs, k)))
-    classes = signed_docs.where("n > 0 and doc_id is not null").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"))
-    member = durable(signed_docs.where("n > 0 and doc_id is not null").select("doc_id", "n", "h1", "h2").distinct().join(classes, ["n", "h1", "h2"]).select("doc_id", "rep", "n", "h1", "h2"))
-    own = member.where("doc_id = rep").select("rep", "n", "h1", "h2")
-    reps = signed_docs.withColumnRenamed("doc_id", "rep").join(own, ["rep", "n", "h1", "h2"], "left_semi").dropDuplicates(["rep", "h1", "h2"])
-    tiny = reps.select("rep", "n", "bits")
-    post = reps.select("rep", "n", F.posexplode("first").alias("i", "shingle"))
-    # Which of the prefix counts for the smaller set of a pair.
-    post = post.select("shingle", "rep", "n", "i", F.expr(f"i < n - (2 * {percent} * n + {99 + percent}) div {100 + percent} + 1").alias("key"))
-    tiles = post.groupBy("shingle").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("lead")).where("size > 1")
-    shared = durable(post.join(tiles, "shingle"))
-    leaders = shared.where("rep = lead").drop("lead", "size")
-    star = joined(shared.where("rep <> lead").drop("lead", "size"), leaders, percent, False).distinct()
-    found = verified(star, docs, tiny, k, percent)
+    heavy = durable(signatures(docs, k, percent, common_shingles(docs, k)))
+    light = durable(heavy.drop("first"))
+    known = "n > 0 and doc_id is not null"
+    sized = light.where(known).withColumnRenamed("h1", "node")
+    least = sized.groupBy("node", "h2", "n").agg(F.min("doc_id").alias("doc_id"))
+    classes = sized.join(least, ["node", "h2", "n", "doc_id"], "left_semi").select("node", "n", "bits", "doc_id").distinct()
+    # Tiles: first shingles that several rows share. Only those rows go on, a row a class.
+    post = heavy.where(known).select(F.col("h1").alias("node"), "n", F.posexplode("first").alias("i", "shingle"))
+    often = post.groupBy("shingle").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("shingle")
+    kept = durable(post.join(often, "shingle", "left_semi").select("shingle", "node", "n", "i").distinct())
+    forget(heavy)
+    order = F.element_at(F.array(*[F.lit(int(signed([set_hash(np.arange(i, i + 3, dtype=np.uint64))])[0])) for i in range(LEADERS)]), (F.pmod("shingle", F.lit(LEADERS)) + 1).cast("int"))
+    tiles = kept.groupBy("shingle").agg(F.count(F.lit(1)).alias("size"), F.min(F.col("node").bitwiseXOR(order)).alias("lead")).where("size > 1")
+    tiles = tiles.withColumn("lead", F.col("lead").bitwiseXOR(order))
+    # Whether the place is in the smaller set's prefix of a pair.
+    key = F.expr(f"i < n - (2 * {percent} * n + {99 + percent}) div {100 + percent} + {SHARED}")
+    tiled = durable(kept.join(tiles, "shingle").withColumn("key", key))
+    forget(kept)
+    leaders = tiled.where("node = lead").drop("lead", "size")
+    star = joined(tiled.where("node <> lead").drop("lead", "size"), leaders, percent, False).distinct()
+    found = verified(star, docs, classes, k, percent)
     label = components(found)
     # What leaders did not settle: other pairs of a tile that are not yet in one component.
-    rest = shared.where("size > 2 and rep <> lead").drop("size", "lead").join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = rest.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("shingle")
-    rest = durable(rest.join(mixed, "shingle", "left_semi"))
-    more = joined(rest, rest, percent, True, apart=True).distinct()
-    extra = verified(more, docs, tiny, k, percent)
-    ids = member.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    label = durable(components(found.unionByName(extra).unionByName(ids)))
-    forget(shared)
+    rest = tiled.where("size > 2 and node <> lead").drop("size", "lead").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    apart = rest.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("shingle")
+    rest = durable(rest.join(apart, "shingle", "left_semi"))
+    forget(tiled)
+    # A pair that links shares SHARED tiles; where a leader is one of it, the pair is settled already.
+    more = joined(rest, rest, percent, True).groupBy("a", "b").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") >= SHARED).select("a", "b")
+    extra = verified(more, docs, classes, k, percent)
     forget(rest)
-    return signed_docs.select("doc_id", F.col("n").alias("n_shingles")).join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    label = components(found.unionByName(extra))
+    # From classes to documents: the smallest doc_id of a component's classes; doc_ids in several classes join those.
+    linked = sized.select("node", "doc_id").distinct().join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    smallest = linked.groupBy("component").agg(F.min("doc_id").alias("to"))
+    ids = components(linked.join(smallest, "component").select(F.col("doc_id").alias("a"), F.col("to").alias("b")))
+    return light.select("doc_id", F.col("n").alias("n_shingles")).join(ids.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def drop_near_copies(documents: DataFrame, **options) -> DataFrame:
