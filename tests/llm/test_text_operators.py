@@ -108,6 +108,24 @@ def test_jaccard_components_are_exact(spark, seed):
     assert len(linked) > 10
 
 
+@pytest.mark.parametrize("leaders", [1, 16])
+def test_large_groups_of_near_copies(spark, monkeypatch, leaders):
+    """Copies of one text with up to a third of it changed: some link with the leaders, some with others only, some with none."""
+    monkeypatch.setattr(ngram_join, "LEADERS", leaders)
+    r = random.Random(11)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for _ in range(90):
+        w = list(base)
+        for _ in range(r.choice([1, 2, 3, 5, 9])):
+            w[r.randrange(150)] = f"x{r.randrange(10**6)}"
+        texts.append(" ".join(w))
+    sets = [shingles(t) for t in texts]
+    linked = [(i, j) for i in range(90) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    got = {x["doc_id"]: x["component_id"] for x in ngram_join.jaccard_components(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()}
+    assert [got[i] for i in range(90)] == union_find(90, linked)
+
+
 def test_jaccard_edge_cases(spark):
     empty = spark.createDataFrame([], DOCS)
     assert ngram_join.jaccard_components(empty).count() == 0
