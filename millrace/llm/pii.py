@@ -52,18 +52,18 @@ _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: Type and pattern, in the order in which they are tried.
 KINDS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]{1,63}+(?:\.[\p{L}\p{N}-]{1,63}+){1,8}",
-    "secret": r"(?<![\p{L}\p{N}])(?i:password|passwd|pwd|secret|token|api[_-]?key)[ \t]{0,2}[=:][ \t]{0,2}[\"']?(?=[^ \t\"']{0,128}[0-9])[A-Za-z0-9+/_.-]{8,128}[\"']?",
+    "secret": r"(?<![\p{L}\p{N}])(?=[PpSsTtAa])(?i:password|passwd|pwd|secret|token|api[_-]?key)[ \t]{0,2}[=:][ \t]{0,2}[\"']?(?=[^ \t\"']{0,128}[0-9])[A-Za-z0-9+/_.-]{8,128}[\"']?",
     "key": r"(?<![\p{L}\p{N}])(?:AKIA|ASIA)[A-Z0-9]{16}(?![\p{L}\p{N}])",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "card": r"(?<![\p{L}\p{N}.+-])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![\p{L}\p{N}-])",
     "ip": rf"(?<![\p{{L}}\p{{N}}.]){_OCTET}(?:\.{_OCTET}){{3}}(?![\p{{L}}\p{{N}}]|\.[0-9])",
     "ssn": r"(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}-])",
     "phone": r"(?<![\p{L}\p{N}.-])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-]?[0-9]{3,4}(?![\p{L}\p{N}-])|(?<![\p{L}\p{N}.-])\+[0-9]{8,15}(?![\p{L}\p{N}-])",
-    "name": rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE}\.? {_NAME}(?: {_NAME})?|{_GIVEN} {_NAME})(?![\p{{L}}\p{{N}}])",
+    "name": rf"(?<![\p{{L}}\p{{N}}])(?=\p{{Lu}})(?:{_TITLE}\.? {_NAME}(?: {_NAME})?|{_GIVEN} {_NAME})(?![\p{{L}}\p{{N}}])",
 }
-PATTERN = "|".join(KINDS.values())
+PATTERN = r"(?<![\p{L}\p{N}])(?:" + "|".join(KINDS.values()) + ")"  # all begin at a word's start; said once, it spares most places the rest
 #: What a text must hold for PATTERN to find anything; cheap to look for.
-HINT = rf"[0-9@]|\b(?:{_TITLE[3:-1]}|{_GIVEN[3:-1]})\b"
+HINT = rf"[0-9@]|(?<!\p{{L}})(?=\p{{Lu}})(?:{_TITLE[3:-1]}|{_GIVEN[3:-1]})\b"
 
 _DIGITS = "0123456789"
 _ALPHABETS = [
