@@ -3,12 +3,16 @@
 Each pass gives every vector a 64-bit code, the concatenated signs of random
 projections, and orders the vectors by it; each vector is compared with the
 next `window` ones. Vectors of a small angle share long code prefixes, so they
-end up near each other in some pass. The number of passes follows from the number
-of vectors, so that a pair at the threshold is met with probability `recall`.
-
-Pairs are never listed: blocks of the order (overlapping by a window) count
-each vector's links and emit a spanning forest. A pair that an earlier pass
-compared already is told by its ranks there and counts once. Equal vectors
+end up near each other in some pass. A window does not hold a dense group that is
+larger than it: vectors that share a code's first bits (a cell) are therefore all
+compared with each other, in tiles, where a cell has more of them than a window.
+The number of passes follows from the number of those bits, so that a pair at the
+threshold shares a cell, and is met, with probability `recall`, however the
+vectors lie. A cell of m vectors takes m * m / 2 comparisons.
+
+Pairs are never listed: blocks of the order (overlapping by a window) and tiles
+count each vector's links and emit a spanning forest. A pair that was compared
+before is told by its ranks and cells there and counts once. Equal vectors
 form a class first, and only one of a class is compared.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite
@@ -33,15 +37,21 @@ from .components import components
 
 WINDOW = 1024
 BLOCK = 1024
+TILE = 2048
+STRIP = 256
 RECALL = 0.999
 CODE_BITS = 63
 
 
+def cell_bits(n: int, window: int) -> int:
+    """How many first bits of a code make a cell: spread-out vectors then fill a window at most."""
+    return min(CODE_BITS, max(1, math.ceil(math.log2(max(2, n) / window))))
+
+
 def passes_for(n: int, threshold: float, window: int, recall: float) -> int:
-    """How many passes meet a pair at the threshold with probability recall, among n spread-out vectors."""
+    """How many passes put a pair at the threshold into one cell with probability recall."""
     same_bit = 1 - math.acos(threshold) / math.pi
-    bits = max(1.0, math.log2(max(2, n) / window))
-    return max(4, math.ceil(math.log(1 - recall) / math.log(1 - same_bit**bits)))
+    return max(4, math.ceil(math.log(1 - recall) / math.log(1 - same_bit ** cell_bits(n, window))))
 
 
 def codes(vectors: DataFrame, passes: int, seed: int) -> DataFrame:
@@ -67,37 +77,73 @@ def codes(vectors: DataFrame, passes: int, seed: int) -> DataFrame:
     return vectors.select("node", "v").mapInArrow(each, "node long, dims int, codes array<long>")
 
 
-def ranked(coded: DataFrame, passes: int, spread: int) -> DataFrame:
-    """node, ranks: its place in the order of each pass, from 0. One range sort serves all passes.
+def ranked(coded: DataFrame, spread: int, bits: int, window: int) -> DataFrame:
+    """node, spots: of each pass, its place in the order (rank, from 0) and the first place (start) and size of its cell; start is -1 where windows hold the whole cell.
 
-    Places come from the sizes of the sorted partitions, a number each.
+    One range sort serves all passes. Places come from the sizes of the sorted partitions, a number each.
     """
     rows = coded.select("node", "dims", F.posexplode("codes").alias("pass", "code"))
-    placed = durable(rows.repartitionByRange(spread, "pass", "dims", "code", "node").sortWithinPartitions("pass", "dims", "code", "node").select("node", "pass", F.monotonically_increasing_id().alias("at")))
+    order = ("pass", "dims", "code", "node")
+    cell = F.shiftright("code", CODE_BITS - bits).alias("cell")
+    placed = durable(rows.repartitionByRange(spread, *order).sortWithinPartitions(*order).select("node", "pass", "dims", cell, F.monotonically_increasing_id().alias("at")))
     part = F.shiftright("at", 33)
     sizes = placed.groupBy("pass", part.alias("part")).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("least"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("pass").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offset = sizes.withColumn("shift", before - F.col("least")).select("pass", "part", "shift")
-    rank = placed.withColumn("part", part).join(offset, ["pass", "part"]).select("node", "pass", (F.col("at") + F.col("shift")).alias("rank"))
-    return rank.groupBy("node").agg(F.transform(F.sort_array(F.collect_list(F.struct("pass", "rank"))), lambda x: x["rank"]).alias("ranks"))
+    rank = placed.withColumn("part", part).join(offset, ["pass", "part"]).select("node", "pass", "dims", "cell", (F.col("at") + F.col("shift")).alias("rank"))
+    # At most a cell for each window of places.
+    large = rank.groupBy("pass", "dims", "cell").agg(F.min("rank").alias("start"), F.count(F.lit(1)).alias("size")).where(F.col("size") > window + 1)
+    spot = F.struct("pass", "rank", F.coalesce("start", F.lit(-1).cast("long")).alias("start"), F.coalesce("size", F.lit(0).cast("long")).alias("size"))
+    return rank.join(F.broadcast(large), ["pass", "dims", "cell"], "left").groupBy("node").agg(F.sort_array(F.collect_list(spot)).alias("spots"))
+
+
+def unmet(i: np.ndarray, j: np.ndarray, ranks: np.ndarray, starts: np.ndarray, windows: int, tiles: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (i, j) that neither the first passes' windows (so many of them) nor tiles compare."""
+    for p in range(max(windows, tiles)):
+        if not len(i):
+            break
+        new = np.ones(len(i), bool)
+        if p < windows:
+            new &= np.abs(ranks[i, p] - ranks[j, p]) > window
+        if p < tiles:
+            new &= (starts[i, p] != starts[j, p]) | (starts[i, p] < 0)
+        i, j = i[new], j[new]
+    return i, j
+
+
+def unit(vectors: pd.Series) -> np.ndarray:
+    x = np.stack(vectors.to_numpy()).astype(float)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def results(node: np.ndarray, counts: np.ndarray, label: np.ndarray) -> pd.DataFrame:
+    """Rows (a, b, n): b is null for counts, n for edges to the label."""
+    linked = np.flatnonzero(counts)
+    joined = np.flatnonzero(label != np.arange(len(node)))
+    return pd.DataFrame(
+        {
+            "a": np.concatenate([node[linked], node[joined]]),
+            "b": pd.array([None] * len(linked) + node[label[joined]].tolist(), "Int64"),
+            "n": pd.array(counts[linked].tolist() + [None] * len(joined), "Int64"),
+        }
+    )
 
 
 def compare(block: pd.DataFrame, number: int, at: int, threshold: float, window: int, size: int) -> pd.DataFrame:
-    """Link counts and forest edges of one block: rows (a, b, n); b is null for counts, n for edges."""
+    """Link counts and forest edges of one block."""
     block = block.sort_values("rank", kind="stable")
     rank = block["rank"].to_numpy()
     node = block["node"].to_numpy()
     weight = block["copies"].to_numpy()
-    ranks = np.stack(block["ranks"].to_numpy())
+    ranks, starts = np.stack(block["ranks"].to_numpy()), np.stack(block["starts"].to_numpy())
     dims = np.array([len(v) for v in block["v"]])
     counts = np.zeros(len(node), np.int64)
     label = np.arange(len(node))
     anchors = int(np.searchsorted(rank, (number + 1) * size))
     for d in np.unique(dims):
         of = np.flatnonzero(dims == d)
-        x = np.stack(block["v"].to_numpy()[of]).astype(float)
-        x /= np.abs(x).max(axis=1, keepdims=True)
-        x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+        x = unit(block["v"].iloc[of])
         near = (x @ x.T >= threshold) & (np.abs(rank[of][:, None] - rank[of][None, :]) <= window)
         near &= ~np.eye(len(of), dtype=bool)
         # Both ends in the overlap: the next block's pair.
@@ -113,19 +159,50 @@ def compare(block: pd.DataFrame, number: int, at: int, threshold: float, window:
             mine = new
         label[of] = mine
         i, j = np.nonzero(np.triu(near))
-        fresh = ~(np.abs(ranks[of[i], :at] - ranks[of[j], :at]) <= window).any(axis=1)
-        i, j = of[i[fresh]], of[j[fresh]]
+        i, j = unmet(of[i], of[j], ranks, starts, at, at, window)
         np.add.at(counts, i, weight[j])
         np.add.at(counts, j, weight[i])
-    linked = np.flatnonzero(counts)
-    joined = np.flatnonzero(label != np.arange(len(node)))
-    return pd.DataFrame(
-        {
-            "a": np.concatenate([node[linked], node[joined]]),
-            "b": pd.array([None] * len(linked) + node[label[joined]].tolist(), "Int64"),
-            "n": pd.array(counts[linked].tolist() + [None] * len(joined), "Int64"),
-        }
-    )
+    return results(node, counts, label)
+
+
+def compare_tile(tile: pd.DataFrame, at: int, first: int, second: int, threshold: float, window: int) -> pd.DataFrame:
+    """Link counts and forest edges between two chunks of one cell, or inside one."""
+    tile = tile.sort_values("rank", kind="stable")
+    rank, chunk = tile["rank"].to_numpy(), tile["chunk"].to_numpy()
+    node, weight = tile["node"].to_numpy(), tile["copies"].to_numpy()
+    ranks, starts = np.stack(tile["ranks"].to_numpy()), np.stack(tile["starts"].to_numpy())
+    x = unit(tile["v"])
+    counts = np.zeros(len(node), np.int64)
+    up = np.arange(len(node))
+    left, right = np.flatnonzero(chunk == first), np.flatnonzero(chunk == second)
+
+    def root(a: int) -> int:
+        while up[a] != a:
+            up[a] = up[up[a]]
+            a = up[a]
+        return a
+
+    for k in range(0, len(left), STRIP):
+        of = left[k : k + STRIP]
+        i, j = np.nonzero((x[of] @ x[right].T >= threshold) & (rank[of][:, None] < rank[right][None, :]))
+        i, j = unmet(of[i], right[j], ranks, starts, at + 1, at, window)
+        if not len(i):
+            continue
+        np.add.at(counts, i, weight[j])
+        np.add.at(counts, j, weight[i])
+        # Every pair's ends reach a common label by the smallest labels of rows and columns.
+        label = np.arange(len(node))
+        while True:
+            low = label.copy()
+            np.minimum.at(low, i, label[j])
+            np.minimum.at(low, j, low[i])
+            if (low == label).all():
+                break
+            label = low
+        for a in np.flatnonzero(label != np.arange(len(node))):
+            a, b = root(a), root(label[a])
+            up[max(a, b)] = min(a, b)
+    return results(node, counts, np.array([root(a) for a in range(len(node))], np.int64))
 
 
 def near_duplicates(embeddings: DataFrame, *, threshold: float = 0.95, window: int = WINDOW, recall: float = RECALL, seed: int = 5, passes: int | None = None) -> DataFrame:
@@ -143,9 +220,10 @@ def near_duplicates(embeddings: DataFrame, *, threshold: float = 0.95, window: i
     n = vectors.count()
     passes = passes or passes_for(n, threshold, window, recall)
     spread = max(1, min(n * passes // 4096 + 1, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    ranks = ranked(codes(vectors, passes, seed), passes, spread)
+    spots = ranked(codes(vectors, passes, seed), spread, cell_bits(n, window), window)
+    spots = spots.select("node", F.col("spots.rank").alias("ranks"), F.col("spots.start").alias("starts"), F.explode("spots").alias("spot")).select("node", "ranks", "starts", "spot.*")
+    spots = durable(vectors.join(spots, "node"))
     rank, number = F.col("rank"), F.floor(F.col("rank") / BLOCK)
-    spots = vectors.join(ranks, "node").select("node", "v", "copies", "ranks", F.posexplode("ranks").alias("pass", "rank"))
     # A block's first ranks also stand in the block before it.
     both = F.when((rank % BLOCK < window) & (number > 0), F.array(number, number - 1)).otherwise(F.array(number))
     blocks = spots.withColumn("block", F.explode(both))
@@ -153,7 +231,17 @@ def near_duplicates(embeddings: DataFrame, *, threshold: float = 0.95, window: i
     def each(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
         return compare(block, int(key[1]), int(key[0]), threshold, window, BLOCK)
 
-    found = durable(blocks.groupBy("pass", "block").applyInPandas(each, "a long, b long, n long"))
+    # A chunk of a large cell stands in its tile with each chunk of the cell.
+    chunk = F.floor((rank - F.col("start")) / TILE)
+    tiles = spots.where("start >= 0").withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / TILE))))
+    tiles = tiles.withColumns({"first": F.least("chunk", "other"), "second": F.greatest("chunk", "other")})
+
+    def tiled(key: tuple, tile: pd.DataFrame) -> pd.DataFrame:
+        return compare_tile(tile, int(key[0]), int(key[2]), int(key[3]), threshold, window)
+
+    schema = "a long, b long, n long"
+    in_tiles = tiles.drop("other", "size").groupBy("pass", "start", "first", "second").applyInPandas(tiled, schema)
+    found = durable(blocks.drop("start", "size").groupBy("pass", "block").applyInPandas(each, schema).unionByName(in_tiles))
     counts = found.where("n is not null").groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "node")
     member = rows.where("ok").select("vec_id", "h1", "h2").join(classes, ["h1", "h2"]).select("vec_id", "h1", "h2", "node", "copies")
     edges = found.where("b is not null").select("a", "b").unionByName(member.where("vec_id <> node").select(F.col("vec_id").alias("a"), F.col("node").alias("b")))

@@ -307,3 +307,32 @@ def test_embedding_edge_cases(spark):
     rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0])]
     out = embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
     assert [r["n_links"] for r in out] == [2, 2, 2] and {r["component_id"] for r in out} == {1}
+
+
+def test_dense_groups_larger_than_windows_and_tiles(spark, monkeypatch):
+    """A group of mutual links and one of near pairs in a crowd at cosine 0.9, each several windows large."""
+    monkeypatch.setattr(embed_dedup, "TILE", 64, raising=False)
+    r = np.random.default_rng(12)
+
+    def around(center, n, cosine):
+        y = r.normal(size=(n, 64))
+        y -= np.outer(y @ center, center)
+        y /= np.linalg.norm(y, axis=1, keepdims=True)
+        return np.sqrt(cosine) * center + np.sqrt(1 - cosine) * y
+
+    a, b = (v / np.linalg.norm(v) for v in r.normal(size=(2, 64)))
+    crowd = around(b, 300, 0.9)
+    twins = crowd[:60] + 0.03 * r.normal(size=(60, 64))
+    x = np.concatenate([around(a, 300, 0.98), crowd, twins, r.normal(size=(140, 64))])
+    x = x[r.permutation(len(x))]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.95
+    np.fill_diagonal(near, False)
+    want = union_find(len(x), list(zip(*np.nonzero(near), strict=True)))
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {v["vec_id"]: v for v in embed_dedup.near_duplicates(df, window=16).collect()}
+    counted = np.array([got[i]["n_links"] for i in range(len(x))])
+    assert (counted <= near.sum(axis=1)).all() and counted.sum() >= 0.999 * near.sum()
+    assert [got[i]["component_id"] for i in range(len(x))] == want
+    got = {v["vec_id"]: v for v in embed_dedup.near_duplicates(df, window=16, passes=30).collect()}
+    assert [got[i]["n_links"] for i in range(len(x))] == near.sum(axis=1).tolist()
