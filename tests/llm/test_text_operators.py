@@ -201,6 +201,18 @@ def test_surrogates(spark):
     assert got[4]["text"] is None and got[5]["text"] == "" and got[5]["n_entities"] == 0
 
 
+@pytest.mark.parametrize("n", [129, 400, 5000])
+def test_long_secrets_go_whole(spark, n):
+    r = random.Random(n)
+    late = "abcdefgh" * (n // 8) + "7"
+    mixed = "".join(r.choice("abcdefghijkmnopqrstuvwxyzABCDEFGHIJ0123456789-_.") for _ in range(n)) + "Q9"
+    df = spark.createDataFrame([(1, f"token={mixed} and secret: '{late}' end")], DOCS)
+    new = pii.replace(df).first()["text"]
+    a, b = re.fullmatch(r"token=(\S+) and secret: '(\S+)' end", new).groups()
+    assert len(a) == len(mixed) and len(b) == len(late)
+    assert not any(mixed[i : i + 12] in a for i in range(n - 10)) and "abcdefgh" not in b
+
+
 def test_distinct_entities_stay_distinct(spark):
     names = [f"Mr {a}{b}" for a in "ABCDEFGHIJ" for b in ("bcd", "xyz", "klm", "opq", "rst", "uvw")]
     ips = [f"10.0.{i}.{j}" for i in range(10) for j in range(10)]
