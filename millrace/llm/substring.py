@@ -1,9 +1,12 @@
 """Substring dedup by sliding spans of sentences.
 
-A text is cut into sentences (a word that ends in . ! or ?, or a line break,
-ends one; a sentence of more than `unit_words` words counts as several, cut
-every so many words from its start). Every run of `run` consecutive sentences
-with at least `min_words` words is hashed; the runs of all documents are joined
+A text is cut into sentences (a word that ends in . ! ? or their wide forms, or a
+line break, ends one; a sentence of more than `unit_words` words counts as several,
+cut before each word whose hash is the least among its neighbours, so that the
+cuts follow the words and not their places). In a long stretch without spaces
+each character of a script of three bytes or more is a word. A run is `run`
+consecutive sentences, and further ones, after or before them, until it has
+`min_words` words. Runs are hashed; the runs of all documents are joined
 by hash, and the sentences that any repeated run covers go, except for the run's
 first place: the smallest doc_id, and in it the first position. White space
 does not count in the comparison.
@@ -23,47 +26,96 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _powers, byte_chunks, chain, free_name, mix, span_hashes, words
+from .common import _powers, byte_chunks, free_name, mix, span_hashes, words
 
 RUN = 3
 UNIT_WORDS = 12
 MIN_WORDS = 10
 _END = np.zeros(256, bool)
 _END[[ord(c) for c in ".!?"]] = True
+_WIDE_END = [int.from_bytes(c.encode()) for c in "。！？｡"]
+#: Bytes from which a word counts as a stretch without spaces.
+STRETCH = 48
+
+
+def split_stretches(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words, with each wide character of a long one as a word of its own."""
+    long = ends - starts > STRETCH
+    if not long.any():
+        return starts, ends, row
+    edge = np.zeros(len(data) + 1, np.int64)
+    edge[starts[long] + 1] += 1
+    edge[ends[long]] -= 1
+    inside = np.cumsum(edge)[:-1] > 0
+    lead = (data & 0xC0) != 0x80
+    wide = data >= 0xE0
+    last = np.maximum.accumulate(np.where(lead, np.arange(len(data)), 0))
+    at = np.flatnonzero(lead & inside)
+    first = np.sort(np.concatenate([starts, at[wide[at] | wide[last[at - 1]]]]))
+    of = np.searchsorted(starts, first, "right") - 1
+    return first, np.minimum(ends[of], np.append(first[1:], len(data))), row[of]
+
+
+def ends_sentence(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    code = sum(data[np.maximum(ends - k, 0)].astype(np.int64) << (8 * (k - 1)) for k in (1, 2, 3))
+    return _END[data[ends - 1]] | np.isin(code, _WIDE_END)
+
+
+def least_among(hashed: np.ndarray, sentence: np.ndarray, reach: int) -> np.ndarray:
+    """Whether each word's hash is the least of those up to reach words away in its sentence (ties: all of them)."""
+    out = np.ones(len(hashed), bool)
+    for k in range(1, min(reach, len(hashed) - 1) + 1):
+        apart = sentence[k:] != sentence[:-k]
+        out[k:] &= apart | (hashed[k:] <= hashed[:-k])
+        out[:-k] &= apart | (hashed[:-k] <= hashed[k:])
+    return out
 
 
 def units(data: np.ndarray, offsets: np.ndarray, unit_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Byte start, row, words and hash of each sentence."""
-    starts, ends, row = words(data, offsets)
+    starts, ends, row = split_stretches(data, *words(data, offsets))
     n = len(starts)
     if not n:
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
     lines = np.concatenate([[0], np.cumsum(data == 10)])
     stop = np.ones(n, bool)
-    stop[:-1] = _END[data[ends[:-1] - 1]] | (row[1:] != row[:-1]) | (lines[starts[1:]] != lines[starts[:-1]])
+    stop[:-1] = ends_sentence(data, ends[:-1]) | (row[1:] != row[:-1]) | (lines[starts[1:]] != lines[starts[:-1]])
     first = np.ones(n, bool)
     first[1:] = stop[:-1]
-    begin = np.maximum.accumulate(np.where(first, np.arange(n), 0))
-    first |= (np.arange(n) - begin) % unit_words == 0
+    each = span_hashes(data, starts, ends)
+    sentence = np.cumsum(first) - 1
+    long = np.bincount(sentence)[sentence] > unit_words
+    first |= long & least_among(each, sentence, max(1, unit_words // 4))
     at = np.flatnonzero(first)
     size = np.diff(np.append(at, n))
     up, down = _powers(n + 1)
     with np.errstate(over="ignore"):
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(span_hashes(data, starts, ends) * up[:n])])
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(each * up[:n])])
         hashed = mix((total[at + size] - total[at]) * down[at] + size.astype(np.uint64))
     return starts[at], row[at], size, hashed
 
 
-def spans(data: np.ndarray, offsets: np.ndarray, run: int, unit_words: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Byte start and row of each sentence; index of the first sentence and hash of each run."""
+def spans(data: np.ndarray, offsets: np.ndarray, run: int, unit_words: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Byte start and row of each sentence; index of the first sentence, number of sentences and hash of each run."""
     start, row, size, hashed = units(data, offsets, unit_words)
-    n = len(start) - run + 1
-    if n <= 0:
-        return start, row, np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    n = len(start)
+    if n < run:
+        return start, row, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     total = np.concatenate([[0], np.cumsum(size)])
-    good = (row[:n] == row[run - 1 :]) & (total[run:] - total[:n] >= min_words)
-    at = np.flatnonzero(good)
-    return start, row, at, chain(hashed, run)[at]
+    here = np.arange(n)
+    # The shortest run from each sentence on, and up to each.
+    after = np.maximum(here + run, np.searchsorted(total, total[:-1] + min_words))
+    before = np.minimum(here + 1 - run, np.searchsorted(total, total[1:] - min_words, "right") - 1)
+    ok = after <= n
+    ok[ok] = row[after[ok] - 1] == row[ok]
+    back = before >= 0
+    back[back] = row[before[back]] == row[back]
+    pairs = np.unique(np.concatenate([here[ok] * (n + 1) + after[ok], before[back] * (n + 1) + here[back] + 1]))
+    at, end = pairs // (n + 1), pairs % (n + 1)
+    up, down = _powers(n + 1)
+    with np.errstate(over="ignore"):
+        summed = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashed * up[:n])])
+        return start, row, at, end - at, mix((summed[end] - summed[at]) * down[at] + (end - at).astype(np.uint64))
 
 
 def span_table(docs: DataFrame, run: int, unit_words: int, min_words: int) -> DataFrame:
@@ -73,7 +125,7 @@ def span_table(docs: DataFrame, run: int, unit_words: int, min_words: int) -> Da
         for batch in batches:
             ids = batch.column(0)
             for first, last, data, offsets in byte_chunks(batch.column(1)):
-                _, row, at, h = spans(data, offsets, run, unit_words, min_words)
+                _, row, at, _, h = spans(data, offsets, run, unit_words, min_words)
                 of = row[at]
                 order = np.lexsort((h, of))
                 of, h = of[order], h[order]
@@ -94,12 +146,12 @@ def cleaned(docs: DataFrame, run: int, unit_words: int, min_words: int) -> DataF
             gone, text = batch.column("_gone"), batch.column("text")
             out, n_all, n_removed = [], [], []
             for first, last, data, offsets in byte_chunks(text):
-                start, row, at, h = spans(data, offsets, run, unit_words, min_words)
+                start, row, at, length, h = spans(data, offsets, run, unit_words, min_words)
                 bounds = np.searchsorted(row, np.arange(last - first + 1))
                 run_bounds = np.searchsorted(row[at], np.arange(last - first + 1))
                 for i in range(last - first):
                     a, b = bounds[i], bounds[i + 1]
-                    mine, hashes = at[run_bounds[i] : run_bounds[i + 1]], h[run_bounds[i] : run_bounds[i + 1]]
+                    mine, lengths, hashes = (x[run_bounds[i] : run_bounds[i + 1]] for x in (at, length, h))
                     drop = np.zeros(len(hashes), bool)
                     if len(hashes):
                         drop[:] = True
@@ -112,10 +164,10 @@ def cleaned(docs: DataFrame, run: int, unit_words: int, min_words: int) -> DataF
                         out.append(text[first + i].as_py())
                         n_removed.append(0)
                         continue
-                    covered = np.zeros(b - a + run, bool)
-                    for j in range(run):
-                        covered[mine[drop] - a + j] = True
-                    covered = covered[: b - a]
+                    depth = np.zeros(b - a + 1, np.int64)
+                    np.add.at(depth, mine[drop] - a, 1)
+                    np.add.at(depth, mine[drop] - a + lengths[drop], -1)
+                    covered = np.cumsum(depth)[: b - a] > 0
                     edges = np.append(start[a:b], offsets[i + 1])
                     edges[0] = offsets[i]
                     kept = [data[edges[j] : edges[j + 1]].tobytes() for j in np.flatnonzero(~covered)]
