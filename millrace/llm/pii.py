@@ -43,6 +43,28 @@ FAMILY = {
     "cyrillic": ["Волков", "Громов", "Зайцев", "Котов", "Лебедев", "Морозов", "Орлов", "Соколов"],
     "greek": ["Αγγέλου", "Βασιλείου", "Γεωργίου", "Δημητρίου", "Ιωάννου", "Παππάς"],
 }
+# Syllables of further names: first and middle ones by script, last ones by script and gender, or of surnames (s).
+FIRST = {
+    "latin": "Al Ar Bel Bran Cal Cor Dal Del El Er Fal Fen Gar Gil Hal Her Il Jan Jor Kal Kel Lan Lor Mal Mer Nal Nor Or Pal Per Ral Ros Sal Ser Tal Tor Val Ver Wil Zan".split(),
+    "cyrillic": "Ар Бел Вел Гор Дар Ер Жар Зал Ил Кал Лад Мел Нар Ор Пел Рад Сав Тар Фед Яр".split(),
+    "greek": "Αλ Βαρ Γαλ Δελ Ερ Ζαν Καλ Λαμ Μελ Ναρ Ορ Παρ Ροδ Σελ Ταρ Φιλ".split(),
+}
+MIDDLE = {
+    "latin": "ba be bi bo da de di do fa fe ga go ka ke la le li lo ma me mi mo na ne ni no ra re ri ro sa se ta te ti to va ve vi vo".split(),
+    "cyrillic": "ба бе ва ве га го да де ла ле ли ло ма ме ми мо на не ра ре ри ро са се та те".split(),
+    "greek": "βα βε γα γε δα δε κα κε λα λε μα με να νε ρα ρε σα σε τα τε".split(),
+}
+LAST = {
+    ("latin", "f"): ["na", "lia", "ria", "tta", "ssa", "lina", "nora", "vira"],
+    ("latin", "m"): ["nus", "lor", "rick", "ton", "mund", "bert", "dor", "vin"],
+    ("latin", "s"): ["nson", "ley", "field", "man", "well", "worth", "sby", "ner"],
+    ("cyrillic", "f"): ["на", "лия", "рина", "слава", "мила", "вия"],
+    ("cyrillic", "m"): ["мир", "слав", "рий", "тон", "лад", "рим"],
+    ("cyrillic", "s"): ["нов", "рев", "лин", "ренко", "вич", "нюк"],
+    ("greek", "f"): ["νία", "λία", "ρίνη", "νθη", "σία", "ρώ"],
+    ("greek", "m"): ["νος", "λης", "ρίας", "νας", "σιος", "ρων"],
+    ("greek", "s"): ["νίδης", "ρίδης", "λάκης", "νάκος", "σιάδης", "τάκος"],
+}
 TITLES = {"f": ["Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа", "Κυρία"], "m": ["Mr", "Sir", "Herr", "Monsieur", "Señor", "Sr", "Господин", "Κύριος"]}
 
 _NAME = r"\p{Lu}\p{Ll}{1,30}(?:-\p{Lu}\p{Ll}{1,30})?"
@@ -175,21 +197,36 @@ def gender_of(head: Column, core: Column) -> Column:
     )
 
 
-def pick(names: list[str], digest: Column, i: int) -> Column:
-    return F.element_at(F.array(*[F.lit(n) for n in names]), drawn(digest, F.lit(i), len(names)) + 1)
+def listed(table: dict[str, list[str]], key: Column) -> Column:
+    """The list of this key, as an array."""
+    out = F.lit("")
+    for k, names in table.items():
+        out = F.when(key == k, F.lit(" ".join(names))).otherwise(out)
+    return F.split(out, " ")
+
+
+def one_of(names: Column, digest: Column, i: Column) -> Column:
+    return F.element_at(names, drawn(digest, i, F.size(names)) + 1)
 
 
 def person(core: Column, gender: Column, digest: Column, draws: Column) -> Column:
-    """Names from the lists, of the same script and gender; after a few draws, letters drawn one by one."""
+    """Names of the same script and gender: from the lists, then of syllables, of one more with each draw, up to six middle ones."""
     script = script_of(core)
-    given, family = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for s in FAMILY:
-        either = F.when(drawn(digest, F.lit(5), 2) == 0, pick(GIVEN[s, "f"], digest, 1)).otherwise(pick(GIVEN[s, "m"], digest, 1))
-        own = F.when(gender == "f", pick(GIVEN[s, "f"], digest, 1)).when(gender == "m", pick(GIVEN[s, "m"], digest, 1)).otherwise(either)
-        given = F.when(script == s, own).otherwise(given)
-        family = F.when(script == s, pick(FAMILY[s], digest, 2)).otherwise(family)
-    listed = F.when(core.contains(" "), F.concat_ws(" ", given, family)).otherwise(family)
-    return F.when(draws < 4, listed).otherwise(map_chars(core, digest))
+    own = F.coalesce(gender, F.when(drawn(digest, F.lit(5), 2) == 0, "f").otherwise("m"))
+    middles = F.sequence(F.lit(1), F.least(F.greatest(draws - 3, F.lit(1)), F.lit(6)).cast("int"))
+
+    def name(names: dict, end: Column, i: int) -> Column:
+        keyed = {"".join(k): v for k, v in names.items()}
+        last = {"".join(k): v for k, v in LAST.items()}
+        made = F.concat(
+            one_of(listed(FIRST, script), digest, F.lit(10 + i)),
+            F.array_join(F.transform(middles, lambda k: one_of(listed(MIDDLE, script), digest, k + 100 * i)), ""),
+            one_of(listed(last, F.concat(script, end)), digest, F.lit(20 + i)),
+        )
+        return F.when(draws < 4, one_of(listed(keyed, F.concat(script, end)), digest, F.lit(i))).otherwise(made)
+
+    family = name({(k, "s"): v for k, v in FAMILY.items()}, F.lit("s"), 2)
+    return F.when(core.contains(" "), F.concat_ws(" ", name(GIVEN, own, 1), family)).otherwise(family)
 
 
 def iban_remainder(value: Column) -> Column:

@@ -222,6 +222,21 @@ def test_distinct_entities_stay_distinct(spark):
     assert pii.replace(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_names_beyond_the_lists_keep_gender_and_script(spark):
+    r = random.Random(3)
+    made = sorted({"".join(r.choice(x) for x in (["Q", "X", "Y"], ["a", "e", "o"], ["bbd", "ddk", "kkf", "ffp"], ["i", "u", "y"], ["zz", "hh", "jj", "ww"], ["ox", "ix"])) for _ in range(2000)})
+    rows = [f"Mrs Anna {x}" for x in made[:500]] + [f"Mr {x}" for x in made[:60]] + [f"Госпожа {a}{b}{c}" for a in "БВГД" for b in ("оржо", "ужи") for c in ("ва", "ща", "ха")]
+    new = [x["text"].split(" ", 1) for x in pii.replace(spark.createDataFrame(list(enumerate(rows)), DOCS)).orderBy("doc_id").collect()]
+    assert len({tuple(x) for x in new}) == len(rows) > 560
+    for old, (title, name) in zip(rows, new, strict=True):
+        script, gender = ("cyrillic", "f") if title == "Госпожа" else ("latin", "f" if title == "Mrs" else "m")
+        parts = name.split(" ")
+        assert len(parts) == len(old.split(" ")) - 1 and all(re.fullmatch(r"[^\W\d_]{2,31}", p) and p == p.capitalize() for p in parts)
+        if len(parts) == 2:
+            assert parts[0] in pii.GIVEN[script, gender] or parts[0].endswith(tuple(pii.LAST[script, gender]))
+        assert parts[-1] in pii.FAMILY[script] or parts[-1].endswith(tuple(pii.LAST[script, "s"]))
+
+
 # ------------------------------------------------------------------ 9
 def corpus(spark, n=400):
     r = random.Random(8)
