@@ -3,23 +3,30 @@
 Documents with equal sets form a class at once (a set is known by 64-bit
 hashes); from there on only classes are compared. Two different sets that link
 share SHARED of the first floor(0.2 n) + SHARED shingles of each under any one
-global order (at 80 %), so those shingles are the keys of tiles, and sizes and
-places within the tile bound the overlap from above (size bands). Bitmap
-signatures bound it once more, by the bits that one set has and the other lacks;
-what is left is compared exactly, as sorted arrays.
-
-A tile's classes are first compared with one leader, the first of one of LEADERS
-orders that take turns from tile to tile. Links found so merge most copies; after that only
-pairs of a tile that are not yet in one component are compared, so a group of
-near copies costs in proportion to its size, and no pair that could change a
-component is left out. Shingles that very many documents share come last in the
+global order (at 80 %), so classes that have one of those shingles in common are
+candidates. Shingles that very many documents share come last in the
 global order (found by sums of what tasks see often; they only move the order,
-never the result), so common passages make no large tiles.
+never the result), so common passages bring few together.
+
+First the classes of each shingle are compared with one leader, the first of one of
+LEADERS orders that take turns from shingle to shingle: a row for each class and
+shingle, and links found so merge most copies. Shingles whose classes are in
+one component by then are done. Those of the others form tiles: of all shingles
+with the same smallest class, all classes together, each with its
+bitmap signature. A tile is sorted by size and compared in memory in size
+bands, one task a tile: bit counts bound each overlap from above, and only
+pairs that pass, of different components, leave the task, to be compared exactly as sorted
+arrays: in ROUNDS rounds the NEAREST of each class, which merge most of what links,
+and in the last round all that are still apart. Tiles of more than MEMBERS classes are dealt out in chunks, a task for
+each pair of chunks that are not of one component. So a group of near copies costs in
+proportion to its size where its members link, and where they do not, pairs are only
+ever looked at in memory; none that could change a component is left out.
 
 Defined results: a null or empty text, or one without words, has an empty set
 and links with nothing; fewer than k words make one shingle; rows that share a
 doc_id count as one document; an empty table gives an empty result; columns
-besides doc_id and text are ignored.
+besides doc_id and text are ignored. percent is 67 to 100: below, two sets that link may
+share one shingle only.
 """
 
 from __future__ import annotations
@@ -31,16 +38,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, forget, mix, shingle_sets, signed
+from .common import durable, forget, free_name, mix, shingle_sets, signed
 from .components import components
 
 #: A shingle of this share of a task's documents (and of 3 at least) counts as common there ...
 COMMON_SHARE = 0.0003
 #: ... and so many common shingles at most are ordered last (the commonest; the bound on what is broadcast).
 COMMON_MOST = 65_536
-#: Linking sets of different documents are of 4 shingles at least, so they share more than this.
+#: Different sets that link share at least so many shingles: of two sets of a union u, u - 1 at most and 0.67 u at least.
 SHARED = 2
 LEADERS = 16
+#: Classes of a tile that one chunk holds, on average; a task compares two chunks at most.
+MEMBERS = 4096
+STRIP = 256
+#: In the first ROUNDS rounds over the tiles, at most so many pairs of a class leave a strip of a tile.
+NEAREST = 4
+ROUNDS = 1
 
 
 # ------------------------------------------------------------------ sets
@@ -187,50 +200,183 @@ def exact_filter(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b", "one", "other").mapInArrow(each, "a long, b long")
 
 
-def joined(left: DataFrame, right: DataFrame, percent: int, apart: bool) -> DataFrame:
-    """Pairs of classes (a, b), once for each tile in which sizes and the shingle's places still allow a link.
+def with_leaders(tiled: DataFrame, leaders: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a class and the leader of a shingle (a, b) in whose shingle sizes and the shingle's places still allow a link.
 
     A shingle at places i and j leaves at most min(i, j) shared ones before it
     and the shorter rest after it. Of the smaller set, whose overlap must be
-    2 percent / (100 + percent) of its size, a shorter prefix counts. apart:
-    both sides are one table, and only pairs of different components count.
+    2 percent / (100 + percent) of its size, a shorter prefix counts.
     """
-    x = left.select("shingle", *[F.col(c).alias(f"{c}x") for c in left.columns if c != "shingle"])
-    y = right.select("shingle", *[F.col(c).alias(f"{c}y") for c in right.columns if c != "shingle"])
+    x = tiled.select("shingle", *[F.col(c).alias(f"{c}x") for c in tiled.columns if c != "shingle"])
+    y = leaders.select("shingle", *[F.col(c).alias(f"{c}y") for c in leaders.columns if c != "shingle"])
     bound = F.least("ix", "iy") + 1 + F.least(F.col("nx") - F.col("ix") - 1, F.col("ny") - F.col("iy") - 1)
     small_first = F.when(F.col("nx") <= F.col("ny"), F.col("keyx")).otherwise(F.col("keyy"))
-    both = x.join(y, "shingle").where("componentx <> componenty and nodex < nodey" if apart else "nodex <> nodey")
-    both = both.where(small_first & (100 * bound >= percent * (F.col("nx") + F.col("ny") - bound)))
-    return both.select(F.least("nodex", "nodey").alias("a"), F.greatest("nodex", "nodey").alias("b"))
+    both = x.join(y, "shingle").where("nodex <> nodey").where(small_first & (100 * bound >= percent * (F.col("nx") + F.col("ny") - bound)))
+    return both.select(F.least("nodex", "nodey").alias("a"), F.greatest("nodex", "nodey").alias("b")).distinct()
 
 
-def verified(candidates: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """The links among candidates (a, b). classes: node, n, bits and doc_id of one of its documents."""
-    of = lambda end: classes.select(F.col("node").alias(end), F.col("n").alias(f"n{end}"), F.col("bits").alias(f"bits_{end}"))
-    likely = durable(bitmap_filter(candidates.join(of("a"), "a").join(of("b"), "b"), percent))
-    ends = likely.select(F.col("a").alias("node")).union(likely.select(F.col("b").alias("node"))).distinct()
+# ------------------------------------------------------------------ tiles
+def stacked(maps: list[bytes], at: np.ndarray, size: int) -> np.ndarray:
+    """The bitmaps at `at`, folded to `size` bytes, as rows of 64-bit words."""
+    x = np.frombuffer(b"".join(maps[i] for i in at), np.uint8).reshape(len(at), -1)
+    return np.bitwise_or.reduce(x.reshape(len(at), -1, size), axis=1).view(np.uint64)
+
+
+def close_pairs(n: np.ndarray, component: np.ndarray, maps: list[bytes], part: np.ndarray | None, percent: int, most: int | None) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """Indexes of the pairs of different components (and parts, if given) whose bitmaps allow a link, strip by strip.
+
+    Size bands: a class meets those from its own size to 100 / percent times as
+    many, so bitmaps of one length, and those of the next one folded to it.
+    most: only that many pairs of the highest bounds for each class; the flag says that there are others.
+    """
+    sizes = np.array([len(m) for m in maps])
+    for size in np.unique(sizes):
+        left = np.flatnonzero(sizes == size)
+        left = left[np.argsort(n[left], kind="stable")]
+        for length in (size, 2 * size):
+            right = np.flatnonzero(sizes == length)
+            if not len(right):
+                continue
+            right = right[np.argsort(n[right], kind="stable")]
+            x, y = stacked(maps, left, size), stacked(maps, right, size)
+            # How many shingles a map does not show as bits of their own.
+            hidden_x = n[left] - np.bitwise_count(x).sum(axis=1, dtype=np.int64)
+            hidden_y = n[right] - np.bitwise_count(y).sum(axis=1, dtype=np.int64)
+            for first in range(0, len(left), STRIP):
+                rows = slice(first, first + STRIP)
+                n_left = n[left[rows]]
+                low, high = np.searchsorted(n[right], [n_left[0], n_left[-1] * 100 // percent + 1])
+                if low >= high:
+                    continue
+                columns = slice(low, high)
+                bound = np.zeros((len(n_left), high - low), np.int64)
+                for w in range(x.shape[1]):
+                    bound += np.bitwise_count(x[rows, w][:, None] & y[columns, w][None, :])
+                bound += np.minimum(hidden_x[rows][:, None], hidden_y[columns][None, :])
+                union = n_left[:, None] + n[right[columns]][None, :] - bound
+                keep = 100 * bound >= percent * union
+                keep &= component[left[rows]][:, None] != component[right[columns]][None, :]
+                if part is not None:
+                    keep &= part[left[rows]][:, None] != part[right[columns]][None, :]
+                over = most is not None and bool((keep.sum(axis=1) > most).any())
+                if over:
+                    best = np.argpartition(np.where(keep, -bound / union, 1), most, axis=1)[:, :most]
+                    chosen = np.zeros_like(keep)
+                    np.put_along_axis(chosen, best, True, axis=1)
+                    keep &= chosen
+                i, j = np.nonzero(keep)
+                if len(i):
+                    yield left[rows][i], right[columns][j], over
+
+
+def groups_of(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    """The groups of equal first `keys` columns (none null) of batches that are sorted by them; holds one batch and one group."""
+    held: list[pa.RecordBatch] = []
+
+    def key(batch: pa.RecordBatch, at: int) -> list:
+        return [batch.column(c)[at].as_py() for c in range(keys)]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        change = np.zeros(batch.num_rows - 1, bool)
+        for c in range(keys):
+            x = batch.column(c).to_numpy(zero_copy_only=False)
+            change |= x[1:] != x[:-1]
+        bounds = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
+        for first, last in zip(bounds[:-1], bounds[1:], strict=True):
+            if held and key(held[0], 0) != key(batch, first):
+                yield pa.concat_batches(held)
+                held = []
+            held.append(batch.slice(first, last - first))
+    if held:
+        yield pa.concat_batches(held)
+
+
+def tile_pairs(tile: DataFrame, classes: DataFrame, percent: int, members: int, most: int | None) -> DataFrame:
+    """Pairs (a, b) of classes of different components in a tile (a stored table: lead, node, component) whose bitmaps allow a link.
+
+    most: so many for each class and strip of a tile; a row (lead, null) says that its tile has others.
+    """
+    per = durable(tile.groupBy("lead", "component").agg(F.count(F.lit(1)).alias("n")))
+    large = per.groupBy("lead").agg(F.sum("n").alias("all")).where(F.col("all") > members).select("lead")
+    # Chunks of large tiles: a component of a chunk's size or more has chunks of its own, the others share some.
+    of = per.join(large, "lead").withColumn("of", F.when(F.col("n") >= members, F.col("component")))
+    chunks = durable(of.groupBy("lead", "of").agg(F.ceil(F.sum("n") / members).alias("chunks")))
+    name = lambda number: F.concat_ws(".", F.coalesce(F.col("of").cast("string"), F.lit("")), number)
+    chunk = chunks.withColumn("number", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).withColumn("part", name("number"))
+    x, y = (chunk.select("lead", F.col("of").alias(f"of{e}"), F.col("part").alias(f"part{e}")) for e in "xy")
+    met = x.join(y, "lead").where("partx < party and not coalesce(ofx = ofy, false) or partx = party and ofx is null").select("lead", "partx", "party")
+    met = met.withColumn("part", F.explode(F.array_distinct(F.array("partx", "party"))))
+    place = of.select(F.col("lead").alias("lead_"), F.col("component").alias("component_"), "of")
+    place = place.join(chunks.select(F.col("lead").alias("lead_"), F.col("of").alias("of_"), "chunks"), ["lead_"]).where(F.col("of").eqNullSafe(F.col("of_"))).drop("of_")
+    member = tile.join(place, (F.col("lead") == F.col("lead_")) & (F.col("component") == F.col("component_"))).withColumn("part", name(F.pmod(F.xxhash64("node", F.lit(3)), F.col("chunks"))))
+    dealt = member.select("lead", "node", "component", "part").join(met, ["lead", "part"]).select("lead", "partx", "party", "part", "node", "component")
+    small = tile.join(large, "lead", "left_anti").select("lead", F.lit("").alias("partx"), F.lit("").alias("party"), F.lit("").alias("part"), "node", "component")
+    work = small.unionByName(dealt).join(classes.select("node", "n", "bits"), "node").select("lead", "partx", "party", "part", "node", "component", "n", "bits")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups_of(batches, 3):
+            first, last = group.column(1)[0].as_py(), group.column(2)[0].as_py()
+            part = np.asarray([p == first for p in group.column(3).to_pylist()]) if first != last else None
+            node, component, n = (group.column(c).to_numpy() for c in (4, 5, 6))
+            others = False
+            for i, j, over in close_pairs(n, component, group.column(7).to_pylist(), part, percent, most):
+                others |= over
+                a, b = node[i], node[j]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            if others:
+                yield pa.RecordBatch.from_arrays([group.column(0).slice(0, 1), pa.nulls(1, pa.int64())], ["a", "b"])
+
+    keys = ["lead", "partx", "party"]
+    pairs = durable(work.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(each, "a long, b long").distinct())
+    forget(per)
+    forget(chunks)
+    return pairs
+
+
+def open_tiles(tile: DataFrame, label: DataFrame) -> DataFrame:
+    """Those of the tiles (lead, node) whose classes are of several components, with these."""
+    now = tile.select("lead", "node").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    apart = now.groupBy("lead").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("lead")
+    return durable(now.join(apart, "lead", "left_semi").select("lead", "node", "component"))
+
+
+def verified(likely: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """The links among the pairs likely (a, b; a stored table, rows without b left out). classes: node and doc_id of one of its documents."""
+    pairs = likely.where("b is not null")
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = classes.select("node", "doc_id").join(ends, "node", "left_semi")
     arrays = durable(sets(docs.join(wanted, "doc_id"), k).dropDuplicates(["node", "shingles"]))
     one, other = arrays.select(F.col("node").alias("a"), F.col("shingles").alias("one")), arrays.select(F.col("node").alias("b"), F.col("shingles").alias("other"))
-    found = durable(exact_filter(likely.join(one, "a").join(other, "b"), percent).distinct())
+    found = durable(exact_filter(pairs.join(one, "a").join(other, "b"), percent).distinct())
     forget(likely)
     forget(arrays)
     return found
 
 
-def jaccard_components(documents: DataFrame, *, k: int = 5, percent: int = 80) -> DataFrame:
+def likely_among(candidates: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) whose bitmaps allow a link."""
+    of = lambda end: classes.select(F.col("node").alias(end), F.col("n").alias(f"n{end}"), F.col("bits").alias(f"bits_{end}"))
+    return durable(bitmap_filter(candidates.join(of("a"), "a").join(of("b"), "b"), percent))
+
+
+def jaccard_components(documents: DataFrame, *, k: int = 5, percent: int = 80, members: int = MEMBERS, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of documents."""
+    if not 67 <= percent <= 100:
+        raise ValueError("percent is 67 to 100")
     docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     heavy = durable(signatures(docs, k, percent, common_shingles(docs, k)))
-    light = durable(heavy.drop("first"))
+    light = durable(heavy.drop("first", "bits"))
     known = "n > 0 and doc_id is not null"
     sized = light.where(known).withColumnRenamed("h1", "node")
     least = sized.groupBy("node", "h2", "n").agg(F.min("doc_id").alias("doc_id"))
-    classes = sized.join(least, ["node", "h2", "n", "doc_id"], "left_semi").select("node", "n", "bits", "doc_id").distinct()
-    # Tiles: first shingles that several rows share. Only those rows go on, a row a class.
+    # Shingles among the first that several rows share. Only those go on, a row a class.
     post = heavy.where(known).select(F.col("h1").alias("node"), "n", F.posexplode("first").alias("i", "shingle"))
     often = post.groupBy("shingle").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("shingle")
     kept = durable(post.join(often, "shingle", "left_semi").select("shingle", "node", "n", "i").distinct())
+    classes = heavy.where(known).select(F.col("h1").alias("node"), "h2", "n", "bits", "doc_id").join(least, ["node", "h2", "n", "doc_id"], "left_semi")
+    classes = durable(classes.join(kept.select("node").distinct(), "node", "left_semi").select("node", "n", "bits", "doc_id").distinct())
     forget(heavy)
     order = F.element_at(F.array(*[F.lit(int(signed([set_hash(np.arange(i, i + 3, dtype=np.uint64))])[0])) for i in range(LEADERS)]), (F.pmod("shingle", F.lit(LEADERS)) + 1).cast("int"))
     tiles = kept.groupBy("shingle").agg(F.count(F.lit(1)).alias("size"), F.min(F.col("node").bitwiseXOR(order)).alias("lead")).where("size > 1")
@@ -239,28 +385,45 @@ def jaccard_components(documents: DataFrame, *, k: int = 5, percent: int = 80) -
     key = F.expr(f"i < n - (2 * {percent} * n + {99 + percent}) div {100 + percent} + {SHARED}")
     tiled = durable(kept.join(tiles, "shingle").withColumn("key", key))
     forget(kept)
-    leaders = tiled.where("node = lead").drop("lead", "size")
-    star = joined(tiled.where("node <> lead").drop("lead", "size"), leaders, percent, False).distinct()
-    found = verified(star, docs, classes, k, percent)
+    led = tiled.select("shingle", "node", "n", "i", "key")
+    star = with_leaders(led.join(tiled.where("node = lead").select("shingle", "node"), ["shingle", "node"], "left_anti"), tiled.where("node = lead").select(led.columns), percent)
+    found = verified(likely_among(star, classes, percent), docs, classes, k, percent)
     label = components(found)
-    # What leaders did not settle: other pairs of a tile that are not yet in one component.
-    rest = tiled.where("size > 2 and node <> lead").drop("size", "lead").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    apart = rest.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("shingle")
-    rest = durable(rest.join(apart, "shingle", "left_semi"))
+    # What leaders did not settle: shingles whose classes are not yet in one component.
+    rest = tiled.where("size > 2").select("shingle", "node").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    apart = rest.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("node").alias("lead")).where("lo <> hi").select("shingle", "lead")
+    tile = durable(rest.join(apart, "shingle").select("lead", "node", "component").distinct())
     forget(tiled)
-    # A pair that links shares SHARED tiles; where a leader is one of it, the pair is settled already.
-    more = joined(rest, rest, percent, True).groupBy("a", "b").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") >= SHARED).select("a", "b")
-    extra = verified(more, docs, classes, k, percent)
-    forget(rest)
-    label = components(found.unionByName(extra))
+    for most in (*[NEAREST] * rounds, None):
+        pairs = tile_pairs(tile, classes, percent, members, most)
+        others = durable(pairs.where("b is null").select(F.col("a").alias("lead")).distinct())
+        extra = verified(pairs, docs, classes, k, percent)
+        forget(label)
+        joined = durable(found.unionByName(extra))
+        forget(found)
+        forget(extra)
+        found = joined
+        label = components(found)
+        # Tiles of which all pairs were seen are done; the others go on where their classes are still apart.
+        last = tile
+        tile = open_tiles(last.join(others, "lead", "left_semi"), label)
+        forget(last)
+        forget(others)
+        if not tile.limit(1).count():
+            break
+    forget(tile)
+    forget(classes)
+    forget(found)
     # From classes to documents: the smallest doc_id of a component's classes; doc_ids in several classes join those.
     linked = sized.select("node", "doc_id").distinct().join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = linked.groupBy("component").agg(F.min("doc_id").alias("to"))
     ids = components(linked.join(smallest, "component").select(F.col("doc_id").alias("a"), F.col("to").alias("b")))
+    forget(label)
     return light.select("doc_id", F.col("n").alias("n_shingles")).join(ids.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def drop_near_copies(documents: DataFrame, **options) -> DataFrame:
     """documents without those whose component has a smaller doc_id (rows that repeat that doc_id stay)."""
-    found = jaccard_components(documents, **options).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return documents.join(found, F.col("doc_id") == F.col("_gone"), "left_anti")
+    name = free_name(documents, "gone")
+    found = jaccard_components(documents, **options).where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    return documents.join(found, documents["doc_id"].cast("long") == found[name], "left_anti")

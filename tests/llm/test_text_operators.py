@@ -86,11 +86,12 @@ def test_bucketed_prefix(spark):
         assert all(r["s"] == (r["i"] + 1) * (r["i"] + 2) // 2 for r in out.collect()) and out.count() == 40
 
 
-def test_components(spark):
+@pytest.mark.parametrize("at_once", [0, 1_000_000])
+def test_components(spark, at_once):
     r = random.Random(4)
     pairs = [(r.randrange(300), r.randrange(300)) for _ in range(170)] + [(i, i + 1) for i in range(400, 480)]
     want = union_find(500, pairs)
-    got = {x["node"]: x["component"] for x in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    got = {x["node"]: x["component"] for x in components(spark.createDataFrame(pairs, "a long, b long"), at_once).collect()}
     assert all(got.get(i, i) == want[i] for i in range(500))
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
@@ -108,22 +109,59 @@ def test_jaccard_components_are_exact(spark, seed):
     assert len(linked) > 10
 
 
-@pytest.mark.parametrize("leaders", [1, 16])
-def test_large_groups_of_near_copies(spark, monkeypatch, leaders):
+def near_group(n, seed=11, words=150, prefix="w"):
     """Copies of one text with up to a third of it changed: some link with the leaders, some with others only, some with none."""
-    monkeypatch.setattr(ngram_join, "LEADERS", leaders)
-    r = random.Random(11)
-    base = [f"w{i}" for i in range(150)]
+    r = random.Random(seed)
+    base = [f"{prefix}{i}" for i in range(words)]
     texts = []
-    for _ in range(90):
+    for _ in range(n):
         w = list(base)
-        for _ in range(r.choice([1, 2, 3, 5, 9])):
-            w[r.randrange(150)] = f"x{r.randrange(10**6)}"
-        texts.append(" ".join(w))
+        for _ in range(r.choice([1, 2, 3, 4, 5, 9])):
+            w[r.randrange(words)] = f"x{r.randrange(10**6)}"
+        texts.append(" ".join(w[: r.choice([words, words, words - 12])]))
+    return texts
+
+
+@pytest.mark.parametrize(("leaders", "members", "rounds", "nearest"), [(1, 4096, 0, 4), (16, 4096, 1, 1), (16, 7, 2, 2), (1, 20, 1, 4)])
+def test_large_groups_of_near_copies(spark, monkeypatch, leaders, members, rounds, nearest):
+    """Exact whatever leaders, chunks and rounds leave to each other."""
+    monkeypatch.setattr(ngram_join, "LEADERS", leaders)
+    monkeypatch.setattr(ngram_join, "NEAREST", nearest)
+    monkeypatch.setattr(ngram_join, "STRIP", 16)
+    texts = [*near_group(90), *near_group(40, 5, 60, "v"), *near_texts(4)]
     sets = [shingles(t) for t in texts]
-    linked = [(i, j) for i in range(90) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
-    got = {x["doc_id"]: x["component_id"] for x in ngram_join.jaccard_components(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()}
-    assert [got[i] for i in range(90)] == union_find(90, linked)
+    linked = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    found = ngram_join.jaccard_components(spark.createDataFrame(list(enumerate(texts)), DOCS), members=members, rounds=rounds)
+    got = {x["doc_id"]: x["component_id"] for x in found.collect()}
+    assert [got[i] for i in range(len(texts))] == union_find(len(texts), linked)
+
+
+def test_pairs_that_leave_tiles_grow_with_the_group_not_its_square(spark, monkeypatch):
+    """Near copies that mostly link: rows between tasks follow the number of members."""
+    seen = []
+
+    def counted(*args, run=ngram_join.verified):
+        seen.append(args[0].count())
+        return run(*args)
+
+    monkeypatch.setattr(ngram_join, "verified", counted)
+    rows = []
+    for n in (100, 200, 400):
+        seen.clear()
+        ngram_join.jaccard_components(spark.createDataFrame(list(enumerate(near_group(n))), DOCS)).count()
+        rows.append(max(seen))
+    assert rows[2] < 4 * rows[1] < 16 * rows[0] and rows[2] < 400 * 12
+
+
+def test_similarity_out_of_range(spark):
+    with pytest.raises(ValueError, match="67 to 100"):
+        ngram_join.jaccard_components(spark.createDataFrame([], DOCS), percent=50)
+
+
+def test_near_copies_go_whatever_the_columns(spark):
+    rows = [(1, "a b c d e f g", 1), (2, "a b c d e f g", 2), (None, "a b c d e f g", 3), (4, None, 4)]
+    kept = ngram_join.drop_near_copies(spark.createDataFrame(rows, "doc_id int, text string, gone int"))
+    assert kept.columns == ["doc_id", "text", "gone"] and sorted(x["gone"] for x in kept.collect()) == [1, 3, 4]
 
 
 def test_jaccard_edge_cases(spark):
