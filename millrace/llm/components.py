@@ -73,8 +73,7 @@ def components(edges: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
             .select(F.greatest("pa", "pb").alias("a"), F.least("pa", "pb").alias("b")).distinct()
         )
         label = moved(label, parent.select("node", F.col("p").alias("component")))
-        forget(parent)
-        forget(left)
+        forget(parent, left)
         left = shrunk
     label = moved(label, ended(left))
     forget(left)

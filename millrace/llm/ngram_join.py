@@ -330,8 +330,7 @@ def tile_pairs(tile: DataFrame, classes: DataFrame, percent: int, members: int,
 
     keys = ["lead", "partx", "party"]
     pairs = durable(work.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(each, "a long, b long").distinct())
-    forget(per)
-    forget(chunks)
+    forget(per, chunks)
     return pairs
 
 
@@ -350,8 +349,7 @@ def verified(likely: DataFrame, docs: DataFrame, classes: DataFrame, k: int, per
     arrays = durable(sets(docs.join(wanted, "doc_id"), k).dropDuplicates(["node", "shingles"]))
     one, other = arrays.select(F.col("node").alias("a"), F.col("shingles").alias("one")), arrays.select(F.col("node").alias("b"), F.col("shingles").alias("other"))
     found = durable(exact_filter(pairs.join(one, "a").join(other, "b"), percent).distinct())
-    forget(likely)
-    forget(arrays)
+    forget(likely, arrays)
     return found
 
 
@@ -400,20 +398,16 @@ def jaccard_components(documents: DataFrame, *, k: int = 5, percent: int = 80, m
         extra = verified(pairs, docs, classes, k, percent)
         forget(label)
         joined = durable(found.unionByName(extra))
-        forget(found)
-        forget(extra)
+        forget(found, extra)
         found = joined
         label = components(found)
         # Tiles of which all pairs were seen are done; the others go on where their classes are still apart.
         last = tile
         tile = open_tiles(last.join(others, "lead", "left_semi"), label)
-        forget(last)
-        forget(others)
+        forget(last, others)
         if not tile.limit(1).count():
             break
-    forget(tile)
-    forget(classes)
-    forget(found)
+    forget(tile, classes, found)
     # From classes to documents: the smallest doc_id of a component's classes; doc_ids in several classes join those.
     linked = sized.select("node", "doc_id").distinct().join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = linked.groupBy("component").agg(F.min("doc_id").alias("to"))
