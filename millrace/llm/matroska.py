@@ -1,31 +1,39 @@
 """Media columns: Matroska files as packet tables.
 
-``demux`` walks the EBML elements of a file (variable-length ids and sizes,
-sizes left open included), reads tracks, clusters, simple blocks and block groups with no, Xiph,
+``demux`` walks the EBML elements of a file (variable-length ids and sizes, and
+clusters and segments whose size is left open), reads tracks, clusters, simple blocks and block groups with no, Xiph,
 EBML or fixed-size lacing, and cues, and lists every packet with its track,
-timestamp, key flag and byte range in the file. ``mux`` writes a payload as one
+timestamp, key flag, byte range in the file and the time of the cue that points to it. ``mux`` writes a payload as one
 track of 8-bit samples, with all kinds of lacing, clusters and cues.
-``packets`` makes a table of packets out of a column of files;
+``packets`` makes a table of packets out of a column of files, ``cue_points`` one of cues;
 ``texts_as_media`` stores every text as a file and reads it back.
 
 Defined results: a null or empty payload is one padded block of zeros; a null
 file has no packets; a damaged file gives the packets before the damage (and
-``Media.error``); equal payloads give equal files; an empty table gives an empty
-result.
+``Media.error``), and any bytes are read without an exception; values that the
+format forbids (no channels, a rate that is no number) count as not given; cues that point to nothing mark
+nothing; equal payloads give equal files; an empty table gives an empty result; where a
+table already has a column of a packet's or cue's names, the new one gets underscores before its name.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 # Fixed values of the Matroska format: element ids.
 EBML = 0x1A45DFA3
 DOC_TYPE = 0x4282
@@ -185,42 +193,60 @@ def get_size(data: bytes, at: int, end: int) -> tuple[int | None, int]:
     return (None if value == (1 << 7 * width) - 1 else value), at + width
 
 
-def children(data: bytes, at: int, end: int, stop: set[int] = frozenset()) -> Iterator[tuple[int, int, int, bool]]:
-    """(id, first byte, past the last, open-ended) of the elements in a range, up to one in stop."""
+class Element(NamedTuple):
+    id: int
+    start: int
+    body: int
+    past: int
+    open: bool
+
+
+def children(data: bytes, at: int, end: int, stop: set[int] = frozenset()) -> Iterator[Element]:
+    """The elements in a range, up to one in stop."""
     while at < end:
         i, body = get_id(data, at, end)
         if i in stop:
             return
         size, body = get_size(data, body, end)
-        past = end if size is None else body + size
-        if past > end:
-            yield i, body, end, False
-            raise Damaged(f"element {i:X} at {at} passes its parent's end")
-        yield i, body, past, size is None
         if size is None:
+            if i not in (SEGMENT, CLUSTER):
+                raise Damaged(f"element {i:X} at {at} can't be of open size")
+            yield Element(i, at, body, end, True)
             # Its own reader tells where it ended.
-            past = _open_end(data, i, body, end)
-        at = past
+            at = _open_end(data, i, body, end)
+            continue
+        if body + size > end:
+            yield Element(i, at, body, end, False)
+            raise Damaged(f"element {i:X} at {at} passes its parent's end")
+        yield Element(i, at, body, body + size, False)
+        at = body + size
 
 
 def _open_end(data: bytes, i: int, at: int, end: int) -> int:
-    """Where an element of open size ends: before the next that can't be inside it."""
+    """Where a segment or cluster of open size ends: before the next element that can't be inside it."""
     stop = _TOP if i == SEGMENT else _TOP | _SEGMENT_CHILDREN
     while at < end:
         child, body = get_id(data, at, end)
         if child in stop:
             return at
         size, body = get_size(data, body, end)
-        at = _open_end(data, child, body, end) if size is None else body + size
+        if size is None and (i != SEGMENT or child != CLUSTER):
+            raise Damaged(f"element {child:X} at {at} can't be of open size")
+        at = _open_end(data, CLUSTER, body, end) if size is None else body + size
     return min(at, end)
 
 
-def get_number(data: bytes, at: int, past: int) -> int:
-    return int.from_bytes(data[at:past], "big")
+def get_number(data: bytes, e: Element) -> int:
+    if e.past - e.body > 8:
+        raise Damaged(f"number of {e.past - e.body} bytes at {e.body}")
+    return int.from_bytes(data[e.body : e.past], "big")
 
 
-def get_real(data: bytes, at: int, past: int) -> float:
-    return {0: lambda: 0.0, 4: lambda: struct.unpack(">f", data[at:past])[0], 8: lambda: struct.unpack(">d", data[at:past])[0]}[past - at]()
+def get_real(data: bytes, e: Element) -> float:
+    kind = {0: "", 4: ">f", 8: ">d"}.get(e.past - e.body)
+    if kind is None:
+        raise Damaged(f"real of {e.past - e.body} bytes at {e.body}")
+    return struct.unpack(kind, data[e.body : e.past])[0] if kind else 0.0
 
 
 @dataclass
@@ -243,6 +269,16 @@ class Packet:
     key: bool
     cluster: int
     lacing: int
+    cue_ns: int | None = None
+
+
+class Cue(NamedTuple):
+    """A cue's time (in ticks), its track, and where its cluster begins in the segment and its block in the cluster's body (null: not given)."""
+
+    time: int
+    track: int
+    cluster: int
+    block: int | None
 
 
 @dataclass
@@ -251,8 +287,12 @@ class Media:
     duration: float = 0.0
     tracks: dict[int, Track] = field(default_factory=dict)
     packets: list[Packet] = field(default_factory=list)
-    clusters: list[int] = field(default_factory=list)
-    cues: list[tuple[int, int, int]] = field(default_factory=list)
+    #: Where each cluster begins in the file, and where its body does.
+    clusters: list[tuple[int, int]] = field(default_factory=list)
+    cues: list[Cue] = field(default_factory=list)
+    #: The first packet of the block that begins at a place in the file.
+    blocks: dict[int, int] = field(default_factory=dict)
+    segment: int = 0
     error: str | None = None
 
 
@@ -306,104 +346,164 @@ def read_block(media: Media, data: bytes, at: int, past: int, base: int, key: bo
         if each:
             t = stamp + i * each
         elif frame_ticks is not None:
-            t = stamp + int(i * frame_ticks * media.scale / len(sizes))
+            t = stamp + i * frame_ticks * media.scale // len(sizes)
         elif of and of.bits and of.rate:  # PCM: the bytes before tell
             t = stamp + int(sum(sizes[:i]) * 8 / (of.bits * of.channels) / of.rate * 1e9)
         else:
             t = stamp
+        if not -(1 << 63) <= t < 1 << 63:
+            raise Damaged(f"timestamp out of range at {at}")
         media.packets.append(Packet(track, t, at, size, bool(flags & 0x80) if key is None else key, len(media.clusters) - 1, kind))
         at += size
 
 
-def read_cluster(media: Media, data: bytes, at: int, past: int, is_open: bool) -> None:
+def read_cluster(media: Media, data: bytes, cluster: Element) -> None:
     base = 0
-    for i, a, b, _ in children(data, at, past, (_TOP | _SEGMENT_CHILDREN) if is_open else frozenset()):
-        if i == TIMESTAMP:
-            base = get_number(data, a, b)
-        elif i == SIMPLE_BLOCK:
-            read_block(media, data, a, b, base, None, None)
-        elif i == BLOCK_GROUP:
-            parts = {c: (x, y) for c, x, y, _ in children(data, a, b)}
+    for e in children(data, cluster.body, cluster.past, (_TOP | _SEGMENT_CHILDREN) if cluster.open else frozenset()):
+        first = len(media.packets)
+        if e.id == TIMESTAMP:
+            base = get_number(data, e)
+        elif e.id == SIMPLE_BLOCK:
+            read_block(media, data, e.body, e.past, base, None, None)
+        elif e.id == BLOCK_GROUP:
+            parts = {c.id: c for c in children(data, e.body, e.past)}
             if BLOCK in parts:
-                ticks = get_number(data, *parts[BLOCK_DURATION]) if BLOCK_DURATION in parts else None
-                read_block(media, data, *parts[BLOCK], base, REFERENCE_BLOCK not in parts, ticks)
+                ticks = get_number(data, parts[BLOCK_DURATION]) if BLOCK_DURATION in parts else None
+                read_block(media, data, parts[BLOCK].body, parts[BLOCK].past, base, REFERENCE_BLOCK not in parts, ticks)
+        if len(media.packets) > first:
+            media.blocks[e.start] = first
 
 
-def read_tracks(media: Media, data: bytes, at: int, past: int) -> None:
-    for i, a, b, _ in children(data, at, past):
-        if i != TRACK_ENTRY:
+def read_tracks(media: Media, data: bytes, tracks: Element) -> None:
+    for entry in children(data, tracks.body, tracks.past):
+        if entry.id != TRACK_ENTRY:
             continue
         t = Track()
-        for c, x, y, _ in children(data, a, b):
-            if c == TRACK_NUMBER:
-                t.number = get_number(data, x, y)
-            elif c == TRACK_TYPE:
-                t.kind = get_number(data, x, y)
-            elif c == CODEC_ID:
-                t.codec = data[x:y].decode("ascii", "replace")
-            elif c == DEFAULT_DURATION:
-                t.frame_ns = get_number(data, x, y)
-            elif c == AUDIO:
-                for e, p, q, _ in children(data, x, y):
-                    if e == SAMPLING_FREQUENCY:
-                        t.rate = get_real(data, p, q)
-                    elif e == CHANNELS:
-                        t.channels = get_number(data, p, q)
-                    elif e == BIT_DEPTH:
-                        t.bits = get_number(data, p, q)
+        for e in children(data, entry.body, entry.past):
+            if e.id == TRACK_NUMBER:
+                t.number = get_number(data, e)
+            elif e.id == TRACK_TYPE:
+                t.kind = get_number(data, e)
+            elif e.id == CODEC_ID:
+                t.codec = data[e.body : e.past].decode("ascii", "replace")
+            elif e.id == DEFAULT_DURATION:
+                t.frame_ns = get_number(data, e)
+            elif e.id == AUDIO:
+                for x in children(data, e.body, e.past):
+                    if x.id == SAMPLING_FREQUENCY:
+                        rate = get_real(data, x)
+                        t.rate = rate if math.isfinite(rate) and rate > 1e-6 else 0.0
+                    elif x.id == CHANNELS:
+                        t.channels = get_number(data, x) or 1
+                    elif x.id == BIT_DEPTH:
+                        t.bits = get_number(data, x)
         media.tracks[t.number] = t
 
 
+def read_cues(media: Media, data: bytes, cues: Element) -> None:
+    for point in children(data, cues.body, cues.past):
+        if point.id != CUE_POINT:
+            continue
+        parts = list(children(data, point.body, point.past))
+        time = next((get_number(data, e) for e in parts if e.id == CUE_TIME), None)
+        if time is None:
+            raise Damaged(f"cue without a time at {point.start}")
+        for e in parts:  # one for each track
+            if e.id == CUE_TRACK_POSITIONS:
+                where = {x.id: get_number(data, x) for x in children(data, e.body, e.past) if x.id in (CUE_TRACK, CUE_CLUSTER_POSITION, CUE_RELATIVE_POSITION)}
+                media.cues.append(Cue(time, where.get(CUE_TRACK, 0), where.get(CUE_CLUSTER_POSITION, 0), where.get(CUE_RELATIVE_POSITION)))
+
+
+def mark_cues(media: Media) -> None:
+    """Give the first packet of each block that a cue points to the cue's time: by the block's place, or else its cluster, track and time."""
+    by_start = {start: k for k, (start, _) in enumerate(media.clusters)}
+    first_of: dict[tuple[int, int, int], Packet] = {}
+    for p in media.packets:
+        first_of.setdefault((p.cluster, p.track, p.timestamp_ns), p)
+    for cue in media.cues:
+        cluster = by_start.get(media.segment + cue.cluster)
+        if cluster is None:
+            continue
+        if cue.block is None:
+            found = first_of.get((cluster, cue.track, cue.time * media.scale))
+        else:
+            at = media.blocks.get(media.clusters[cluster][1] + cue.block)
+            found = media.packets[at] if at is not None and media.packets[at].track == cue.track else None
+        if found is not None and cue.time * media.scale < 1 << 63:
+            found.cue_ns = cue.time * media.scale
+
+
 def demux(data: bytes) -> Media:
     """Everything a Matroska file says of its tracks, packets and cues."""
     media = Media()
     try:
         found = False
-        for i, a, b, is_open in children(data, 0, len(data)):
-            if i != SEGMENT:
+        for segment in children(data, 0, len(data)):
+            if segment.id != SEGMENT:
                 continue
             found = True
-            for c, x, y, c_open in children(data, a, b, _TOP if is_open else frozenset()):
-                if c == INFO:
-                    for e, p, q, _ in children(data, x, y):
-                        if e == TIMESTAMP_SCALE:
-                            media.scale = get_number(data, p, q)
-                        elif e == DURATION:
-                            media.duration = get_real(data, p, q)
-                elif c == TRACKS:
-                    read_tracks(media, data, x, y)
-                elif c == CLUSTER:
-                    media.clusters.append(x)
-                    read_cluster(media, data, x, y, c_open)
-                elif c == CUES:
-                    for e, p, q, _ in children(data, x, y):
-                        if e == CUE_POINT:
-                            parts = {k: (m, n) for k, m, n, _ in children(data, p, q)}
-                            where = {k: get_number(data, m, n) for k, m, n, _ in children(data, *parts[CUE_TRACK_POSITIONS])}
-                            media.cues.append((get_number(data, *parts[CUE_TIME]), where.get(CUE_TRACK, 0), where.get(CUE_CLUSTER_POSITION, 0)))
+            media.segment = segment.body
+            for e in children(data, segment.body, segment.past, _TOP if segment.open else frozenset()):
+                if e.id == INFO:
+                    for x in children(data, e.body, e.past):
+                        if x.id == TIMESTAMP_SCALE:
+                            media.scale = get_number(data, x)
+                        elif x.id == DURATION:
+                            media.duration = get_real(data, x)
+                elif e.id == TRACKS:
+                    read_tracks(media, data, e)
+                elif e.id == CLUSTER:
+                    media.clusters.append((e.start, e.body))
+                    read_cluster(media, data, e)
+                elif e.id == CUES:
+                    read_cues(media, data, e)
         if not found:
             raise Damaged("no segment")
-    except (Damaged, KeyError, IndexError, struct.error) as why:
-        media.error = str(why) or type(why).__name__
+    except Damaged as why:
+        media.error = str(why)
+    mark_cues(media)
     return media
 
 
 # ------------------------------------------------------------------ tables
-PACKET = "track int, timestamp_ns long, offset long, size long, key boolean, cluster int, lacing int"
+PACKET = {"track": pa.int64(), "timestamp_ns": pa.int64(), "offset": pa.int64(), "size": pa.int64(), "key": pa.bool_(), "cluster": pa.int32(), "lacing": pa.int32(), "cue_ns": pa.int64()}
+CUE = {"track": pa.int64(), "timestamp_ns": pa.int64(), "cluster_offset": pa.int64(), "block_offset": pa.int64()}
+_SQL = {pa.int64(): "long", pa.int32(): "int", pa.bool_(): "boolean"}
+
+
+def listed(files: DataFrame, column: str, kinds: dict[str, pa.DataType], rows_of) -> DataFrame:
+    """All columns of files but `column`, and those of kinds: a row for each tuple that rows_of gives of a file's Media."""
+    fields = ", ".join(f"{name}: {_SQL[kind]}" for name, kind in kinds.items())
+
+    @F.arrow_udf(f"array<struct<{fields}>>")
+    def each(column: pa.Array) -> pa.Array:
+        rows, ends = [], [0]
+        for data in column:
+            rows.extend(rows_of(demux(data.as_py())) if data.is_valid else ())
+            ends.append(len(rows))
+        columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+        flat = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], list(kinds))
+        return pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), flat)
+
+    rest = files.drop(column)
+    held = free_name(files, "found")
+    out = files.select(*[F.col(f"`{c}`") for c in rest.columns], F.explode(each(F.col(f"`{column}`"))).alias(held))
+    return out.select(*[F.col(f"`{c}`") for c in rest.columns], *[F.col(f"`{held}`")[name].alias(free_name(rest, name)) for name in kinds])
 
 
 def packets(files: DataFrame, column: str) -> DataFrame:
-    """All columns of files but `column`, and the columns of PACKET: a row a packet."""
+    """All columns of files but `column`, and those of PACKET: a row a packet."""
+    return listed(files, column, PACKET, lambda media: [(p.track, p.timestamp_ns, p.offset, p.size, p.key, p.cluster, p.lacing, p.cue_ns) for p in media.packets])
+
+
+def cue_points(files: DataFrame, column: str) -> DataFrame:
+    """All columns of files but `column`, and those of CUE: a row for each track of a cue whose numbers fit a long."""
 
-    @F.udf("array<struct<" + PACKET.replace(", ", ",").replace(" ", ":") + ">>", useArrow=True)
-    def listed(data: bytes | None) -> list | None:
-        if data is None:
-            return []
-        media = demux(bytes(data))
-        return [(p.track, p.timestamp_ns, p.offset, p.size, p.key, p.cluster, p.lacing) for p in media.packets]
+    def rows_of(media: Media) -> list[tuple]:
+        found = [(c.track, c.time * media.scale, media.segment + c.cluster, c.block) for c in media.cues]
+        return [c for c in found if all(x is None or x < 1 << 63 for x in c)]
 
-    rest = [c for c in files.columns if c != column]
-    return files.select(*rest, F.explode(listed(F.col(column))).alias("_p")).select(*rest, "_p.*")
+    return listed(files, column, CUE, rows_of)
 
 
 def feature(media: Media, payload: bytes) -> str:
@@ -412,7 +512,7 @@ def feature(media: Media, payload: bytes) -> str:
     total = sum(payload)
     laced = sum(p.lacing != NO_LACE for p in media.packets)
     last = media.packets[-1].timestamp_ns if media.packets else 0
-    return f"tracks={len(media.tracks)};clusters={len(media.clusters)};cues={len(media.cues)};packets={len(media.packets)};laced={laced};last_ns={last};mean={total / n:.6f};peak={max(payload)}"
+    return f"tracks={len(media.tracks)};clusters={len(media.clusters)};cues={sum(p.cue_ns is not None for p in media.packets)};packets={len(media.packets)};laced={laced};last_ns={last};mean={total / n:.6f};peak={max(payload)}"
 
 
 COLUMNS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"

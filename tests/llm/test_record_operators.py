@@ -50,6 +50,21 @@ def test_mix_meets_its_targets(spark):
     assert sorted(map(key, out)) == sorted(map(key, again))
 
 
+def test_mixed_rows_carry_their_own_columns(spark):
+    """From a source that is no stored table, with null sources, repeated rows and clashing columns."""
+    r = random.Random(4)
+    rows = [(i, " ".join(["w"] * r.randint(0, 30)), r.choice(["a", "a", "a", None]), i, -i) for i in range(200)] + [(7, "x y", "a", 7, -7)] * 3
+    docs = spark.createDataFrame(rows, DOCS + ", _row int, epochs int").repartition(7).where(F.rand(5) < 2)
+    out = mixing.mix_rows(docs.withColumns({"copy": F.lit(1), "row": F.lit(2), "_epochs": F.lit(3)}))
+    assert out.columns == ["doc_id", "text", "source", "_row", "epochs", "copy", "row", "_epochs"]
+    got = out.collect()
+    texts = {x[0]: (x[1], x[2]) for x in rows[:200]}
+    assert all((x["text"], x["source"]) == (texts[x["doc_id"]] if x["text"] != "x y" else ("x y", "a")) and x["_row"] == x["doc_id"] == -x["epochs"] for x in got)
+    words = lambda s: sum(len(x["text"].split()) for x in got if x["source"] == s)
+    total = sum(len(x[1].split()) for x in rows)
+    assert abs(words("a") + words(None) - total) <= 60 and mixing.mix_rows(docs.limit(0)).count() == 0
+
+
 def test_mix_edge_cases(spark):
     assert mixing.mix(spark.createDataFrame([], DOCS)).count() == 0
     out = mixing.mix(spark.createDataFrame([(1, None, None), (2, " ", "x")], DOCS)).collect()
@@ -114,6 +129,48 @@ def test_genetics_keep_every_piece_and_help():
 
 
 # ------------------------------------------------------------------ 6
+def plain_payload(data):
+    """The frames of a file of known sizes, read by another road: head by head, with no use of the library's reader."""
+
+    def vint(at, keep):
+        n = 1
+        while not data[at] >> 8 - n & 1:
+            n += 1
+        value = int.from_bytes(data[at : at + n], "big")
+        return (value if keep else value - (1 << 7 * n)), at + n
+
+    out = []
+
+    def block(at, end):
+        _, at = vint(at, False)
+        flags, at = data[at + 2], at + 3
+        kind = flags & 6
+        if kind:
+            count, at = data[at] + 1, at + 1
+            if kind == 2:  # Xiph
+                for _ in range(count - 1):
+                    while data[at] == 255:
+                        at += 1
+                    at += 1
+            elif kind == 6:  # EBML
+                for _ in range(count - 1):
+                    _, at = vint(at, False)
+        out.append(data[at:end])  # frames of a block follow each other
+
+    def walk(at, end):
+        while at < end:
+            tag, at = vint(at, True)
+            size, at = vint(at, False)
+            if tag in (0x18538067, 0x1F43B675, 0xA0):
+                walk(at, at + size)
+            elif tag in (0xA3, 0xA1):
+                block(at, at + size)
+            at += size
+
+    walk(0, len(data))
+    return b"".join(out)
+
+
 @pytest.mark.parametrize("n", [64, 128, 480, 481, 1217, 5000, 100_000])
 def test_media_round_trip(n):
     payload = random.Random(n).randbytes(n)
@@ -123,8 +180,11 @@ def test_media_round_trip(n):
     times = [p.timestamp_ns for p in media.packets]
     assert times == sorted(times) and len(media.cues) == len(media.clusters)
     segment = data.index(mk.put_id(mk.INFO))
-    for (time, track, place), body in zip(media.cues, media.clusters, strict=True):
-        assert data[segment + place : segment + place + 4] == mk.put_id(mk.CLUSTER) and track == 1 and segment + place < body
+    for cue, (start, _) in zip(media.cues, media.clusters, strict=True):
+        assert segment + cue.cluster == start and data[start : start + 4] == mk.put_id(mk.CLUSTER) and cue.track == 1
+    cued = [p for p in media.packets if p.cue_ns is not None]
+    assert [p.cluster for p in cued] == list(range(len(media.clusters))) and all(p.cue_ns == p.timestamp_ns // 1_000_000 * 1_000_000 for p in cued)
+    assert plain_payload(data) == payload
 
 
 def test_all_kinds_of_lacing():
@@ -148,6 +208,47 @@ def test_open_sizes_and_damage():
     assert mk.demux(b"").error == "no segment" and mk.demux(b"\x00" * 9).error
 
 
+def test_any_bytes_are_read_without_an_exception():
+    block = mk.element(mk.SIMPLE_BLOCK, mk.put_size(1) + b"\x00\x05\x82\x01\x01xyz")
+
+    def file(audio=b"", cluster=b"", more=b"", info=b""):
+        track = mk.element(mk.TRACKS, mk.element(mk.TRACK_ENTRY, mk.number(mk.TRACK_NUMBER, 1) + mk.element(mk.AUDIO, mk.number(mk.BIT_DEPTH, 8) + audio)))
+        return mk.element(mk.SEGMENT, mk.element(mk.INFO, info) + track + mk.element(mk.CLUSTER, mk.number(mk.TIMESTAMP, 7) + block + cluster) + more)
+
+    for odd in (mk.number(mk.CHANNELS, 0), mk.real(mk.SAMPLING_FREQUENCY, 0.0), mk.real(mk.SAMPLING_FREQUENCY, float("nan")), mk.real(mk.SAMPLING_FREQUENCY, 1e-300)):
+        media = mk.demux(file(odd))
+        assert media.error is None and [p.size for p in media.packets] == [1, 2]
+    deep = (mk.put_id(mk.BLOCK_GROUP) + b"\xff") * 5000
+    for odd in (file(cluster=deep), mk.put_id(mk.SEGMENT) + b"\xff" + (mk.put_id(mk.CLUSTER) + b"\xff") * 5000, (mk.put_id(mk.SEGMENT) + b"\xff") * 5000):
+        mk.demux(odd)
+    assert mk.demux(file(cluster=deep)).error and len(mk.demux(file(cluster=deep)).packets) == 2
+    assert mk.demux(file(info=mk.element(mk.TIMESTAMP_SCALE, b"\xff" * 8))).error and mk.demux(file(info=mk.element(mk.DURATION, b"abc"))).error
+    assert mk.demux(file(cluster=mk.element(mk.TIMESTAMP, b"\x01" * 9))).error and mk.demux(file(more=mk.element(mk.CUES, mk.element(mk.CUE_POINT, b"")))).error
+    whole = mk.mux(bytes(9000))
+    r = random.Random(1)
+    for _ in range(3000):
+        odd = bytearray(whole)
+        for _ in range(r.randint(1, 6)):
+            odd[r.randrange(len(odd)) if r.random() < 0.5 else r.randrange(160)] = r.randrange(256)
+        mk.demux(bytes(odd))
+
+
+def test_cues_of_several_tracks(spark):
+    blocks = [mk.element(mk.SIMPLE_BLOCK, mk.put_size(t) + b"\x00\x00\x80" + b"x" * t) for t in (1, 2)]
+    time = mk.number(mk.TIMESTAMP, 7)
+    cluster = mk.element(mk.CLUSTER, time + blocks[0] + blocks[1])
+    place = lambda t, *more: mk.element(mk.CUE_TRACK_POSITIONS, b"".join((mk.number(mk.CUE_TRACK, t), mk.number(mk.CUE_CLUSTER_POSITION, 0), *more)))
+    cue = mk.element(mk.CUE_POINT, mk.number(mk.CUE_TIME, 7) + place(1) + place(2, mk.number(mk.CUE_RELATIVE_POSITION, len(time + blocks[0]))) + place(2, mk.number(mk.CUE_RELATIVE_POSITION, 1)))
+    data = mk.element(mk.SEGMENT, cluster + mk.element(mk.CUES, cue))
+    media = mk.demux(data)
+    assert [(c.track, c.block) for c in media.cues] == [(1, None), (2, 3 + 7), (2, 1)] and [p.cue_ns for p in media.packets] == [7_000_000] * 2
+    files = spark.createDataFrame([(1, 2, 3, data), (4, 5, 6, None), (7, 8, 9, b"junk")], "size int, `a.b` int, found int, media binary")
+    rows = mk.packets(files, "media")
+    assert rows.columns == ["size", "a.b", "found", "track", "timestamp_ns", "offset", "_size", "key", "cluster", "lacing", "cue_ns"]
+    assert sorted((x["size"], x["a.b"], x["track"], x["_size"], x["cue_ns"]) for x in rows.collect()) == [(1, 2, 1, 1, 7_000_000), (1, 2, 2, 2, 7_000_000)]
+    assert [(x["track"], x["timestamp_ns"], x["block_offset"]) for x in mk.cue_points(files, "media").collect()] == [(1, 7_000_000, None), (2, 7_000_000, 10), (2, 7_000_000, 1)]
+
+
 def test_media_tables(spark):
     out = mk.texts_as_media(spark.createDataFrame([(1, "abc"), (2, None), (3, ""), (4, "é" * 70), (4, "é" * 70)], "doc_id long, text string")).orderBy("doc_id").collect()
     assert [(r["n_bytes"], r["payload_bytes"]) for r in out] == [(3, 64), (0, 64), (0, 64), (140, 192), (140, 192)] and out[3]["media_sha256"] == out[4]["media_sha256"]
