@@ -13,7 +13,8 @@ vectors lie. A cell of m vectors takes m * m / 2 comparisons.
 Pairs are never listed: blocks of the order (overlapping by a window) and tiles
 count each vector's links and emit a spanning forest. A pair that was compared
 before is told by its ranks and cells there and counts once. Equal vectors
-form a class first, and only one of a class is compared.
+form a class first, known by a 64-bit hash, and only one of a class is compared.
+Joins of rows with their class meet a large class on one key; Spark's adaptive skew join splits those.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite
 components link with nothing, and neither do vectors of different lengths;
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, forget
 from .components import components
 
 WINDOW = 1024
@@ -77,8 +78,8 @@ def codes(vectors: DataFrame, passes: int, seed: int) -> DataFrame:
     return vectors.select("node", "v").mapInArrow(each, "node long, dims int, codes array<long>")
 
 
-def ranked(coded: DataFrame, spread: int, bits: int, window: int) -> DataFrame:
-    """node, spots: of each pass, its place in the order (rank, from 0) and the first place (start) and size of its cell; start is -1 where windows hold the whole cell.
+def ranked(coded: DataFrame, spread: int, bits: int, window: int) -> tuple[DataFrame, DataFrame]:
+    """A stored table to forget, and node, spots: of each pass, its place in the order (rank, from 0) and the first place (start) and size of its cell; start is -1 where windows hold the whole cell.
 
     One range sort serves all passes. Places come from the sizes of the sorted partitions, a number each.
     """
@@ -94,7 +95,7 @@ def ranked(coded: DataFrame, spread: int, bits: int, window: int) -> DataFrame:
     # At most a cell for each window of places.
     large = rank.groupBy("pass", "dims", "cell").agg(F.min("rank").alias("start"), F.count(F.lit(1)).alias("size")).where(F.col("size") > window + 1)
     spot = F.struct("pass", "rank", F.coalesce("start", F.lit(-1).cast("long")).alias("start"), F.coalesce("size", F.lit(0).cast("long")).alias("size"))
-    return rank.join(F.broadcast(large), ["pass", "dims", "cell"], "left").groupBy("node").agg(F.sort_array(F.collect_list(spot)).alias("spots"))
+    return placed, rank.join(large, ["pass", "dims", "cell"], "left").groupBy("node").agg(F.sort_array(F.collect_list(spot)).alias("spots"))
 
 
 def unmet(i: np.ndarray, j: np.ndarray, ranks: np.ndarray, starts: np.ndarray, windows: int, tiles: int, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -212,17 +213,17 @@ def near_duplicates(embeddings: DataFrame, *, threshold: float = 0.95, window: i
     finite = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = durable(
         embeddings.select(F.col("vec_id").cast("long"), v.alias("v"), F.coalesce(F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & finite & F.exists(v, lambda x: x != 0), F.lit(False)).alias("ok"))
-        .withColumns({"h1": F.when(F.col("ok"), F.xxhash64("v")), "h2": F.when(F.col("ok"), F.hash("v"))})
+        .withColumn("node", F.when(F.col("ok"), F.xxhash64("v", F.lit(seed))))
     )
-    classes = rows.where("ok").groupBy("h1", "h2").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies"))
-    one = rows.where("ok").select(F.col("vec_id").alias("node"), "h1", "h2", "v").join(classes, ["node", "h1", "h2"]).dropDuplicates(["node", "h1", "h2"])
-    vectors = durable(one.dropDuplicates(["node"]).select("node", "v", "copies"))
+    # A class, one of its vectors, and how many rows it has.
+    vectors = durable(rows.where("ok").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.first("v").alias("v")).select("node", "v", "copies"))
     n = vectors.count()
     passes = passes or passes_for(n, threshold, window, recall)
     spread = max(1, min(n * passes // 4096 + 1, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    spots = ranked(codes(vectors, passes, seed), spread, cell_bits(n, window), window)
+    placed, spots = ranked(codes(vectors, passes, seed), spread, cell_bits(n, window), window)
     spots = spots.select("node", F.col("spots.rank").alias("ranks"), F.col("spots.start").alias("starts"), F.explode("spots").alias("spot")).select("node", "ranks", "starts", "spot.*")
     spots = durable(vectors.join(spots, "node"))
+    forget(placed)
     rank, number = F.col("rank"), F.floor(F.col("rank") / BLOCK)
     # A block's first ranks also stand in the block before it.
     both = F.when((rank % BLOCK < window) & (number > 0), F.array(number, number - 1)).otherwise(F.array(number))
@@ -242,12 +243,14 @@ def near_duplicates(embeddings: DataFrame, *, threshold: float = 0.95, window: i
     schema = "a long, b long, n long"
     in_tiles = tiles.drop("other", "size").groupBy("pass", "start", "first", "second").applyInPandas(tiled, schema)
     found = durable(blocks.drop("start", "size").groupBy("pass", "block").applyInPandas(each, schema).unionByName(in_tiles))
-    counts = found.where("n is not null").groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "node")
-    member = rows.where("ok").select("vec_id", "h1", "h2").join(classes, ["h1", "h2"]).select("vec_id", "h1", "h2", "node", "copies")
-    edges = found.where("b is not null").select("a", "b").unionByName(member.where("vec_id <> node").select(F.col("vec_id").alias("a"), F.col("node").alias("b")))
-    label = components(edges.distinct())
-    links = classes.join(counts, "node", "left").select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = rows.select("vec_id", "h1", "h2").join(links, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")), "left")
-    out = out.join(label.select(F.col("node").alias("vec_id"), "component"), "vec_id", "left")
+    label = components(found.where("b is not null").select("a", "b"))
+    # From classes to rows: the smallest vec_id of a component's classes; vec_ids in several classes join those.
+    member = rows.where("ok").select("node", "vec_id").distinct().join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    smallest = member.groupBy("component").agg(F.min("vec_id").alias("to"))
+    ids = components(member.join(smallest, "component").select(F.col("vec_id").alias("a"), F.col("to").alias("b")))
+    links = found.where("n is not null").groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "node")
+    links = durable(vectors.select("node", "copies").join(links, "node", "left").select("node", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    forget(found, spots, label, vectors)
+    out = rows.select("vec_id", "node").join(links, "node", "left").join(ids.select(F.col("node").alias("vec_id"), "component"), "vec_id", "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
