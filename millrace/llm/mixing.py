@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bucketed_prefix, durable
+from .common import bucketed_prefix, durable, forget, free_name
 
 #: Rows of a source that one window sorts, on average.
 ROWS_PER_BUCKET = 192
@@ -50,13 +50,13 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, m
     return w.withColumn("target", F.least("cap", F.coalesce(fits * F.col("weight"), F.col("cap")))).select("source", "source_size", "weight", "target", "budget")
 
 
-def mix(documents: DataFrame, *, weights: tuple[float, ...] = (1.0, 2.0, 3.0), share: float = 1.0, max_epochs: int = 3, seed: int = 17) -> DataFrame:
-    """doc_id, source, size, source_size, target, weight, taken, epochs for every row of documents."""
-    spark = documents.sparkSession
-    base = durable(
-        documents.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", "source", F.xxhash64("text"), F.lit(seed)).alias("key"))
-        .withColumn("row", F.monotonically_increasing_id())
-    )
+def mix(documents: DataFrame, *, weights: tuple[float, ...] = (1.0, 2.0, 3.0), share: float = 1.0, max_epochs: int = 3, seed: int = 17, row: str | None = None) -> DataFrame:
+    """doc_id, source, size, source_size, target, weight, taken, epochs and row for every row of documents.
+
+    row: a column of documents that numbers its rows; without it they are numbered as they are first stored.
+    """
+    number = F.monotonically_increasing_id() if row is None else F.col(row)
+    base = durable(documents.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", "source", F.xxhash64("text"), F.lit(seed)).alias("key"), number.alias("row")))
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = durable(source_targets(sizes, weights, share, max_epochs))
     known = targets.withColumnRenamed("source", "of")
@@ -76,7 +76,8 @@ def mix(documents: DataFrame, *, weights: tuple[float, ...] = (1.0, 2.0, 3.0), s
     merged = bucketed_prefix(timed.withColumn("slot", F.floor(F.col("finish") * buckets)), [], "slot", [F.col("finish"), F.col("row"), F.col("epoch")], "size", "spent", buckets * 2)
     budget = targets.agg(F.max("budget").alias("total"))
     sent = merged.crossJoin(F.broadcast(budget)).where(F.col("spent") - F.col("size") / 2 <= F.col("total"))  # one row: the budget
-    taken = sent.groupBy("row").agg(F.sum("size").alias("taken"), F.count(F.lit(1)).alias("epochs"))
+    taken = durable(sent.groupBy("row").agg(F.sum("size").alias("taken"), F.count(F.lit(1)).alias("epochs")))
+    forget(timed)
     return rows.join(taken, "row", "left").select(
         "doc_id", "source", "size", "source_size", "target", "weight", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("epochs", F.lit(0)).cast("int").alias("epochs"), "row"
     )
@@ -85,8 +86,10 @@ def mix(documents: DataFrame, *, weights: tuple[float, ...] = (1.0, 2.0, 3.0), s
 def mix_rows(documents: DataFrame, **options) -> DataFrame:
     """documents as the mix takes them: each row as often as it is taken, with all its columns.
 
-    documents must be a stored table: its rows are matched by their place in its files.
+    The rows are stored with a number each first, so it does not matter where they come from.
     """
-    kept = documents.withColumn("_row", F.monotonically_increasing_id())
-    times = mix(documents, **options).where("epochs > 0").select(F.col("row").alias("_row"), F.col("epochs").alias("_epochs"))
-    return kept.join(times, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_epochs")))).drop("_row", "_epochs", "_copy")
+    row, epochs, copy = (free_name(documents, name) for name in ("row", "epochs", "copy"))
+    kept = durable(documents.withColumn(row, F.monotonically_increasing_id()))
+    times = mix(kept, row=row, **options).where("epochs > 0").select(F.col("row").alias(row), F.col("epochs").alias(epochs))
+    out = kept.join(times, row).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(f"`{epochs}`"))))
+    return out.drop(row, epochs, copy)
