@@ -83,6 +83,15 @@ def bounded_labels(labels: DataFrame, column: str, most: int, where: Column | No
     return rows.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(most)
 
 
+def labelled_texts(documents: DataFrame, known: DataFrame) -> DataFrame:
+    """label, text of the documents in known (doc_id, label; a row a doc_id), as many rows as known at most.
+
+    Of rows that share a doc_id, the one of the smallest text counts.
+    """
+    docs = documents.select("doc_id", F.col("text").cast("string").alias("text"))
+    return docs.join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.max("label").alias("label"), F.min("text").alias("text")).select("label", "text")
+
+
 # ------------------------------------------------------------------ order
 def bucketed_prefix(df: DataFrame, groups: list[str], bucket: str, order: list[Column], value: str, out: str, buckets: int = 0) -> DataFrame:
     """Add `out`: the sum of `value` up to and with each row, per group, in the order of (bucket, *order).

@@ -3,16 +3,20 @@
 Two generative models of hashed word n-grams are counted: one of target texts
 (labelled good), one of all raw texts. A document's log weight is the sum of
 log(p_target / p_raw) over its n-grams; Gumbel noise, keyed by the document,
-is added and the k largest are kept, which samples k documents without
-replacement in proportion to their weights. k is the number of documents whose
-weight exceeds the cut that best parts labelled good from labelled bad
-ones; with no labels of both kinds nothing is rejected.
+is added to weight / temperature and the k largest are kept. That samples k documents without
+replacement, each draw in proportion to exp(weight / temperature). `k` and `share` (of all rows) say how many;
+without either, k is the number of documents whose weight exceeds the cut that best parts labelled good from
+labelled bad ones, and with no labels of both kinds nothing is rejected. The sum
+makes weights of whole texts differ by far more than the noise of temperature 1, so
+the sample then is nearly the k documents of the highest weight, as a filter wants it; a higher
+temperature spreads it.
 
 Tokens are runs of letters, digits and non-ASCII bytes, and runs of ASCII
-punctuation. A pair of equal tokens counts as one n-gram whatever the token.
+punctuation. A pair of equal tokens counts as one n-gram whatever the token: repeating
+itself is a mark of junk that single pairs, each rare, would not show.
 
 The target model and the cut read a bounded sample of labelled rows
-(`max_labelled`); the raw model reads everything.
+(`max_labelled`; of rows that share a doc_id, the one of the smallest text); the raw model reads everything.
 
 Defined results: null and empty texts have weight 0; rows that repeat get equal
 keys and stay or go together; ties at the k-th key stay; an empty table gives
@@ -28,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_labels, byte_chunks, chain, durable, kth_largest, span_hashes
+from .common import bounded_labels, byte_chunks, chain, durable, forget, kth_largest, labelled_texts, span_hashes
 
 BUCKETS = 10_000
 MAX_LABELLED = 20_000
@@ -102,9 +106,9 @@ class Weights:
         return weigh(text)
 
 
-def gumbel(doc_id: Column, text: Column, seed: int) -> Column:
+def gumbel(doc_id: Column, text: Column, seed: Column) -> Column:
     """Standard Gumbel noise that depends on the row alone."""
-    u = (F.shiftrightunsigned(F.xxhash64(doc_id, text, F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
+    u = (F.shiftrightunsigned(F.xxhash64(doc_id, text, seed), 11).cast("double") + 0.5) / float(1 << 53)
     return -F.log(-F.log(u))
 
 
@@ -127,20 +131,27 @@ def best_cut(weight: np.ndarray, good: np.ndarray) -> float:
 
 def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> tuple[Weights, float]:
     """The weights, and the cut that k follows from."""
-    docs = documents.select("doc_id", F.col("text").cast("string"))
+    docs = documents.select(F.col("text").cast("string"))
     known = durable(bounded_labels(labels, "quality", max_labelled))
-    sample = docs.join(F.broadcast(known), "doc_id")  # max_labelled rows at most
-    weights = Weights(bucket_counts(sample.where("label = 1").select("text")), bucket_counts(docs.select("text")))
+    sample = durable(labelled_texts(documents, known))  # max_labelled rows at most
+    weights = Weights(bucket_counts(sample.where("label = 1").select("text")), bucket_counts(docs))
     seen = sample.select("label", weights.column(F.col("text")).alias("w")).toPandas()
+    forget(known, sample)
     return weights, best_cut(seen["w"].to_numpy(float), seen["label"].to_numpy() == 1)
 
 
-def resample(documents: DataFrame, labels: DataFrame, *, seed: int = 11, max_labelled: int = MAX_LABELLED) -> tuple[Weights, float, DataFrame]:
+def key(weight: Column, text: Column, temperature: float, seed: int) -> Column:
+    return weight / F.lit(float(temperature)) + gumbel(F.col("doc_id"), text, F.lit(seed))
+
+
+def resample(documents: DataFrame, labels: DataFrame, *, k: int | None = None, share: float | None = None, temperature: float = 1.0, seed: int = 11, max_labelled: int = MAX_LABELLED) -> tuple[Weights, float, DataFrame]:
     """The weights, the k-th largest key, and the table doc_id, log_weight, key of all rows."""
     weights, cut = fit(documents, labels, max_labelled)
     text = F.col("text").cast("string")
-    rows = durable(documents.select("doc_id", weights.column(text).alias("log_weight"), gumbel(F.col("doc_id"), text, seed).alias("noise")).withColumn("key", F.col("log_weight") + F.col("noise")))
-    k = rows.where(F.col("log_weight") > cut).count()
+    found = documents.select("doc_id", text.alias("text"), weights.column(text).alias("log_weight"))
+    rows = durable(found.select("doc_id", "log_weight", key(F.col("log_weight"), F.col("text"), temperature, seed).alias("key")))
+    if k is None:
+        k = rows.where(F.col("log_weight") > cut).count() if share is None else round(share * rows.count())
     least = kth_largest(rows, "key", k)
     return weights, (np.inf if least is None else least), rows
 
@@ -151,8 +162,9 @@ def score(documents: DataFrame, labels: DataFrame, **options) -> DataFrame:
     return rows.select("doc_id", "log_weight", "key", (F.col("key") >= F.lit(least)).alias("kept"))
 
 
-def keep_sampled(documents: DataFrame, labels: DataFrame, *, seed: int = 11, **options) -> DataFrame:
+def keep_sampled(documents: DataFrame, labels: DataFrame, *, temperature: float = 1.0, seed: int = 11, **options) -> DataFrame:
     """The rows of documents that are sampled, unchanged."""
-    weights, least, _ = resample(documents, labels, seed=seed, **options)
+    weights, least, rows = resample(documents, labels, temperature=temperature, seed=seed, **options)
+    forget(rows)
     text = F.col("text").cast("string")
-    return documents.where(weights.column(text) + gumbel(F.col("doc_id"), text, seed) >= F.lit(least))
+    return documents.where(key(weights.column(text), text, temperature, seed) >= F.lit(least))

@@ -12,7 +12,8 @@ Only rows of `labels` with crc32(doc_id as text) mod 5 <> 0 are learnt from, at
 most `max_labelled`; doc_id, source, lang and labels are no features.
 
 Defined results: null and empty texts get the score of a text without votes;
-rows that repeat get equal scores; a null doc_id is not held out; without any
+rows that repeat get equal scores; of labelled rows that share a doc_id, the one of the smallest
+text is learnt from; a null doc_id is not held out; without any
 labels of both kinds only the listed words vote; an empty table gives an empty result;
 other columns are ignored.
 """
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_labels, durable, shingle_sets
+from .common import bounded_labels, durable, forget, labelled_texts, shingle_sets
 
 MAX_LABELLED = 20_000
 MAX_MINED = 384
@@ -121,7 +122,7 @@ def mine(sample: DataFrame, most: int) -> list[str]:
 
     Copies of one text count once, or its every word would seem to point to toxicity.
     """
-    one = durable(text_keys(sample))
+    one = durable(text_keys(sample.repartition(int(sample.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
     words = F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{M}]+"))
     stems = [F.when(F.length("w") >= n, F.concat(F.substring("w", 1, n), F.lit("*"))).otherwise(F.col("w")) for n in (4, 5, 6)]
     tokens = one.select("label", "key", F.explode(words).alias("w")).where("length(w) >= 3").select("label", "key", F.explode(F.array_distinct(F.array("w", *stems))).alias("e")).distinct()
@@ -132,6 +133,7 @@ def mine(sample: DataFrame, most: int) -> list[str]:
     seen = tokens.groupBy("e").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c")).where(F.col("t") >= max(MIN_TOXIC, MIN_SHARE * n1))
     ratio = ((F.col("t") + 0.5) / n1) / ((F.col("c") + 0.5) / n0)
     rows = seen.withColumn("ratio", ratio).where(F.col("ratio") >= MIN_RATIO).orderBy(F.desc("t"), F.desc("ratio"), "e").limit(most).collect()
+    forget(one)
     return simplest({r["e"]: r["t"] for r in rows})
 
 
@@ -249,8 +251,7 @@ class Scorer:
 
 def fit(documents: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABELLED, max_mined: int = MAX_MINED) -> Scorer:
     known = durable(bounded_labels(labels, "toxic", max_labelled, where=~held_out(F.col("doc_id"))))
-    docs = documents.select("doc_id", F.col("text").cast("string"))
-    sample = durable(docs.join(F.broadcast(known), "doc_id").select("label", "text"))  # max_labelled rows at most
+    sample = durable(labelled_texts(documents, known))  # max_labelled rows at most
     listed = sorted({e for words in LISTED.values() for e in words})
     mined = mine(sample, max_mined)
     voters = Voters(sorted({*listed, *mined}))
@@ -259,10 +260,15 @@ def fit(documents: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABE
     def count(batches):
         for batch in batches:
             counts = voters.counts(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(counts), pa.list_(pa.int32()))], ["label", "counts"])
-
-    rows = sample.select("label", "text").mapInArrow(count, "label int, counts array<int>").collect()  # max_labelled rows of len(voters) numbers at most
-    counts = np.array([r["counts"] for r in rows], np.int32).reshape(-1, names)
+            found = [np.flatnonzero(c).astype(np.int32) for c in counts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32())), pa.array([c[at] for c, at in zip(counts, found, strict=True)], pa.list_(pa.int32()))], ["label", "at", "n"])
+
+    # max_labelled rows at most, and of each the voters that vote, len(voters) at most.
+    rows = sample.select("label", "text").mapInArrow(count, "label int, at array<int>, n array<int>").collect()
+    forget(known, sample)
+    counts = np.zeros((len(rows), names), np.int32)
+    for i, r in enumerate(rows):
+        counts[i, r["at"]] = r["n"]
     if not len(counts):
         # Nothing to fit on: any listed word decides.
         w = np.zeros(names + 3)
