@@ -9,7 +9,11 @@ consecutive sentences, and further ones, after or before them, until it has
 `min_words` words. Runs are hashed; the runs of all documents are joined
 by hash, and the sentences that any repeated run covers go, except for the run's
 first place: the smallest doc_id, and in it the first position. White space
-does not count in the comparison.
+does not count in the comparison. A passage is found from its first whole sentence on: one that
+begins in the middle of a sentence keeps that sentence's end.
+
+Runs that very many documents share meet on one key: they are counted by partial
+aggregation, and the join that marks them is one that Spark's adaptive skew join splits.
 
 Defined results: null stays null; texts without a whole run never match; rows
 that share a doc_id count as one document (they never take each other's
@@ -119,11 +123,10 @@ def spans(data: np.ndarray, offsets: np.ndarray, run: int, unit_words: int, min_
 
 
 def span_table(docs: DataFrame, run: int, unit_words: int, min_words: int) -> DataFrame:
-    """h, doc_id of each distinct run of each document."""
+    """h, doc_id, key of each distinct run of each row of docs (doc_id, text, key)."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
             for first, last, data, offsets in byte_chunks(batch.column(1)):
                 _, row, at, _, h = spans(data, offsets, run, unit_words, min_words)
                 of = row[at]
@@ -131,19 +134,20 @@ def span_table(docs: DataFrame, run: int, unit_words: int, min_words: int) -> Da
                 of, h = of[order], h[order]
                 new = np.ones(len(h), bool)
                 new[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), ids.slice(first, last - first).take(pa.array(of[new]))], ["h", "doc_id"])
+                ids, keys = (batch.column(c).slice(first, last - first).take(pa.array(of[new])) for c in (0, 2))
+                yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), ids, keys], ["h", "doc_id", "key"])
 
-    return docs.mapInArrow(each, "h long, doc_id long")
+    return docs.mapInArrow(each, "h long, doc_id long, key long")
 
 
-def cleaned(docs: DataFrame, run: int, unit_words: int, min_words: int) -> DataFrame:
-    """docs (gone: hashes of runs to remove; text; others) with text cleaned, and n_sentences, n_removed as the last columns."""
-    names = docs.columns
-    schema = docs.select([c for c in names if c != "_gone"]).schema.add("_n_sentences", "integer").add("_n_removed", "integer")
+def cleaned(docs: DataFrame, gone_name: str, added: tuple[str, str], run: int, unit_words: int, min_words: int) -> DataFrame:
+    """docs (gone_name: hashes of runs to remove; text; others) with text cleaned, and numbers of sentences and removed ones as the last columns."""
+    names = [c for c in docs.columns if c != gone_name]
+    schema = docs.drop(gone_name).schema.add(added[0], "integer").add(added[1], "integer")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            gone, text = batch.column("_gone"), batch.column("text")
+            gone, text = batch.column(gone_name), batch.column("text")
             out, n_all, n_removed = [], [], []
             for first, last, data, offsets in byte_chunks(text):
                 start, row, at, length, h = spans(data, offsets, run, unit_words, min_words)
@@ -173,19 +177,20 @@ def cleaned(docs: DataFrame, run: int, unit_words: int, min_words: int) -> DataF
                     kept = [data[edges[j] : edges[j + 1]].tobytes() for j in np.flatnonzero(~covered)]
                     out.append(b"".join(kept).decode())
                     n_removed.append(int(covered.sum()))
-            columns = [pa.array(out, pa.string()) if c == "text" else batch.column(c) for c in names if c != "_gone"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_all, pa.int32()), pa.array(n_removed, pa.int32())], names=[c for c in names if c != "_gone"] + ["_n_sentences", "_n_removed"])
+            columns = [pa.array(out, pa.string()) if c == "text" else batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_all, pa.int32()), pa.array(n_removed, pa.int32())], names=[*names, *added])
 
     return docs.mapInArrow(each, schema)
 
 
 def dedup(documents: DataFrame, *, run: int = RUN, unit_words: int = UNIT_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
     """documents with repeated spans removed from text, and the columns n_sentences and n_removed."""
-    docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.col("text").cast("string"))
-    table = span_table(docs, run, unit_words, min_words)
+    doc_id, text = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), F.col("text").cast("string")
+    table = span_table(documents.select(doc_id.alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key")), run, unit_words, min_words)
     repeated = table.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h", "first")
-    marks = table.join(repeated, "h").where("doc_id <> first").groupBy("doc_id").agg(F.collect_list("h").alias("_gone")).withColumnRenamed("doc_id", "_id")
-    marked = documents.withColumn("text", F.col("text").cast("string"))
-    marked = marked.join(marks, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))) == F.col("_id"), "left").drop("_id")
-    out = cleaned(marked, run, unit_words, min_words)
-    return out.withColumnsRenamed({"_n_sentences": free_name(documents, "n_sentences"), "_n_removed": free_name(documents, "n_removed")})
+    gone, of, key = (free_name(documents, name) for name in ("gone", "of", "key"))
+    # A list holds runs of one text only, however many rows share its doc_id.
+    marks = table.join(repeated, "h").where("doc_id <> first").groupBy("doc_id", "key").agg(F.collect_set("h").alias(gone)).withColumnsRenamed({"doc_id": of, "key": key})
+    marked = documents.withColumn("text", text).join(marks, (doc_id == F.col(of)) & (F.xxhash64(text) == F.col(key)), "left").drop(of, key)
+    added = (free_name(documents, "n_sentences"), free_name(documents, "n_removed"))
+    return cleaned(marked, gone, added, run, unit_words, min_words)
