@@ -200,6 +200,14 @@ def test_repeats_inside_one_text_and_repeated_rows(spark):
     assert got == [s + "Between them. "] * 2
 
 
+def test_rows_that_share_an_id_and_clashing_columns(spark):
+    p = "The quick brown fox jumps over it. Then it runs away from here. A dog sees that and barks."
+    rows = [(1, p, 1), (2, f"One.\n{p}", 2), (2, f"Two.\n{p}", 3), (2, "Alone in here.", 4), (2, f"One.\n{p}", 5)]
+    out = substring.dedup(spark.createDataFrame(rows, "doc_id int, text string, _gone int").withColumns({"_id": F.lit(1), "key": F.lit(2), "of": F.lit(3), "gone": F.lit(4)}))
+    assert out.columns == ["doc_id", "text", "_gone", "_id", "key", "of", "gone", "n_sentences", "n_removed"]
+    assert {r["_gone"]: r["text"].strip() for r in out.collect()} == {1: p, 2: "One.", 3: "Two.", 4: "Alone in here.", 5: "One."}
+
+
 def test_a_long_sentence_counts_as_several(spark):
     long = " ".join(f"word{i}" for i in range(60)) + "."
     out = substring.dedup(spark.createDataFrame([(1, "First. " + long), (2, long + " Last.")], DOCS)).orderBy("doc_id").collect()
@@ -275,6 +283,32 @@ def test_names_beyond_the_lists_keep_gender_and_script(spark):
         assert parts[-1] in pii.FAMILY[script] or parts[-1].endswith(tuple(pii.LAST[script, "s"]))
 
 
+def test_names_addresses_and_dates_without_lists(spark):
+    rows = [
+        "Dr. Walter Brenner of 12 Elm Street, born 03/04/1981, spoke with Priya Natarajan.",
+        "Priya Natarajan did not see it. Signed by Priya Natarajan", "王小明先生 met 李丽女士.", "Hauptstraße 7 and 4 rue de la Paix, Calle Mayor 12. DOB: 1981-04-03",
+        "New York Times wrote about Street Road, 3 Blind Mice and the Red Square.", "Professor Plum named it on 03/04/1981",
+    ]
+    got = [x for x in pii.replace(spark.createDataFrame(list(enumerate(rows)), DOCS)).orderBy("doc_id").collect()]
+    assert [x["kinds"] for x in got] == [["name", "address", "dob", "name"], ["name"], ["name", "name"], ["address", "address", "address", "dob"], [], ["name"]]
+    new = [x["text"] for x in got]
+    one = re.fullmatch(r"Dr\. ([A-Z][a-z]+ [A-Z][a-z]+) of (\d\d) ([A-Z][a-z]+) Street, born (\d\d)/(\d\d)/(\d{4}), spoke with ([A-Z][a-z]+ [A-Z][a-z]+)\.", new[0])
+    assert one and one[1] != "Walter Brenner" and one[3] != "Elm" and (one[4], one[5], one[6]) != ("03", "04", "1981") and int(one[4]) <= 12 >= int(one[5])
+    assert new[1] == f"Priya Natarajan did not see it. Signed by {one[7]}" and new[4] == rows[4]
+    man, woman = re.fullmatch(r"(\w+)先生 met (\w+)女士\.", new[2]).groups()
+    assert man[-1] in pii.LAST["han", "m"] and woman[-1] in pii.LAST["han", "f"] and man[0] in pii.FAMILY["han"] and man != "王小明"
+    assert re.fullmatch(r"[A-Z][a-z]+straße [1-9] and [1-9] rue de la [A-Z][a-z]+, Calle [A-Z][a-z]+ [1-9]\d\. DOB: \d{4}-\d\d-\d\d", new[3])
+
+
+def test_full_formats_leave_their_lengths_and_stay_distinct(spark):
+    ips = [f"{a}.{b}.{c}.{d}" for a in (1, 2) for b in range(10) for c in range(10) for d in range(10)]
+    dates = [f"born {a}/{b}/{c:02}" for a in range(1, 10) for b in range(1, 10) for c in range(1, 13)]
+    rows = [f"see {x}" for x in ips] + [f"was {x}" for x in dates]
+    new = [x["text"] for x in pii.replace(spark.createDataFrame(list(enumerate(rows)), DOCS)).orderBy("doc_id").collect()]
+    assert len(set(new)) == len(rows) and not set(new) & set(rows)
+    assert all(re.fullmatch(r"see (\d{1,3})(\.\d{1,3}){3}", x) for x in new[: len(ips)]) and all(re.fullmatch(r"was born \d{1,2}/\d{1,2}/\d{2,}", x) for x in new[len(ips) :])
+
+
 # ------------------------------------------------------------------ 9
 def corpus(spark, n=400):
     r = random.Random(8)
@@ -305,6 +339,41 @@ def test_resampling_edge_cases(spark):
     assert quality.score(docs.limit(0), labels).count() == 0
 
 
+def test_sampling_frequencies_follow_the_weights(spark):
+    """The first draw takes a document in proportion to exp(weight); two draws as the theory of sampling without replacement says."""
+    w = np.array([0.0, 0.5, 1.0, -1.0, 2.0])
+    seeds = spark.range(6000).select(F.col("id").alias("s"))
+    rows = spark.createDataFrame([(i, f"t{i}", float(x)) for i, x in enumerate(w)], "doc_id long, text string, w double")
+    keys = seeds.crossJoin(rows).select("s", "doc_id", (F.col("w") + quality.gumbel(F.col("doc_id"), F.col("text"), F.col("s"))).alias("key"))
+    top = keys.groupBy("s").agg(F.slice(F.sort_array(F.collect_list(F.struct("key", "doc_id")), False), 1, 2).alias("k")).select(F.col("k")[0]["doc_id"], F.col("k")[1]["doc_id"]).collect()
+    p = np.exp(w) / np.exp(w).sum()
+    first = np.bincount([r[0] for r in top], minlength=5) / len(top)
+    second = np.bincount([r[1] for r in top], minlength=5) / len(top)
+    want = np.array([sum(p[j] * p[i] / (1 - p[j]) for j in range(5) if j != i) for i in range(5)])
+    assert np.abs(first - p).max() < 0.03 and np.abs(second - want).max() < 0.03
+
+
+def test_number_share_and_temperature(spark):
+    docs, labels = corpus(spark, 200)
+    docs = docs.withColumn("key", F.lit(1)).withColumn("kept", F.lit(2)).withColumn("log_weight", F.lit(3))
+    assert quality.score(docs, labels, k=37).where("kept").count() == 37 and quality.score(docs, labels, share=0.25).where("kept").count() == 50
+    kept = quality.keep_sampled(docs, labels, k=37)
+    assert kept.columns == docs.columns and kept.count() == 37
+    best = {r["doc_id"] for r in quality.score(docs, labels).orderBy(F.desc("log_weight")).limit(37).collect()}
+    cold = {r["doc_id"] for r in quality.score(docs, labels, k=37).where("kept").collect()}
+    hot = {r["doc_id"] for r in quality.score(docs, labels, k=37, temperature=1e6).where("kept").collect()}
+    assert len(cold & best) >= 33 and len(hot & best) < 25 and any(i % 5 == 0 for i in hot)
+    assert quality.score(docs, labels, k=0).where("kept").count() == 0
+
+
+def test_labelled_rows_are_bounded_whatever_repeats(spark):
+    docs, labels = corpus(spark, 40)
+    many = docs.unionByName(docs.where("doc_id < 5").withColumn("text", F.lit("g1 g2"))).unionByName(docs.where("doc_id = 2"))
+    known = common.bounded_labels(labels, "quality", 10)
+    assert common.labelled_texts(many, known).count() == 10
+    assert quality.score(many, labels).count() == 46 and toxicity.score(many, labels).count() == 46
+
+
 def test_bucket_weights_match_a_loop():
     text = "Ab, ab! ab ab"
     got = sorted(int(b) for bucket, *_ in quality.ngrams(pa.array([text])) for b in bucket)
@@ -372,6 +441,29 @@ def test_embedding_edge_cases(spark):
     rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0])]
     out = embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
     assert [r["n_links"] for r in out] == [2, 2, 2] and {r["component_id"] for r in out} == {1}
+    # One vec_id for two vectors: both link, and join what they link with.
+    rows = [(1, [1.0, 0.0], 7), (1, [0.0, 1.0], 7), (2, [0.05, 1.0], 7), (3, [1.0, 0.05], 7), (4, [1.0, -1.0], 7), (None, [1.0, 0.0], 7)]
+    out = embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, node int")).collect()
+    assert sorted((r["vec_id"] or 0, r["n_links"], r["component_id"] or 0) for r in out) == [(0, 0, 0), (1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 0, 4)]
+
+
+def test_embedding_recall_far_above_the_window(spark, monkeypatch):
+    """Planted pairs at 0.95 to 0.97 among spread vectors, 60 times as many as a window holds."""
+    monkeypatch.setattr(embed_dedup, "BLOCK", 64)
+    r = np.random.default_rng(3)
+    base = r.normal(size=(3200, 32))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    y = r.normal(size=(700, 32))
+    y -= (y * base[:700]).sum(axis=1, keepdims=True) * base[:700]
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    cosine = r.uniform(0.951, 0.97, size=(700, 1))
+    x = np.concatenate([base, cosine * base[:700] + np.sqrt(1 - cosine**2) * y])
+    near = x @ x.T >= 0.95
+    np.fill_diagonal(near, False)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {v["vec_id"]: v for v in embed_dedup.near_duplicates(df, window=64).collect()}
+    counted = np.array([got[i]["n_links"] for i in range(len(x))])
+    assert near.sum() >= 1400 and (counted <= near.sum(axis=1)).all() and counted.sum() >= 0.99 * near.sum()
 
 
 def test_dense_groups_larger_than_windows_and_tiles(spark, monkeypatch):
