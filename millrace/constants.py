@@ -30,6 +30,8 @@ REGIME_WEIGHT_LAG = 0.4
 ROLLING_UNSTABLE = 0.35
 INNOVATION_RADIUS = 2
 REDUNDANT_CORR = 0.995
+EVIDENCE_MARGIN = 0.05
+TOLERANT_STEP = 1.5
 
 GRADES = (("A", 0.75), ("B", 0.6), ("C", 0.45), ("D", 0.3))
 

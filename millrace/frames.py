@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators.filters import gap_starts, window_mask
+from .operators.preprocess import to_long, with_segments
 from .sources.tables import seconds_of
 
 TARGET = "purchase"
@@ -80,5 +82,25 @@ def hourly_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("t").agg(*[F.median(F.when(F.col("variable") == v, F.col("value"))).alias(v) for v in VARIABLES])
 
 
+def hours(spark: SparkSession, sf_dir: str) -> int:
+    """A bound on the rows of an hourly series, from the first and last event."""
+    lo, hi = read(spark, sf_dir, "events").agg(F.min(seconds_of(F.col("ts"))), F.max(seconds_of(F.col("ts")))).first()
+    return 0 if lo is None else (hi - lo) // PERIOD + 2
+
+
+def windows(wide: DataFrame) -> list[dict]:
+    """Two windows to exclude, by the first hour."""
+    first = wide.agg(F.min("t")).first()[0]
+    return [{"start": first + 7200, "end": first + 36000}, {"start": first + 72000, "end": first + 90000}]
+
+
+def gapped(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[int]]:
+    """hourly without the rows of windows(), with its segments (exact, tolerant), and the first hour after each window."""
+    wide = hourly_wide(spark, sf_dir)
+    hit = window_mask(windows(wide))
+    starts = sorted(r["t"] for r in gap_starts(wide, hit).collect())
+    return with_segments(to_long(wide.where(~hit), VARIABLES), PERIOD, starts), starts
+
+
 def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").selectExpr(*[f"{e} as {c}" for c, e in RULES.items()], "p_partkey as part")

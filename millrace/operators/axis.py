@@ -20,6 +20,12 @@ def sample_period(times: DataFrame) -> DataFrame:
     return counts.agg(F.min_by("period", F.struct((-F.col("n")).alias("n"), "period")).alias("period"))
 
 
+def first_step(times: DataFrame) -> DataFrame:
+    """One row, period: the first positive step, which later rows can't change."""
+    step = (F.col("t") - F.lag("t").over(Window.orderBy("t"))).alias("period")
+    return times.select("t").distinct().select("t", step).where("period > 0").agg(F.min_by("period", "t").alias("period"))
+
+
 def median_step(times: DataFrame) -> DataFrame:
     step = (F.col("t") - F.lag("t").over(Window.orderBy("t"))).alias("step")
     return times.select("t").distinct().select(step).where("step > 0").agg(F.median("step").alias("period"))
@@ -38,23 +44,25 @@ def segment_ids(df: DataFrame, period: int, *, tolerance: float | None = None, s
 
 def gap_group(t: Column, starts: list[int]) -> Column:
     """How many forced starts lie at or before t; only those block a lag."""
-    out = F.lit(0)
-    for s in starts:
-        out = out + F.when(t >= s, 1).otherwise(0)
-    return out
+    if not starts:
+        return F.lit(0)
+    return F.size(F.filter(F.array(*[F.lit(int(s)).cast("long") for s in sorted(starts)]), lambda s: s <= t))
 
 
-def lagged_pairs(long: DataFrame, target: str, lags: list[int], period: int, starts: list[int] = (), targets: DataFrame | None = None) -> DataFrame:
+def lagged_pairs(long: DataFrame, target: str, lags: list[int] | DataFrame, period: int, starts: list[int] = (), targets: DataFrame | None = None) -> DataFrame:
     """variable, lag, t, x, y: target y at t with the variable's value exactly lag periods before.
 
-    An equi-join on the shifted time: lags are physical, never row shifts. The target side is one
-    series; the other side is multiplied by the lags and needs no shuffle of its own when the target is small.
+    An equi-join on the shifted time: lags are physical, never row shifts. lags: a list for all
+    variables, or a table (variable, lag) of the wanted ones, so that no others are made.
     """
     y = long.where(F.col("variable") == target).select("t", F.col("value").alias("y")).where("y is not null")
     if targets is not None:
         y = y.join(targets.select("t"), "t", "left_semi")
-    lag = F.explode(F.array(*[F.lit(int(k)) for k in lags]))
-    x = long.where((F.col("variable") != target) & F.col("value").isNotNull()).select("variable", F.col("t").alias("s"), F.col("value").alias("x"), lag.alias("lag"))
+    x = long.where((F.col("variable") != target) & F.col("value").isNotNull()).select("variable", F.col("t").alias("s"), F.col("value").alias("x"))
+    if isinstance(lags, DataFrame):
+        x = x.join(lags.select("variable", "lag"), "variable")
+    else:
+        x = x.withColumn("lag", F.explode(F.array(*[F.lit(int(k)) for k in lags])))
     x = x.withColumn("t", F.col("s") + F.col("lag") * period)
     pairs = x.join(y, "t")
     if starts:

@@ -20,6 +20,15 @@ def histogram(long: DataFrame, most: int = 12) -> DataFrame:
     return known.join(s, "variable").groupBy("variable", at.cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def normal_curve(long: DataFrame, samples: int = 40) -> DataFrame:
+    """variable, i, x, y: the normal density of each variable's mean and deviation at samples + 1 places of its range, as a share of the peak."""
+    g = long.where("value is not null").groupBy("variable").agg(F.avg("value").alias("_m"), F.stddev_pop("value").alias("_s"), F.min("value").alias("_lo"), F.max("value").alias("_hi"))
+    rows = g.where("_s > 0 and _lo < _hi").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(samples))))
+    x = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("i") / samples
+    z = (F.col("x") - F.col("_m")) / F.nullif(F.col("_s"), F.lit(0.0))
+    return rows.withColumn("x", x).withColumn("y", F.exp(-0.5 * z * z)).select("variable", "i", "x", "y")
+
+
 def scatter_matrix(wide: DataFrame, rows: list[str], columns: list[str]) -> DataFrame:
     """x, y, t and values of each pair, complete rows only."""
     pairs = [F.struct(F.lit(a).alias("x_name"), F.lit(b).alias("y_name"), F.col(a).alias("x"), F.col(b).alias("y")) for a in rows for b in columns]

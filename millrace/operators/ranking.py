@@ -109,14 +109,18 @@ def rank_rows(df: DataFrame, order: list[Column], out: str) -> DataFrame:
 
 def recommended_pool(ranked: DataFrame, residual: DataFrame, top_k: int, forced: list[str] = ()) -> DataFrame:
     """Union of the best by final score, the best by residual correlation and forced variables, with source and rank."""
-    force_place = F.array_position(F.array(*[F.lit(f) for f in forced]), F.col("variable")) if forced else F.lit(0)
-    eligible = ranked.where(~F.coalesce("is_control_reference", F.lit(False)))
-    raw = rank_rows(eligible.where(F.col("final_score") >= RAW_MIN_SCORE), initial_order(), "raw_candidate_rank").where(F.col("raw_candidate_rank") <= top_k)
-    usable = residual.join(eligible.select("variable"), "variable", "left_semi").where(F.col("residual_status").isin("ok", "rank_deficient") & (F.col("residual_n") > 0) & F.col("residual_corr").isNotNull())
-    strong = usable.where((F.col("residual_corr") >= RESIDUAL_MIN_CORR) & (F.col("residual_n") >= RESIDUAL_MIN_N) & F.col("residual_lag_quality").isNotNull())
-    order = [F.desc("residual_corr"), F.desc_nulls_last("residual_lag_quality"), F.desc("residual_n"), F.asc(F.when(F.col("residual_status") == "ok", 0).otherwise(1)), F.asc("variable")]
-    picked = rank_rows(strong, order, "residual_candidate_rank").where(F.col("residual_candidate_rank") <= top_k)
-    pool = ranked.join(raw.select("variable", "raw_candidate_rank"), "variable", "left").join(picked.select("variable", "residual_candidate_rank"), "variable", "left").join(usable.select("variable", F.col("residual_corr").alias("_res")), "variable", "left")
+    force_place = F.coalesce(F.array_position(F.array(*[F.lit(f) for f in forced]), F.col("variable")), F.lit(0)) if forced else F.lit(0)
+    r = residual.select("variable", F.col("residual_corr").alias("_c"), F.col("residual_lag_quality").alias("_q"), F.col("residual_n").alias("_n"), F.col("residual_status").alias("_s"))
+    eligible = ~F.coalesce("is_control_reference", F.lit(False))
+    usable = eligible & F.col("_s").isin("ok", "rank_deficient") & (F.col("_n") > 0) & F.col("_c").isNotNull()
+    strong = (F.col("_c") >= RESIDUAL_MIN_CORR) & (F.col("_n") >= RESIDUAL_MIN_N) & F.col("_q").isNotNull()
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    pool = ranked.join(r, "variable", "left").withColumns({"_raw": yes(eligible & (F.col("final_score") >= RAW_MIN_SCORE)), "_usable": yes(usable), "_strong": yes(usable & strong)})
+    # Ranks among the rows that qualify: one window for each channel, no joins.
+    order = [F.desc("_c"), F.desc_nulls_last("_q"), F.desc("_n"), F.asc(F.when(F.col("_s") == "ok", 0).otherwise(1)), F.asc("variable")]
+    place = lambda who, by: F.when(F.col(who), F.row_number().over(Window.partitionBy(who).orderBy(*by)))
+    pool = pool.withColumns({"raw_candidate_rank": place("_raw", initial_order()), "residual_candidate_rank": place("_strong", order), "_res": F.when(F.col("_usable"), F.col("_c"))})
+    pool = pool.withColumns({c: F.when(F.col(c) <= top_k, F.col(c)) for c in ("raw_candidate_rank", "residual_candidate_rank")})
     pool = pool.withColumns({"selected_by_raw": F.col("raw_candidate_rank").isNotNull(), "selected_by_residual": F.col("residual_candidate_rank").isNotNull(), "force_included": force_place > 0, "_force": force_place})
     pool = pool.where("selected_by_raw or selected_by_residual or force_included")
     source = (
@@ -127,7 +131,7 @@ def recommended_pool(ranked: DataFrame, residual: DataFrame, top_k: int, forced:
     pool = pool.withColumns({"candidate_source": source, "common_capacity_candidate_flag": F.coalesce(common, F.lit(False))})
     place = F.when(F.col("candidate_source") == "raw_and_residual", 0).when(F.col("candidate_source").isin("raw_only", "residual_only"), 1).when(F.col("candidate_source") == "force_included", 2).otherwise(3)
     ranks = [F.asc(place), F.asc_nulls_last(F.least("raw_candidate_rank", "residual_candidate_rank")), F.asc_nulls_last("raw_candidate_rank"), F.asc_nulls_last("residual_candidate_rank"), F.asc_nulls_last(F.when(F.col("_force") > 0, F.col("_force"))), F.asc("variable")]
-    return rank_rows(pool, ranks, "candidate_pool_rank").drop("_res", "_force")
+    return rank_rows(pool, ranks, "candidate_pool_rank").drop("_res", "_force", "_c", "_q", "_n", "_s", "_raw", "_usable", "_strong")
 
 
 def priority_tiers(pool: DataFrame, residual: DataFrame) -> DataFrame:

@@ -104,3 +104,75 @@ def final_order(df: DataFrame) -> DataFrame:
     priority = F.when(F.col("data_priority") == "high", 0).when(F.col("data_priority") == "medium", 1).otherwise(2)
     w = Window.orderBy(F.when(place == 0, 99).otherwise(place), priority, F.desc_nulls_last("evidence_score"), F.desc_nulls_last("final_score"), "variable")
     return df.withColumn("final_rank", F.row_number().over(w))
+
+
+def insufficient(status: Column) -> Column:
+    """Whether a test's status says that it gave no result; no status counts so."""
+    return (status == "") | status.rlike("insufficient|missing|not_found|not enough|skipped|failed|error|empty")
+
+
+def assessments(df: DataFrame) -> DataFrame:
+    """Adds five readings of a reviewed variable's evidence; they change no score and no decision.
+
+    Reads conditional_status, conditional_q, predictive_contribution, risk_flags, recommended_use, lag, temporal_direction_status,
+    is_control_reference and condition_number, and where df has them load_adjusted_relation_status, residual_evidence_status and common_capacity_candidate_flag.
+    """
+    has = lambda c: c in df.columns
+    status, use = F.lower(text("conditional_status")), F.lower(text("recommended_use"))
+    flags = F.split(F.lower(text("risk_flags")), ";")
+    flagged = lambda *names: F.arrays_overlap(flags, F.array(*[F.lit(n) for n in names]))
+    relation = F.lower(text("load_adjusted_relation_status")) if has("load_adjusted_relation_status") else F.lit("")
+    residual = F.lower(text("residual_evidence_status")) if has("residual_evidence_status") else F.lit("")
+    common = F.coalesce("common_capacity_candidate_flag", F.lit(False)) if has("common_capacity_candidate_flag") else F.lit(False)
+    gains = F.coalesce(F.col("predictive_contribution") > 0, F.lit(False))
+    q, lag = F.col("conditional_q"), F.col("lag")
+    small = F.coalesce(q <= 0.10, F.lit(False))
+    not_run = status.isin("", "not_computed", "not_run", "not_available")
+    fallback = status.contains("fallback_missing_ranked_lag")
+    limited = lambda c: F.when(c, "supported_with_limitations").otherwise("not_supported")
+    support = (
+        F.when(not_run, "not_computed").when(status == "high_collinearity_risk", limited(gains)).when(fallback, limited(gains & (q.isNull() | small)))
+        .when(insufficient(status), "not_computed").when(status.startswith("ok"), F.when(small & gains, "supported").otherwise("not_supported")).otherwise("not_computed")
+    )
+    confounder = (
+        F.when(flagged("formula_like", "strong_formula_leakage") | (use == "formula_coupled_reference"), "formula_relation_risk")
+        .when(flagged("common_capacity_driver") | (use == "capacity_driven") | (relation == "raw_only_common_load_risk") | common, "common_driver_risk")
+        .when(flagged("residual_collinearity", "redundant_proxy") | (relation == "raw_only_residual_weak") | (residual == "weak"), "shared_signal_risk")
+        .when(F.col("risk_flags").isNull() & F.col("recommended_use").isNull(), "not_assessed").otherwise("no_flagged_confounder")
+    )
+    control = (
+        F.when((use == "control_variable_reference") | F.coalesce("is_control_reference", F.lit(False)), "control_reference")
+        .when(flagged("target_leads_variable") | F.coalesce(F.col("temporal_direction_status") == "target_leads_supported", F.lit(False)) | F.coalesce(lag < 0, F.lit(False)) | (use == "state_indicator"), "possible_control_response")
+        .when(flagged("common_capacity_driver") | (use == "capacity_driven"), "shared_capacity_or_control_context")
+        .when(F.col("risk_flags").isNull() & F.col("recommended_use").isNull() & F.col("temporal_direction_status").isNull(), "not_assessed").otherwise("no_control_relation_flagged")
+    )
+    limitation = (
+        F.when(status.contains("high_collinearity_risk") | flagged("high_collinearity_risk", "residual_collinearity") | F.coalesce(F.col("condition_number") > 1e8, F.lit(False)), "high_collinearity_limitation")
+        .when(status.rlike("insufficient|not enough"), "insufficient_sample_limitation").when(not_run, "not_computed").when(status.rlike("failed|error"), "failed_statistical_limitation")
+        .when(fallback, "no_flagged_statistical_limitation").when(insufficient(status), "not_computed").otherwise("no_flagged_statistical_limitation")
+    )
+    direction = F.when(lag.isNull(), "not_computed").when(lag > 0, "variable_leads_target").when(lag < 0, "target_leads_variable").otherwise("zero_lag")
+    return df.withColumns(
+        {
+            "independent_predictive_support": support, "confounder_assessment": confounder, "control_relation_assessment": control, "statistical_limitation": limitation, "direction_assessment": direction,
+        }
+    )
+
+
+def conflicts(df: DataFrame) -> DataFrame:
+    """Adds conflict_types (joined by ;) and lag_boundary_hint: where screening, conditional tests and models disagree.
+
+    Reads data_priority, statistical_limit_level, candidate_grade, conditional_status, conditional_q, importance_rank and risk_flags.
+    """
+    grade, flags = F.upper(text("candidate_grade")), F.lower(text("risk_flags"))
+    supported = F.lower(text("conditional_status")).startswith("ok") & F.coalesce(F.col("conditional_q") <= 0.05, F.lit(False))
+    leading = F.coalesce(F.col("importance_rank") <= 5, F.lit(False))
+    boundary = flags.rlike("lag_boundary|滞后边界")
+    found = F.array(
+        F.when((F.lower(text("data_priority")) == "high") & F.lower(text("statistical_limit_level")).isin("medium", "strong"), "strong_screening_but_statistical_limited"),
+        F.when(grade.isin("A", "B") & ~supported, "strong_screening_but_conditional_weak"),
+        F.when(supported & grade.isin("D", "E"), "conditional_supported_but_screening_weak"),
+        F.when(leading & (~supported | flags.contains("high_collinearity_risk")), "model_supported_but_granger_weak"),
+        F.when(boundary, "boundary_lag_uncertain"),
+    )
+    return df.withColumns({"conflict_types": F.array_join(F.array_compact(found), ";"), "lag_boundary_hint": F.when(boundary, "scan_further").otherwise("")})

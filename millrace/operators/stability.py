@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import MIN_REGIMES, REGIME_WEIGHT_LAG, REGIME_WEIGHT_STRENGTH, REGIMES
 from ..functions.mathx import clip
-from .association import best_lags, pair_scores
-from .axis import lagged_pairs
+from .association import best_lags, lag_scores
 
 
 def regimes(long: DataFrame, capacity: str) -> DataFrame:
@@ -19,10 +20,14 @@ def regimes(long: DataFrame, capacity: str) -> DataFrame:
     return rows.join(F.broadcast(q)).select("t", regime.alias("regime"))  # one row
 
 
-def regime_scores(long: DataFrame, target: str, capacity: str, max_lag: int, period: int) -> DataFrame:
-    """Best lag of each variable inside each regime (of the target's time)."""
-    pairs = lagged_pairs(long.where(F.col("variable") != capacity), target, list(range(-max_lag, max_lag + 1)), period).join(regimes(long, capacity), "t")
-    scores = pair_scores(pairs, ["variable", "regime", "lag"], max_lag)
+def regime_scores(long: DataFrame, target: str, capacity: str, max_lag: int, period: int, starts: list[int] = (), targets: DataFrame | None = None, rows: int | None = None, basis: DataFrame | None = None) -> DataFrame:
+    """Best lag of each variable inside each regime (of the target's time); basis: the long frame whose levels make the regimes."""
+    parts = regimes(long if basis is None else basis, capacity)
+    if targets is not None:
+        parts = parts.join(targets.select("t"), "t", "left_semi")
+    others = long.where(F.col("variable") != capacity)
+    found = [lag_scores(others, target, max_lag, period, starts=list(starts), targets=parts.where(F.col("regime") == r), rows=rows).withColumn("regime", F.lit(r)) for r in REGIMES]
+    scores = reduce(DataFrame.unionByName, found)
     return best_lags(scores, ["variable", "regime"]).select("variable", "regime", "lag", "score", F.col("signed").alias("signed_corr"), "n")
 
 

@@ -58,7 +58,7 @@ def positive_lags(lags: list[int], most: int) -> list[int]:
 
 
 def candidate_lags(best: int, most: int, radius: int = 2) -> list[int]:
-    return positive_lags(list(range(best - radius, best + radius + 1)), most)
+    return positive_lags(list(range(best - radius, best + radius + 1)), most) if best > 0 else []
 
 
 def feature_sets(best: dict[str, int], controls: list[str], target: str, most: int) -> dict[str, list[tuple[str, int]]]:
@@ -110,31 +110,36 @@ def uplift_summary(metrics: DataFrame) -> DataFrame:
 
 
 def boosted_folds(rows: DataFrame, features: list[str], label: str, splits: list[Split], seed: int = 42, rounds: int = 20) -> DataFrame:
-    """Gradient-boosted trees per fold: fold, rows, rmse, mae, r2 on the test block; the validation block stops early."""
+    """Gradient-boosted trees per fold: fold, rows, rmse, mae, r2 on the test block; the validation block stops early.
+
+    For tables that no task holds: pyspark.ml splits every fit over the cluster. rounds bounds the trees.
+    """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
     full = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="skip").transform(rows.where(F.col(label).isNotNull()))
-    parts = fold_rows(full, splits).cache()
+    parts = fold_rows(full, splits).persist()
     out = None
     for s in splits:
         fit = parts.where((F.col("fold") == s.fold) & F.col("partition").isin("train", "validation")).withColumn("_validation", F.col("partition") == "validation")
         model = GBTRegressor(featuresCol="_x", labelCol=label, maxIter=rounds, maxDepth=4, seed=seed, validationIndicatorCol="_validation").fit(fit)
         test = model.transform(parts.where((F.col("fold") == s.fold) & (F.col("partition") == "test")))
         scored = fold_errors(test.select("fold", F.col(label).alias("actual"), F.col("prediction").alias("predicted")), ["fold"])
-        out = scored if out is None else out.unionByName(scored)
-    return out
+        rows_of_fold = scored.collect()  # one row
+        out = rows_of_fold if out is None else out + rows_of_fold
+    parts.unpersist()
+    return rows.sparkSession.createDataFrame(out, scored.schema)
 
 
-def forest_importance(rows: DataFrame, features: list[str], label: str, seed: int = 42, trees: int = 50) -> DataFrame:
-    """feature, importance of a random forest (impurity), the last fifth of time held out of the fit."""
+def forest_importance(rows: DataFrame, features: list[str], label: str, seed: int = 42, trees: int = 250) -> DataFrame:
+    """feature, importance of a random forest (impurity), the last quarter of time held out of the fit, the last fifth with fewer than 80 rows."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import RandomForestRegressor
 
     w = Window.orderBy("t")
     ready = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="skip").transform(rows.where(F.col(label).isNotNull()))
     placed = ready.withColumns({"_i": F.row_number().over(w), "_n": F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))})
-    model = RandomForestRegressor(featuresCol="_x", labelCol=label, numTrees=trees, maxDepth=8, minInstancesPerNode=3, seed=seed).fit(placed.where("_i <= 0.8 * _n"))
+    model = RandomForestRegressor(featuresCol="_x", labelCol=label, numTrees=trees, maxDepth=8, minInstancesPerNode=3, seed=seed).fit(placed.where("_i <= case when _n >= 80 then 0.75 else 0.8 end * _n"))
     return rows.sparkSession.createDataFrame([(f, float(v)) for f, v in zip(features, model.featureImportances.toArray(), strict=True)], "feature string, importance double")
 
 

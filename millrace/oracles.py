@@ -58,7 +58,7 @@ FLAGGED = f"""fl0 AS (SELECT *, list_filter([
  CASE WHEN residual_status = 'ok' AND raw_corr >= 0.5 AND coalesce(residual_corr, raw_corr) < raw_corr * 0.65 THEN 'common_capacity_driver' END,
  CASE WHEN redundant THEN 'redundant_proxy' END, CASE WHEN temporal_direction_status = 'target_leads_supported' THEN 'target_leads_variable' END,
  CASE WHEN regime_evidence_status IN ('partial_coverage', 'full_coverage') AND regime_stability_final < 0.5 THEN 'unstable_across_regimes' END,
- CASE WHEN coalesce(rolling_stability, 1) < 0.35 AND NOT (lift_status = 'ok' AND model_lift >= 0.05 AND raw_corr < 0.2) THEN 'unstable_over_time' END,
+ CASE WHEN coalesce(rolling_stability, 1) < 0.35 AND NOT coalesce(lift_status = 'ok' AND model_lift >= 0.05 AND raw_corr < 0.2, false) THEN 'unstable_over_time' END,
  CASE WHEN lag_boundary_flag THEN 'lag_boundary' END, CASE WHEN lift_status = 'ok' AND model_lift < 0.01 THEN 'low_model_lift' END,
  CASE WHEN {POOR} AND NOT {SEVERE} THEN 'poor_data_quality' END, CASE WHEN {SEVERE} THEN 'severe_data_quality' END,
  CASE WHEN residual_status IN ('ok', 'rank_deficient') AND condition_number > 1e8 THEN 'residual_collinearity' END], lambda x: x IS NOT NULL) AS flags FROM scored),
@@ -113,6 +113,22 @@ def segs(test: str) -> str:
     return f"sg AS (SELECT t, sum(CASE WHEN {test} THEN 1 ELSE 0 END) OVER (ORDER BY t) AS segment FROM (SELECT t, t - lag(t) OVER (ORDER BY t) AS step FROM nn))"
 
 
+JOINT = f"c AS (SELECT x.t, x.variable, x.value AS x, y.value AS y, z.value AS z FROM h x JOIN h y ON y.t = x.t AND y.variable = '{TARGET}' JOIN h z ON z.t = x.t AND z.variable = '{CONTROL}' WHERE x.variable NOT IN ('{TARGET}', '{CONTROL}') AND x.value IS NOT NULL AND y.value IS NOT NULL AND z.value IS NOT NULL)"
+RESPAIRS = f"pairs AS (SELECT a.variable, l.lag, b.t, a.x, b.y FROM res a CROSS JOIN (SELECT unnest(range(-{MAX_LAG}, {MAX_LAG} + 1)) AS lag) l JOIN res b ON b.variable = a.variable AND b.t = a.t + l.lag * {PERIOD})"
+PEAKS = """pk AS (SELECT u.variable, b.lag AS bl, b.score AS bs, u.lag, u.score FROM b_sup u JOIN b USING (variable) WHERE u.score IS NOT NULL),
+pg AS (SELECT variable, any_value(bl) AS best_lag, any_value(bs) AS best_score, avg(score) FILTER (abs(lag - bl) = 1) AS nearby, max(score) FILTER (abs(lag - bl) > 1) AS second, min(lag) FILTER (score >= bs * 0.95) AS lo, max(lag) FILTER (score >= bs * 0.95) AS hi FROM pk GROUP BY variable),
+pq AS (SELECT *, coalesce(greatest(0, best_score - nearby), 0) AS sharp, coalesce(greatest(0, least(1, (best_score - second) / best_score)), 0) AS prom FROM pg)"""
+LAG_QUALITY = f"(0.7 * prom + 0.3 * least(prom, least(1, sharp / best_score))) * CASE WHEN abs(best_lag) = {MAX_LAG} THEN 0.75 ELSE 1 END"
+DIRECTION = "CASE WHEN lo > 1 THEN 'variable_leads_supported' WHEN hi < -1 THEN 'target_leads_supported' WHEN lo = 0 AND hi = 0 THEN 'synchronous' ELSE 'direction_unresolved' END"
+GAPS = ("association_score", "lag_quality", "residual_corr")
+AHEAD = "(" + " OR ".join(f"coalesce(a.{f} - b.{f} >= 0.05, false)" for f in GAPS) + ") AND NOT (" + " OR ".join(f"coalesce(a.{f} - b.{f} <= -0.05, false)" for f in GAPS) + ")"
+
+
+def gap_pairs(source: str, name: str) -> str:
+    return f"""{name} AS (SELECT x.variable, l.lag, y.t, x.value AS x, y.value AS y FROM {source} x CROSS JOIN (SELECT unnest(range(-{MAX_LAG}, {MAX_LAG} + 1)) AS lag) l
+JOIN {source} y ON y.variable = '{TARGET}' AND y.t = x.t + l.lag * {PERIOD} AND y.side = x.side WHERE x.variable <> '{TARGET}' AND x.value IS NOT NULL AND y.value IS NOT NULL)"""
+
+
 def q(*ctes: str, final: str) -> str:
     return "WITH RECURSIVE " + ",\n".join(ctes) + "\n" + final
 
@@ -120,6 +136,28 @@ def q(*ctes: str, final: str) -> str:
 LOAD = "(SELECT min(t) FROM k)"
 MASK = f"(t BETWEEN {LOAD} + 7200 AND {LOAD} + 36000 OR t BETWEEN {LOAD} + 72000 AND {LOAD} + 90000)"
 
+#: h without the excluded windows; side counts the windows before, exact and tolerant number the segments.
+GAPPED = f"""gx AS (SELECT t, {MASK} AS hit, lag({MASK}) OVER (ORDER BY t) AS was, bool_or(NOT {MASK}) OVER (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (SELECT DISTINCT t FROM h)),
+gt AS (SELECT t, coalesce(was AND before, false) AS start, t - lag(t) OVER (ORDER BY t) AS step FROM gx WHERE NOT hit),
+gs AS (SELECT t, sum(start::INT) OVER (ORDER BY t) AS side, sum((step IS NOT NULL AND (step <> {PERIOD} OR start))::INT) OVER (ORDER BY t) AS exact, sum((step IS NOT NULL AND (step > 1.5 * {PERIOD} OR start))::INT) OVER (ORDER BY t) AS tolerant FROM gt),
+g AS (SELECT h.t, h.variable, h.value, side, exact, tolerant FROM h JOIN gs USING (t))"""
+
+#: g of the variables that are admitted; nulls are not filled (run <= 0).
+SCREEN_FRAME = f"""i0 AS (SELECT *, last_value(value IGNORE NULLS) OVER a AS v0, last_value(CASE WHEN value IS NOT NULL THEN t END IGNORE NULLS) OVER a AS t0, first_value(value IGNORE NULLS) OVER z AS v1, first_value(CASE WHEN value IS NOT NULL THEN t END IGNORE NULLS) OVER z AS t1, count(value) OVER a AS k
+ FROM g WINDOW a AS (PARTITION BY variable, exact ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), z AS (PARTITION BY variable, exact ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+i1 AS (SELECT *, row_number() OVER (PARTITION BY variable, exact, k ORDER BY t) - 1 AS run FROM i0),
+i2 AS (SELECT t, variable, side, exact, value AS raw, CASE WHEN value IS NOT NULL THEN value WHEN k > 0 AND run <= 0 AND t1 > t0 THEN v0 + (v1 - v0) * (t - t0) / (t1 - t0) END AS value FROM i1),
+ok AS (SELECT variable FROM i2 GROUP BY 1 HAVING count(value) > 0 AND (variable IN ('{TARGET}', '{CONTROL}') OR count(raw) / count(*) >= 0.7 AND count(DISTINCT value) > 1)),
+hh AS (SELECT t, variable, side, exact, value FROM i2 JOIN ok USING (variable))"""
+RANKED = """rf AS (SELECT *, row_number() OVER (ORDER BY final_score DESC NULLS LAST, association_score DESC NULLS LAST, lag_quality DESC NULLS LAST, variable) AS driver_rank, driver_rank AS final_rank, lag AS screening_lag,
+ ['pearson', 'spearman'][part % 2 + 1] AS method, lag_quality - 0.5 AS pearson, raw_corr - 0.5 AS spearman, ['variable_leads', 'target_leads'][part % 2 + 1] AS direction, ['priority_review', 'secondary_review', 'risk_limited_review', 'manual_review_only'][part % 4 + 1] AS final_recommendation,
+ ['upstream_driver', 'downstream_response', 'formula_or_derived'][part % 3 + 1] AS candidate_class, CASE WHEN part % 5 = 0 THEN part % 997 END AS candidate_priority_rank, CASE WHEN part % 3 = 0 THEN part % 991 END AS candidate_pool_rank FROM used)"""
+REASONS = """array_to_string(list_filter([CASE WHEN variable = 'v7' THEN 'target_variable' END, CASE WHEN final_recommendation = 'manual_review_only' THEN 'recommendation_not_eligible' END, CASE WHEN screening_lag <= 0 THEN 'non_positive_screening_lag' END,
+ CASE WHEN variable = 'v5' THEN 'control_variable' END, CASE WHEN recommended_use = 'control_variable_reference' THEN 'control_reference' END, CASE WHEN candidate_class IN ('downstream_response', 'formula_or_derived', 'poor_quality') THEN candidate_class END,
+ CASE WHEN list_contains(flags, 'strong_formula_leakage') THEN 'strong_formula_leakage' END, CASE WHEN list_contains(flags, 'severe_data_quality') THEN 'severe_data_quality' END, CASE WHEN list_contains(flags, 'target_leads_variable') THEN 'target_leads_variable' END], lambda x: x IS NOT NULL), ';')"""
+FOLDS = "f AS (SELECT CAST(p_partkey % 3 AS INT) AS fold, ['M0', 'M1', 'M2'][p_partkey // 3 % 3 + 1] AS model, 1 + p_partkey % 17 / 8.0 AS rmse, p_partkey % 13 / 7.0 AS mae, p_partkey % 11 / 11.0 AS r2 FROM part)"
+BASE_FLAGS = ["target_leads_variable", "common_capacity_driver", "strong_formula_leakage", "lag_boundary", "poor_data_quality", "severe_data_quality"]
+
 ORACLE_SQL: dict[str, str] = {
     "exclude_windows_stats": q(K, final=f"SELECT count(*) AS original, count(*) FILTER ({MASK}) AS excluded, count(*) FILTER (NOT {MASK}) AS remaining, round(count(*) FILTER ({MASK}) / count(*), 6) AS ratio, CAST(2 AS BIGINT) AS windows FROM w"),
     "exclude_conditions": q(K, final="SELECT t, round(click, 6) AS click, round(error, 6) AS error FROM w WHERE NOT (coalesce(click > 60, false) OR coalesce(error < 20, false))"),
@@ -146,21 +184,22 @@ ORACLE_SQL: dict[str, str] = {
     "bh_adjust": q(K, PAIRS, S, "p AS (SELECT variable, lag, 1 - abs(pearson) AS p FROM s)", "rk AS (SELECT *, row_number() OVER (ORDER BY p) AS i, count(*) OVER () AS m FROM p)", final="SELECT variable, CAST(lag AS INT) AS lag, round(p, 6) AS p, round(least(1.0, min(p * m / i) OVER (ORDER BY i DESC ROWS UNBOUNDED PRECEDING)), 6) AS q FROM rk"),
     "best_lag": q(K, PAIRS, S, B, final="SELECT variable, CAST(lag AS INT) AS lag, n, round(score, 6) AS score, method, CASE WHEN lag > 0 THEN 'variable_leads' WHEN lag < 0 THEN 'target_leads' ELSE 'synchronous' END AS direction FROM b"),
     "lag_peak_quality": q(
-        K, PAIRS, S, B,
-        "pk AS (SELECT u.variable, b.lag AS bl, b.score AS bs, u.lag, u.score FROM b_sup u JOIN b USING (variable) WHERE u.score IS NOT NULL)",
-        "pg AS (SELECT variable, any_value(bl) AS best_lag, any_value(bs) AS best_score, avg(score) FILTER (abs(lag - bl) = 1) AS nearby, max(score) FILTER (abs(lag - bl) > 1) AS second, min(lag) FILTER (score >= bs * 0.95) AS lo, max(lag) FILTER (score >= bs * 0.95) AS hi FROM pk GROUP BY variable)",
-        "pq AS (SELECT *, coalesce(greatest(0, best_score - nearby), 0) AS sharp, coalesce(greatest(0, least(1, (best_score - second) / best_score)), 0) AS prom FROM pg)",
-        final=f"SELECT variable, CAST(best_lag AS INT) AS best_lag, round(best_score, 6) AS best_score, round(prom, 6) AS peak_prominence, round((0.7 * prom + 0.3 * least(prom, least(1, sharp / best_score))) * CASE WHEN abs(best_lag) = {MAX_LAG} THEN 0.75 ELSE 1 END, 6) AS lag_quality, CASE WHEN lo > 1 THEN 'variable_leads_supported' WHEN hi < -1 THEN 'target_leads_supported' WHEN lo = 0 AND hi = 0 THEN 'synchronous' ELSE 'direction_unresolved' END AS temporal_direction_status FROM pq",
+        K, PAIRS, S, B, PEAKS,
+        final=f"SELECT variable, CAST(best_lag AS INT) AS best_lag, round(best_score, 6) AS best_score, round(prom, 6) AS peak_prominence, round({LAG_QUALITY}, 6) AS lag_quality, {DIRECTION} AS temporal_direction_status FROM pq",
     ),
     "diagnostics": q(K, DIAG, final="SELECT variable, round(missing_rate, 6) AS missing_rate, longest_missing_run, constant_run_max, abnormal_jump_count, round(abnormal_jump_ratio, 6) AS abnormal_jump_ratio, round(robust_outlier_ratio, 6) AS robust_outlier_ratio, round(saturation_ratio, 6) AS saturation_ratio FROM diag"),
     "data_quality_score": q(K, DIAG, final="SELECT variable, round(exp(-ln(2) * (missing_rate / 0.2 + saturation_ratio / 0.2 + abnormal_jump_ratio / 0.01 + robust_outlier_ratio / 0.01) / 4), 6) AS data_quality_score FROM diag"),
     "residual_corr": q(
-        K,
-        f"c AS (SELECT h.t, h.variable, h.value, z.value AS z FROM h JOIN h z ON z.t = h.t AND z.variable = '{CONTROL}' WHERE h.variable <> '{CONTROL}' AND h.value IS NOT NULL AND z.value IS NOT NULL)",
-        "fit AS (SELECT variable, regr_slope(value, z) AS b, regr_intercept(value, z) AS a FROM c GROUP BY 1)",
-        "res AS (SELECT t, variable, value - a - b * z AS value FROM c JOIN fit USING (variable))",
-        f"pairs AS (SELECT x.variable, l.lag, y.t, x.value AS x, y.value AS y FROM res x CROSS JOIN (SELECT unnest(range(-{MAX_LAG}, {MAX_LAG} + 1)) AS lag) l JOIN res y ON y.variable = '{TARGET}' AND y.t = x.t + l.lag * {PERIOD} WHERE x.variable <> '{TARGET}')",
-        S, B, final="SELECT variable, CAST(lag AS INT) AS residual_lag, round(score, 6) AS residual_corr, n AS residual_n FROM b",
+        K, JOINT, "fit AS (SELECT variable, regr_slope(x, z) AS bx, regr_intercept(x, z) AS ax, regr_slope(y, z) AS cy, regr_intercept(y, z) AS ay, count(*) AS m, avg(z) AS mz, avg(z * z) AS mzz FROM c GROUP BY 1)",
+        "res AS (SELECT t, c.variable, x - ax - bx * z AS x, y - ay - cy * z AS y FROM c JOIN fit USING (variable))", RESPAIRS, S, B, PEAKS,
+        final=f"SELECT variable, 'ok' AS residual_status, 1 AS control_count, 2 AS control_matrix_rank, CAST(lag AS INT) AS residual_lag, round(score, 6) AS residual_corr, method AS residual_method, n AS residual_n, round({LAG_QUALITY}, 6) AS residual_lag_quality, round(sqrt((1 + mzz + sqrt((1 + mzz) * (1 + mzz) - 4 * (mzz - mz * mz))) / (1 + mzz - sqrt((1 + mzz) * (1 + mzz) - 4 * (mzz - mz * mz)))), 4) AS condition_number FROM b JOIN pq USING (variable) JOIN fit USING (variable) UNION ALL SELECT '{CONTROL}', 'control_reference_not_residualized', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL",
+    ),
+    "residual_corr_many_controls": q(
+        K, f"c AS (SELECT x.t, x.variable, x.value AS x, y.value AS y, z.value AS z, s.value AS s FROM h x JOIN h y ON y.t = x.t AND y.variable = '{TARGET}' JOIN h z ON z.t = x.t AND z.variable = '{CONTROL}' JOIN h s ON s.t = x.t AND s.variable = 'signup' WHERE x.variable NOT IN ('{TARGET}', '{CONTROL}', 'signup') AND x.value IS NOT NULL AND y.value IS NOT NULL AND z.value IS NOT NULL AND s.value IS NOT NULL)",
+        "mom AS (SELECT variable, var_pop(z) AS zz, var_pop(s) AS ss, covar_pop(z, s) AS zs, covar_pop(x, z) AS xz, covar_pop(x, s) AS xs, covar_pop(y, z) AS yz, covar_pop(y, s) AS ys, avg(x) AS mx, avg(y) AS my, avg(z) AS mz, avg(s) AS ms FROM c GROUP BY 1)",
+        "fit AS (SELECT *, (xz * ss - xs * zs) / (zz * ss - zs * zs) AS b1, (xs * zz - xz * zs) / (zz * ss - zs * zs) AS b2, (yz * ss - ys * zs) / (zz * ss - zs * zs) AS d1, (ys * zz - yz * zs) / (zz * ss - zs * zs) AS d2 FROM mom)",
+        "res AS (SELECT t, c.variable, x - mx - b1 * (z - mz) - b2 * (s - ms) AS x, y - my - d1 * (z - mz) - d2 * (s - ms) AS y FROM c JOIN fit USING (variable))", RESPAIRS, S, B,
+        final=f"SELECT variable, 'ok' AS residual_status, 3 AS control_matrix_rank, CAST(lag AS INT) AS residual_lag, round(score, 6) AS residual_corr, n AS residual_n FROM b UNION ALL SELECT unnest(['{CONTROL}', 'signup']), 'control_reference_not_residualized', NULL, NULL, NULL, NULL",
     ),
     "regime_scores": q(K, PAIRS, REG, final="SELECT variable, regime, CAST(lag AS INT) AS lag, round(score, 6) AS score, round(signed, 6) AS signed_corr, n FROM rbest"),
     "regime_robustness": q(
@@ -171,11 +210,35 @@ ORACLE_SQL: dict[str, str] = {
     "rolling_corr": q(K, PAIRS, S, B, ROLL, final="SELECT variable, t, round(r, 6) AS r FROM roll"),
     "rolling_stability": q(K, PAIRS, S, B, ROLL, final="SELECT variable, round(median(r), 6) AS rolling_corr_median, round(greatest(avg(CASE WHEN r >= 0 THEN 1.0 ELSE 0 END), avg(CASE WHEN r < 0 THEN 1.0 ELSE 0 END)), 6) AS rolling_sign_consistency, count(*) AS valid_window_count, round(greatest(0, least(1, median(abs(r)) * greatest(avg(CASE WHEN r >= 0 THEN 1.0 ELSE 0 END), avg(CASE WHEN r < 0 THEN 1.0 ELSE 0 END)) * (1 - least(1, quantile_cont(r, 0.75) - quantile_cont(r, 0.25))))), 6) AS rolling_stability FROM roll GROUP BY 1"),
     "innovation": q(
-        K, PAIRS, S, B,
-        "d AS (SELECT t, variable, value - lag(value) OVER (PARTITION BY variable ORDER BY t) AS value FROM h)",
-        f"dp AS (SELECT x.variable, l.lag, y.t, x.value AS x, y.value AS y FROM d x CROSS JOIN (SELECT unnest(range(-{MAX_LAG}, {MAX_LAG} + 1)) AS lag) l JOIN d y ON y.variable = '{TARGET}' AND y.t = x.t + l.lag * {PERIOD} JOIN b ON b.variable = x.variable AND abs(b.lag - l.lag) <= 2 WHERE x.value IS NOT NULL AND y.value IS NOT NULL)",
+        K, GAPPED, gap_pairs("g", "pairs"), S, B,
+        "d AS (SELECT t, variable, side, value - lag(value) OVER (PARTITION BY variable, exact ORDER BY t) AS value FROM g)",
+        gap_pairs("d", "dall"), "dp AS (SELECT a.* FROM dall a JOIN b ON b.variable = a.variable AND abs(b.lag - a.lag) <= 2)",
         scores("variable, lag", "dp", "ds"), best("variable", "ds", "db"),
-        final="SELECT b.variable, CAST(b.lag AS INT) AS raw_lag, CAST(db.lag AS INT) AS innovation_lag, round(db.score, 6) AS innovation_score, coalesce(abs(db.lag - b.lag) <= 2 AND sign(db.lag) = sign(b.lag) AND sign(db.signed) = sign(b.signed), false) AS innovation_verified FROM b LEFT JOIN db USING (variable)",
+        "st AS (SELECT b.variable, b.lag AS raw_lag, db.lag AS near_lag, db.score, CASE WHEN db.lag IS NULL THEN 'not_computed' WHEN NOT (abs(db.lag - b.lag) <= 2 AND sign(db.lag) = sign(b.lag)) THEN 'innovation_lag_conflict' WHEN sign(db.signed) <> sign(b.signed) THEN 'innovation_sign_conflict' ELSE 'innovation_verified' END AS status FROM b LEFT JOIN db USING (variable))",
+        final="SELECT variable, CAST(raw_lag AS INT) AS raw_lag, CAST(near_lag AS INT) AS innovation_lag, round(CASE WHEN status = 'innovation_verified' THEN score END, 6) AS innovation_score, status AS innovation_status FROM st",
+    ),
+    "lag_scores_with_gaps": q(K, GAPPED, gap_pairs("g", "pairs"), S, final="SELECT variable, CAST(lag AS INT) AS lag, n, round(pearson, 6) AS pearson, round(spearman, 6) AS spearman FROM s"),
+    "lag_scores_by_windows": q(K, PAIRS, S, final="SELECT variable, CAST(lag AS INT) AS lag, n, round(pearson, 6) AS pearson, round(spearman, 6) AS spearman FROM s"),
+    "segments_with_gaps": q(K, GAPPED, final="SELECT DISTINCT t, CAST(exact AS BIGINT) AS exact, CAST(tolerant AS BIGINT) AS tolerant FROM g"),
+    "lowpass_with_gaps": q(K, GAPPED, "n AS (SELECT variable, tolerant, t, value, row_number() OVER (PARTITION BY variable, tolerant ORDER BY t) AS i FROM g WHERE value IS NOT NULL)", "f AS (SELECT variable, tolerant, t, i, value AS y FROM n WHERE i = 1 UNION ALL SELECT n.variable, n.tolerant, n.t, n.i, f.y + (1 - exp(-((n.t - f.t) / 60.0) / 90.0)) * (n.value - f.y) FROM f JOIN n ON n.variable = f.variable AND n.tolerant = f.tolerant AND n.i = f.i + 1)", final="SELECT g.t, g.variable, round(f.y, 6) AS value FROM g LEFT JOIN f ON f.t = g.t AND f.variable = g.variable"),
+    "resample_segments": q(K, GAPPED, "lo AS (SELECT exact, min(t) AS lo, max(t) AS hi FROM g GROUP BY 1)", "m AS (SELECT exact, variable, lo + (t - lo) // 10800 * 10800 AS t, median(value) AS value FROM g JOIN lo USING (exact) GROUP BY 1, 2, 3)", "sp AS (SELECT exact, unnest(range(lo, hi + 1, 10800)) AS t FROM lo)", final=f"SELECT CAST(sp.exact AS BIGINT) AS segment, sp.t, v.variable, round(m.value, 6) AS value FROM sp CROSS JOIN (SELECT unnest({VARIABLES}) AS variable) v LEFT JOIN m ON m.exact = sp.exact AND m.t = sp.t AND m.variable = v.variable"),
+    "lag_p_and_q_values": q(
+        K, PAIRS, S, "k2 AS (SELECT variable, lag, n - 2 AS v, unnest(['pearson', 'spearman']) AS kind, unnest([pearson, spearman]) AS r FROM s)",
+        "a AS (SELECT *, sqrt(1 - r * r) AS cs, abs(r) AS sn, atan(abs(r) / sqrt(1 - r * r)) AS th FROM k2 WHERE r IS NOT NULL)",
+        # The distribution of Student's t as a finite sum, by the parity of the degrees of freedom.
+        "p AS (SELECT variable, lag, kind, 1 - CASE WHEN v % 2 = 0 THEN sn * list_sum(list_transform(range(0, CAST(v // 2 AS BIGINT)), lambda i: exp(2 * i * ln(cs) + lgamma(i + 0.5) - lgamma(i + 1.0) - lgamma(0.5)))) ELSE 2 / pi() * (th + sn * cs * list_sum(list_transform(range(0, CAST((v - 1) // 2 AS BIGINT)), lambda i: exp(2 * i * ln(cs) + lgamma(0.5) + lgamma(i + 1.0) - ln(2.0) - lgamma(i + 1.5))))) END AS p FROM a)",
+        "rk AS (SELECT *, row_number() OVER (ORDER BY p) AS i, count(*) OVER () AS m FROM p)",
+        "qq AS (SELECT *, least(1.0, min(p * m / i) OVER (ORDER BY i DESC ROWS UNBOUNDED PRECEDING)) AS q FROM rk)",
+        final="SELECT variable, CAST(lag AS INT) AS lag, round(max(p) FILTER (kind = 'pearson'), 6) AS pearson_p, round(max(p) FILTER (kind = 'spearman'), 6) AS spearman_p, round(max(q) FILTER (kind = 'pearson'), 6) AS pearson_q, round(max(q) FILTER (kind = 'spearman'), 6) AS spearman_q FROM qq GROUP BY 1, 2",
+    ),
+    "redundant_pairs_aligned": q(
+        K, "l AS (SELECT * FROM (VALUES ('click', 1), ('error', 2), ('signup', 2)) v(variable, lag))", f"mv AS (SELECT h.t + l.lag * {PERIOD} AS t, h.variable, h.value FROM h JOIN l USING (variable) WHERE h.value IS NOT NULL AND h.t + l.lag * {PERIOD} IN (SELECT t FROM h))",
+        final=f"SELECT x.variable AS a, y.variable AS b, count(*) AS n, round({corr('x.value', 'y.value')}, 6) AS r, coalesce(count(*) >= 30 AND abs({corr('x.value', 'y.value')}) >= 0.01, false) AS redundant FROM mv x JOIN mv y ON x.t = y.t AND x.variable < y.variable GROUP BY 1, 2",
+    ),
+    "redundant_variables": q(
+        R, "e AS (SELECT *, part // 3 AS g FROM r)",
+        f"w AS (SELECT a.part, bool_and({AHEAD}) AS first FROM e a JOIN e b ON a.g = b.g AND a.part <> b.part GROUP BY 1)",
+        final="SELECT part, count(*) OVER (PARTITION BY g) > 1 AND NOT coalesce(first, false) AS redundant FROM e LEFT JOIN w USING (part)",
     ),
     "redundant_pairs": q(K, final=f"SELECT x.variable AS a, y.variable AS b, count(*) AS n, round({corr('x.value', 'y.value')}, 6) AS r, coalesce(count(*) >= 30 AND abs({corr('x.value', 'y.value')}) >= 0.995, false) AS redundant FROM h x JOIN h y ON x.t = y.t AND x.variable < y.variable WHERE '{TARGET}' NOT IN (x.variable, y.variable) AND x.value IS NOT NULL AND y.value IS NOT NULL GROUP BY 1, 2"),
     "score_components": q(R, SCORED, final=f"SELECT part, {r6('base_score', 'support_bonus_rate', 'stability_support', 'evidence_score', 'final_score')} FROM scored"),
@@ -193,12 +256,12 @@ ORACLE_SQL: dict[str, str] = {
         "e AS (SELECT *, CASE candidate_grade WHEN 'A' THEN 2.0 WHEN 'B' THEN 1.5 WHEN 'C' THEN 1.0 WHEN 'D' THEN 0.5 ELSE 0 END + CASE WHEN NOT starts_with(conditional_status, 'ok') OR conditional_q IS NULL THEN 0 WHEN contains(conditional_status, 'fallback') THEN CASE WHEN conditional_q <= 0.1 THEN 0.4 ELSE 0 END WHEN conditional_q <= 0.05 THEN 2.0 WHEN conditional_q <= 0.1 THEN 1.0 ELSE 0 END + CASE WHEN predictive_contribution > 0 THEN CASE WHEN conditional_status = 'high_collinearity_risk' THEN 0.3 ELSE 0.5 END ELSE 0 END + CASE WHEN granger_q <= 0.05 THEN 0.75 WHEN granger_q <= 0.1 THEN 0.4 ELSE 0 END + CASE WHEN model_lift >= 0.05 THEN 0.75 WHEN model_lift >= 0.01 THEN 0.4 ELSE 0 END + CASE WHEN rolling_stability >= 0.7 THEN 0.75 WHEN rolling_stability >= 0.5 THEN 0.4 ELSE 0 END + CASE WHEN sign_consistency >= 0.8 THEN 0.3 ELSE 0 END + CASE WHEN importance_rank <= 5 THEN 0.75 WHEN importance_rank <= 10 THEN 0.4 ELSE 0 END AS es FROM used)",
         final="SELECT part, round(CAST(es AS DOUBLE), 6) AS points, CASE WHEN risk_level = 'strong' THEN 'risk_limited' WHEN round(es, 9) >= 4 AND risk_level IN ('', 'none', 'weak') THEN 'strong' WHEN round(es, 9) >= 2.5 THEN 'moderate' WHEN round(es, 9) >= 1 THEN 'weak_or_incomplete' WHEN regexp_matches(conditional_status, 'insufficient|skipped') THEN 'insufficient' ELSE 'not_supported' END AS evidence_level FROM e",
     ),
-    "evidence_matrix": q(R, final="SELECT part, CASE WHEN part % 3 = 0 THEN 'supported' ELSE 'missing' END AS granger, 'not_computed' AS model, CASE WHEN part % 2 = 0 THEN lift_status ELSE 'missing' END AS lift FROM r"),
+    "evidence_matrix": q(R, final="SELECT part, CASE WHEN granger_q <= 0.1 THEN 'supported' ELSE 'missing' END AS granger, 'not_computed' AS model, CASE WHEN lift_status = 'ok' THEN lift_status ELSE 'missing' END AS lift FROM r"),
     "validation_summary": q(R, "m AS (SELECT part, CASE part % 4 WHEN 0 THEN 'supported' WHEN 1 THEN 'zero' WHEN 2 THEN 'missing' ELSE 'not_run' END AS a, CASE part % 3 WHEN 0 THEN 'supported' WHEN 1 THEN 'no_support' ELSE 'not_run' END AS b, CASE part % 2 WHEN 0 THEN 'supported' ELSE 'not_run' END AS c FROM r)", "c AS (SELECT part, list_value(a, b, c) AS l FROM m)", "n AS (SELECT part, len(list_filter(l, lambda x: x <> 'not_run')) AS ran, len(list_filter(l, lambda x: x = 'supported')) AS sup, len(list_filter(l, lambda x: x IN ('zero', 'no_support'))) AS weak, len(list_filter(l, lambda x: x IN ('zero', 'no_support', 'missing'))) AS lim FROM c)", "v AS (SELECT part, CASE WHEN ran = 0 THEN 'not_run' WHEN sup = 0 THEN CASE WHEN weak > 0 THEN 'limited' ELSE 'not_computed' END WHEN lim > 0 THEN 'limited' WHEN sup >= 2 THEN 'supported' ELSE 'limited' END AS validation_status FROM n)", final="SELECT part, validation_status, CASE validation_status WHEN 'supported' THEN 'consistent' WHEN 'limited' THEN 'partial' ELSE validation_status END AS evidence_consistency FROM v"),
     "final_review": q(R, SCORED, "d AS (SELECT *, ['priority_review', 'secondary_review', 'manual_review_only', 'not_recommended', 'other'][part % 5 + 1] AS decision, ['high', 'medium', 'low'][part % 3 + 1] AS data_priority FROM scored)", final="SELECT part, row_number() OVER (ORDER BY CASE decision WHEN 'priority_review' THEN 1 WHEN 'secondary_review' THEN 3 WHEN 'manual_review_only' THEN 5 WHEN 'not_recommended' THEN 8 ELSE 99 END, CASE data_priority WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, evidence_score DESC NULLS LAST, final_score DESC NULLS LAST, variable) AS final_rank FROM d"),
     "fill_missing_join": "SELECT c_custkey, coalesce(nullif(trim(CASE WHEN c_custkey % 3 = 0 THEN ' ' WHEN c_custkey % 3 = 1 THEN NULL ELSE c_mktsegment END), ''), o_orderpriority) AS label FROM customer LEFT JOIN (SELECT o_custkey, o_orderpriority FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1) ON o_custkey = c_custkey",
-    "branch_comparison": q(R, "a AS (SELECT variable, row_number() OVER (ORDER BY raw_corr DESC, part) AS rank, lag, raw_corr AS score FROM r WHERE part % 10 <> 0)", "b AS (SELECT variable, row_number() OVER (ORDER BY lag_quality DESC, part) AS rank, -lag AS lag, lag_quality AS score FROM r WHERE part % 10 <> 1)", final="SELECT variable, CASE WHEN a.rank IS NULL THEN 'processed_only' WHEN b.rank IS NULL THEN 'raw_only' ELSE 'both' END AS presence, round(b.score - a.score, 6) AS score_delta, CAST(b.lag - a.lag AS DOUBLE) AS lag_delta, CAST(b.rank - a.rank AS DOUBLE) AS rank_delta, coalesce(sign(a.lag) <> sign(b.lag), false) AS direction_changed, coalesce(a.rank <= 20, false) AS in_raw_top, coalesce(b.rank <= 20, false) AS in_processed_top FROM a FULL OUTER JOIN b USING (variable)"),
-    "occurrence_join": "WITH a AS (SELECT l_suppkey AS k, l_orderkey * 10 + l_linenumber AS i, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey * 10 + l_linenumber) AS n FROM lineitem WHERE l_linenumber = 1), b AS (SELECT l_suppkey AS k, l_orderkey * 10 + l_linenumber AS j, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey * 10 + l_linenumber) AS n FROM lineitem WHERE l_linenumber = 2) SELECT a.k, CAST(a.n AS INT) AS occurrence, i, CAST(j AS DOUBLE) AS j FROM a LEFT JOIN b ON a.k = b.k AND a.n = b.n",
+    "branch_comparison": q(R, "a AS (SELECT variable, row_number() OVER (ORDER BY raw_corr DESC, part) AS rank, lag, raw_corr AS score FROM r WHERE raw_corr > 0 OR lag_quality <= 0.1)", "b AS (SELECT variable, row_number() OVER (ORDER BY lag_quality DESC, part) AS rank, -lag AS lag, lag_quality AS score FROM r WHERE lag_quality > 0.1)", final="SELECT variable, CASE WHEN a.rank IS NULL THEN 'processed_only' WHEN b.rank IS NULL THEN 'raw_only' ELSE 'both' END AS presence, round(b.score - a.score, 6) AS score_delta, CAST(b.lag - a.lag AS DOUBLE) AS lag_delta, CAST(b.rank - a.rank AS DOUBLE) AS rank_delta, coalesce(sign(a.lag) <> sign(b.lag), false) AS direction_changed, coalesce(a.rank <= 20, false) AS in_raw_top, coalesce(b.rank <= 20, false) AS in_processed_top FROM a FULL OUTER JOIN b USING (variable)"),
+    "occurrence_join": "WITH a AS (SELECT l_suppkey AS k, l_orderkey * 10 + l_linenumber AS i, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey * 10 + l_linenumber) AS n FROM lineitem WHERE l_returnflag = 'N'), b AS (SELECT l_suppkey AS k, l_orderkey * 10 + l_linenumber AS j, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey * 10 + l_linenumber) AS n FROM lineitem WHERE l_returnflag <> 'N') SELECT a.k, CAST(a.n AS INT) AS occurrence, i, CAST(j AS DOUBLE) AS j FROM a LEFT JOIN b ON a.k = b.k AND a.n = b.n",
     "topk_overlap": q(R, "a AS (SELECT variable, row_number() OVER (ORDER BY raw_corr DESC, part) AS rank FROM r)", "b AS (SELECT variable, row_number() OVER (ORDER BY lag_quality DESC, part) AS rank FROM r)", final="SELECT CAST(k AS INT) AS k, count(*) FILTER (a.rank <= k AND b.rank <= k) AS shared, count(*) FILTER (a.rank > k AND b.rank <= k) AS entered, count(*) FILTER (a.rank <= k AND b.rank > k) AS dropped FROM a JOIN b USING (variable), (SELECT unnest([10, 20, 30]) AS k) GROUP BY 1"),
     "expanding_splits": q(K, "n AS (SELECT count(*) AS n FROM w)", "f AS (SELECT fold, n, n // 4 AS size, n - (3 - fold) * (n // 4) AS test, n - (3 - fold) * (n // 4) - 2 AS v1 FROM n, (SELECT unnest([0, 1, 2]) AS fold))", "g AS (SELECT *, v1 - greatest(30, CAST(floor(v1 * 0.15) AS BIGINT)) AS v0 FROM f)", final="SELECT CAST(fold AS INT) AS fold, p AS partition, CAST(CASE p WHEN 'train' THEN 0 WHEN 'validation' THEN v0 ELSE test END AS BIGINT) AS start, CAST(CASE p WHEN 'train' THEN v0 - 2 WHEN 'validation' THEN v1 ELSE CASE WHEN fold = 2 THEN n ELSE test + size END END AS BIGINT) AS stop FROM g, (SELECT unnest(['train', 'validation', 'test']) AS p)"),
     "fold_context": q(K, "n AS (SELECT count(*) AS n FROM w)", "f AS (SELECT fold, n, n // 4 AS size, n - (3 - fold) * (n // 4) AS test, n - (3 - fold) * (n // 4) - 2 AS v1 FROM n, (SELECT unnest([0, 1, 2]) AS fold))", "g AS (SELECT *, v1 - greatest(30, CAST(floor(v1 * 0.15) AS BIGINT)) AS v0 FROM f)", "s AS (SELECT CAST(fold AS INT) AS fold, p AS partition, CASE p WHEN 'train' THEN 0 WHEN 'validation' THEN v0 ELSE test END AS a, CASE p WHEN 'train' THEN v0 - 2 WHEN 'validation' THEN v1 ELSE CASE WHEN fold = 2 THEN n ELSE test + size END END AS b FROM g, (SELECT unnest(['train', 'validation', 'test']) AS p))", "i AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS i FROM w)", final="SELECT fold, partition, min(t) AS start, max(t) AS stop, count(*) AS rows, round((max(t) - min(t)) / 60.0, 6) AS minutes FROM s JOIN i ON i >= a AND i < b GROUP BY 1, 2"),
@@ -211,4 +274,95 @@ ORACLE_SQL: dict[str, str] = {
     "downsample": q(K, "i AS (SELECT *, row_number() OVER (ORDER BY t) - 1 AS i, count(*) OVER () AS n FROM w)", final="SELECT t, round(purchase, 6) AS purchase FROM i WHERE i IN (SELECT DISTINCT j * ((SELECT count(*) FROM w) - 1) // 99 FROM (SELECT unnest(range(100)) AS j))"),
     "scatter_matrix": q(K, final="SELECT t, 'click' AS x_name, 'purchase' AS y_name, round(click, 6) AS x, round(purchase, 6) AS y FROM w WHERE click IS NOT NULL AND purchase IS NOT NULL UNION ALL SELECT t, 'click', 'view', round(click, 6), round(view, 6) FROM w WHERE click IS NOT NULL AND view IS NOT NULL"),
     "lag_profile": q(K, PAIRS, S, final="SELECT CAST(lag AS INT) AS lag, n, round(pearson, 6) AS pearson, round(spearman, 6) AS spearman FROM s WHERE variable = 'click'"),
+    "normal_curve": q(K, "s AS (SELECT variable, avg(value) AS m, stddev_pop(value) AS s, min(value) AS lo, max(value) AS hi FROM h WHERE value IS NOT NULL GROUP BY 1)", "x AS (SELECT variable, i, lo + (hi - lo) * i / 40 AS x, m, s FROM s, (SELECT unnest(range(41)) AS i) WHERE s > 0 AND lo < hi)", final="SELECT variable, CAST(i AS INT) AS i, round(x, 6) AS x, round(exp(-0.5 * ((x - m) / s) * ((x - m) / s)), 6) AS y FROM x"),
+    "candidate_exclusions": q(R, SCORED, FLAGGED, RANKED, final=f"SELECT part, {REASONS} AS reasons FROM rf"),
+    "candidate_pool": q(
+        R, SCORED, FLAGGED, RANKED, f"ex AS (SELECT *, {REASONS} AS reasons FROM rf)",
+        "au AS (SELECT variable, row_number() OVER (ORDER BY candidate_priority_rank NULLS LAST, final_rank NULLS LAST, candidate_pool_rank NULLS LAST, variable) AS a FROM ex WHERE reasons = '' QUALIFY a <= 6)",
+        "fo AS (SELECT * FROM (VALUES ('v2', 0), ('v30', 1), ('absent', 2)) f(variable, f))",
+        "al AS (SELECT coalesce(au.variable, fo.variable) AS variable, a, f FROM au FULL OUTER JOIN fo USING (variable))",
+        final="SELECT al.variable, CAST(row_number() OVER (ORDER BY a NULLS LAST, f NULLS LAST, al.variable) AS INT) AS candidate_order, CASE WHEN a IS NULL THEN 'whitelist' WHEN f IS NULL THEN 'final_review' ELSE 'final_review+whitelist' END AS selection_source, f IS NOT NULL AS force_included, coalesce(reasons = '', false) AS auto_eligible, reasons AS auto_exclusion_reasons FROM al LEFT JOIN ex USING (variable)",
+    ),
+    "review_pool": q(R, SCORED, FLAGGED, RANKED, "p AS (SELECT variable, 'initial_screening' AS candidate_source, driver_rank AS source_rank, driver_rank AS o FROM rf WHERE driver_rank <= 12 UNION ALL SELECT m.variable, 'manual_include', rf.driver_rank, 100 + m.i FROM (VALUES ('v4', 0), ('v6', 1), ('absent', 2)) m(variable, i) LEFT JOIN rf USING (variable) WHERE coalesce(rf.driver_rank, 99) > 12)", final="SELECT variable, candidate_source, CAST(source_rank AS INT) AS source_rank, CAST(row_number() OVER (ORDER BY o) AS INT) AS pool_order FROM p"),
+    "secondary_variables": q(R, SCORED, FLAGGED, RANKED, "p AS (SELECT variable, row_number() OVER (ORDER BY final_score DESC NULLS LAST, driver_rank) AS place FROM rf QUALIFY place <= 15 UNION ALL SELECT * FROM (VALUES ('v4', 16), ('v9', 17), ('v4', 18), ('other', 19)) m(variable, place))", final="SELECT variable, row_number() OVER (ORDER BY min(place)) AS place FROM p GROUP BY variable"),
+    "discovered_candidates": q(
+        R, SCORED, FLAGGED, RANKED, "fi AS (SELECT concat('v', p_partkey % 40) AS variable, CAST(p_partkey % 13 AS INT) AS lag, max((p_partkey * 13 % 1009) / 1009.0) AS importance FROM part GROUP BY 1, 2)",
+        "tp AS (SELECT *, concat(variable, '__lag_', lag) AS feature, row_number() OVER (ORDER BY importance DESC, concat(variable, '__lag_', lag)) AS ir FROM fi QUALIFY ir <= 50)",
+        "gr AS (SELECT variable, arg_min(feature, ir) AS best_model_feature, arg_min(lag, ir) AS best_model_lag, max(importance) AS max_importance, min(ir) AS importance_rank, count(*) AS model_feature_count, count(DISTINCT lag) AS nearby_lag_count FROM tp GROUP BY 1)",
+        "jn AS (SELECT gr.*, coalesce(rf.driver_rank <= 30, false) AS in_top, coalesce(rf.risk_flags, '') AS fl FROM gr LEFT JOIN rf USING (variable))",
+        "rs AS (SELECT *, list_filter([CASE WHEN NOT in_top THEN 'model_only_signal' END, CASE WHEN model_feature_count >= 3 THEN 'multi_lag_model_signal' END, CASE WHEN best_model_lag >= 10 THEN 'model_lag_boundary_risk' END, CASE WHEN best_model_lag = 0 THEN 'synchronous_or_leakage_risk' END, CASE WHEN contains(fl, 'lag_boundary') THEN 'screening_lag_boundary_risk' END, CASE WHEN contains(fl, 'target_leads_variable') THEN 'target_lead_risk' END, CASE WHEN contains(fl, 'unstable_over_time') OR contains(fl, 'unstable_across_regimes') THEN 'stability_risk' END], lambda x: x IS NOT NULL) AS l FROM jn)",
+        final="SELECT variable, best_model_feature, best_model_lag, round(max_importance, 6) AS max_importance, CAST(importance_rank AS INT) AS importance_rank, model_feature_count, nearby_lag_count, in_top AS in_screening_top_n, CASE WHEN len(l) > 0 THEN array_to_string(l, ';') ELSE 'model_supported_screening_candidate' END AS discovery_reason FROM rs",
+    ),
+    "discovery_candidates": q(R, SCORED, FLAGGED, RANKED, final="SELECT variable, CAST(driver_rank AS INT) AS source_rank, concat('model:', risk_level) AS discovery_reason FROM rf WHERE driver_rank BETWEEN 21 AND 25"),
+    "ranked_lag_merge": q(R, SCORED, FLAGGED, final="SELECT part, lag, round(CASE WHEN part % 2 = 0 THEN final_score * 2 ELSE final_score END, 6) AS final_score, 'kept' AS note, risk_level FROM used"),
+    "enhanced_summary": q(R, SCORED, FLAGGED, RANKED, "a AS (SELECT * FROM rf WHERE final_score > 0.2)", "b AS (SELECT * FROM rf WHERE lift_status = 'ok')", "c AS (SELECT * FROM rf WHERE rolling_stability IS NOT NULL)", "n AS (SELECT variable FROM a UNION SELECT variable FROM b UNION SELECT variable FROM c)", final="SELECT n.variable, round(a.final_score, 6) AS final_score, a.lag, a.direction, a.risk_flags, a.recommended_use, b.lift_status AS status, round(b.model_lift, 6) AS model_lift, round(b.raw_corr, 6) AS ar_baseline_rmse, round(b.lag_quality, 6) AS candidate_rmse, round(c.rolling_stability, 6) AS rolling_stability, round(CASE WHEN c.variable IS NOT NULL THEN c.raw_corr END, 6) AS rolling_corr_median, round(c.rolling_sign_consistency, 6) AS rolling_sign_consistency, CASE WHEN c.variable IS NOT NULL THEN 7 END AS valid_window_count FROM n LEFT JOIN a USING (variable) LEFT JOIN b USING (variable) LEFT JOIN c USING (variable)"),
+    "validation_fields": q(R, SCORED, FLAGGED, final="SELECT variable, lag AS initial_screening_lag, CAST(CASE WHEN rolling_stability IS NOT NULL THEN lag + 1 WHEN model_lift > 0.05 THEN lag WHEN granger_q <= 0.1 THEN lag - 2 END AS INT) AS validation_lag, CASE WHEN conditional_status = 'ok' THEN lag END AS conditional_validation_lag, round(model_lift, 6) AS screening_model_lift, round(CASE WHEN lift_status = 'ok' OR model_lift > 0.05 THEN model_lift END, 6) AS validation_model_lift FROM used"),
+    "model_summary": f"WITH {FOLDS}, b AS (SELECT avg(rmse) AS r, avg(mae) AS a FROM f WHERE model = 'M1') SELECT model, count(*) AS fold_count, round(avg(rmse), 6) AS mean_rmse, round(median(rmse), 6) AS median_rmse, round(avg(mae), 6) AS mean_mae, round(median(mae), 6) AS median_mae, round(avg(r2), 6) AS mean_r2, round(CASE WHEN model = 'M2' THEN (any_value(r) - avg(rmse)) / any_value(r) * 100 END, 6) AS m2_vs_m1_rmse_improvement_pct, round(CASE WHEN model = 'M2' THEN (any_value(a) - avg(mae)) / any_value(a) * 100 END, 6) AS m2_vs_m1_mae_improvement_pct FROM f, b GROUP BY model",
+    "candidate_uplift": f"WITH {FOLDS}, b AS (SELECT fold, avg(rmse) AS r, avg(mae) AS a FROM f WHERE model = 'M1' GROUP BY 1), c AS (SELECT concat('v', p_partkey) AS variable, CAST(p_partkey % 3 AS INT) AS fold, 1 + p_partkey % 19 / 9.0 AS rmse, p_partkey % 23 / 11.0 AS mae FROM part) SELECT variable, fold, round((r - rmse) / r * 100, 6) AS rmse_improvement_pct, round((a - mae) / a * 100, 6) AS mae_improvement_pct FROM c JOIN b USING (fold)",
+    "display_fields": q(R, SCORED, FLAGGED, RANKED, "d AS (SELECT part, CASE method WHEN 'pearson' THEN pearson ELSE spearman END AS c FROM rf)", final="SELECT part, round(c, 6) AS dominant_corr, CASE WHEN c > 0.05 THEN 'positive' WHEN c < -0.05 THEN 'negative' ELSE 'weak' END AS correlation_direction FROM d"),
+    "control_roles": q(
+        R, SCORED, FLAGGED, "pt AS (SELECT part, risk_flags, concat(['FIC', 'TIC', 'XY', 'AI', 'PUMP', 'feed'][part % 6 + 1], part // 7, ['.PV', '.SV', '.MV', '', '.op', '.PV', ''][part % 7 + 1]) AS variable FROM used)",
+        "lp AS (SELECT *, CASE WHEN contains(variable, '.') THEN split_part(variable, '.', 1) END AS loop_tag, upper(split_part(variable, '.', 2)) AS sfx, lower(concat(variable, ';', risk_flags)) AS txt FROM pt)",
+        "rl AS (SELECT *, CASE WHEN concat(loop_tag, '.SV') IN (SELECT variable FROM pt) THEN concat(loop_tag, '.SV') END AS related_sv, CASE WHEN concat(loop_tag, '.MV') IN (SELECT variable FROM pt) THEN concat(loop_tag, '.MV') END AS related_mv FROM lp)",
+        "ro AS (SELECT *, CASE WHEN sfx IN ('MV', 'SV') THEN 'mv_candidate' WHEN sfx = 'PV' AND (starts_with(upper(loop_tag), 'FIC') OR starts_with(upper(loop_tag), 'TIC') AND (related_sv IS NOT NULL OR related_mv IS NOT NULL)) THEN 'loop_mv_candidate' WHEN contains(variable, 'feed') THEN 'dv_feedforward_candidate' WHEN sfx = 'PV' OR regexp_matches(lower(variable), 'ai|ti|pi') THEN 'monitor_candidate' ELSE 'manual_review_only' END AS role FROM rl)",
+        final="SELECT DISTINCT part, loop_tag, related_sv, related_mv, CASE WHEN regexp_matches(txt, 'target_leads_variable|strong_formula_leakage') THEN 'not_recommended_for_control' WHEN contains(txt, 'common_capacity_driver') THEN CASE role WHEN 'mv_candidate' THEN 'monitor_candidate' WHEN 'loop_mv_candidate' THEN 'manual_review_only' WHEN 'dv_feedforward_candidate' THEN 'manual_review_only' ELSE role END ELSE role END AS suggested_control_role FROM ro",
+    ),
+    "overview": q(R, SCORED, FLAGGED, final="SELECT count(*) AS effective_variables, count(*) FILTER (risk_count > 0) AS risk_tagged_count, count(*) FILTER (is_control_reference) AS control_reference_count, count(*) FILTER (candidate_grade IN ('A', 'B')) AS good_grades, least(25, count(*)) AS recommended_candidate_count FROM used"),
+    "trend_bounds": q(K, "s AS (SELECT t, t - lag(t) OVER (ORDER BY t) AS step FROM w)", final="SELECT min(t) AS lo, CAST(least(min(t) + 99 * median(step) FILTER (step > 0), max(t)) AS BIGINT) AS hi FROM s"),
+    "expectation_errors": "WITH e AS (SELECT CASE WHEN p_partkey % 50 = 0 THEN ' ' ELSE concat('v', p_partkey % 1999) END AS variable, ['reasonable_driver', 'implausible_driver', 'neutral', 'else'][p_partkey % 4 + 1] AS c FROM part), x AS (SELECT 'variable required' AS rule, count(*) AS n FROM e WHERE trim(variable) = '' UNION ALL SELECT 'doubled variable', count(*) FROM (SELECT variable FROM e GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'unknown class', count(*) FROM e WHERE c = 'else') SELECT * FROM x WHERE n > 0",
+    "baseline_metrics": q(
+        R, SCORED, FLAGGED, RANKED, "e AS (SELECT *, CASE part % 7 WHEN 0 THEN 'r' WHEN 1 THEN 'i' WHEN 2 THEN 'n' END AS cl, candidate_grade IN ('A', 'B') AS ab FROM rf)", "k2 AS (SELECT unnest([10, 20]) AS cutoff)",
+        final="SELECT cutoff, count(*) AS available_rows, count(*) FILTER (cl = 'r') AS reasonable_hits, count(*) FILTER (cl = 'i') AS implausible_hits, count(*) FILTER (list_contains(flags, 'poor_data_quality') OR list_contains(flags, 'severe_data_quality')) AS data_quality_risk_count, " + ", ".join(f"count(*) FILTER (list_contains(flags, '{f}')) AS {f}_count" for f in BASE_FLAGS) + ", " + ", ".join(f"count(*) FILTER (ab AND list_contains(flags, '{f}')) AS ab_{f}_count" for f in BASE_FLAGS if f != "lag_boundary") + ", round(count(*) FILTER (cl = 'r') / (SELECT count(*) FROM e WHERE cl = 'r'), 6) AS recall_of_expected, round(count(*) FILTER (cl = 'r') / (SELECT count(*) FROM e WHERE cl = 'r'), 6) AS recall_of_found, round(count(*) FILTER (cl = 'i') / count(*), 6) AS implausible_share FROM e JOIN k2 ON driver_rank <= cutoff GROUP BY cutoff",
+    ),
+    "first_step": q(K, GAPPED, "d AS (SELECT DISTINCT t FROM g)", "s AS (SELECT t, t - lag(t) OVER (ORDER BY t) AS period FROM d)", final="SELECT period FROM s WHERE period > 0 ORDER BY t LIMIT 1"),
+    "granger_order": q(R, final="SELECT part, row_number() OVER (ORDER BY CASE WHEN part % 9 = 0 THEN NULL ELSE granger_q END NULLS LAST, variable, lag) AS q_order FROM r"),
+    "causal_frame": q(K, GAPPED, f"c AS (SELECT g.* FROM g WHERE t IN (SELECT t FROM g WHERE variable = '{TARGET}' AND value IS NOT NULL))", final=f"SELECT t, variable, round(CASE WHEN variable = '{TARGET}' THEN value ELSE last_value(value IGNORE NULLS) OVER (PARTITION BY variable, exact ORDER BY t ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) END, 6) AS value FROM c"),
+    "fold_features": q(
+        K, f"b AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS i, count(*) OVER () AS n FROM w WHERE {TARGET} IS NOT NULL)",
+        # The last fold: a quarter of the rows tests, five rows (the largest lag) are a gap on both sides of the validation block.
+        f"f AS (SELECT *, n - n // 4 AS a, n - n // 4 - 5 AS v1 FROM b)", "v AS (SELECT *, v1 - greatest(30, CAST(floor(v1 * 0.15) AS BIGINT)) AS v0 FROM f)",
+        f"z AS (SELECT t, CASE WHEN i >= a THEN 'test' WHEN i >= v1 THEN 'gap_2' WHEN i >= v0 THEN 'validation' WHEN i >= v0 - 5 THEN 'gap_1' ELSE 'train' END AS part, CASE WHEN i >= v1 THEN 2 WHEN i >= v0 - 5 THEN 1 ELSE 0 END AS zone FROM v)",
+        f"sg AS (SELECT t, part, zone, sum(coalesce((step <> {PERIOD})::INT, 0)) OVER (ORDER BY t) AS exact FROM (SELECT *, t - lag(t) OVER (ORDER BY t) AS step FROM z))",
+        f"p AS (SELECT sg.t, part, zone, variable, CASE WHEN variable = '{TARGET}' THEN value ELSE last_value(value IGNORE NULLS) OVER (PARTITION BY variable, part, exact ORDER BY sg.t ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) END AS value FROM sg JOIN h USING (t) WHERE variable IN ('{TARGET}', 'click', 'error', '{CONTROL}'))",
+        f"m AS (SELECT y.t, y.part, y.value AS y, x.variable, (y.t - x.t) // {PERIOD} AS k, x.value FROM p y JOIN p x ON x.zone = y.zone AND y.t - x.t BETWEEN {PERIOD} AND {MAX_LAG} * {PERIOD} AND (y.t - x.t) % {PERIOD} = 0 WHERE y.variable = '{TARGET}' AND y.part IN ('train', 'validation', 'test') AND x.value IS NOT NULL)",
+        f"c AS (SELECT t, part, any_value(y) AS y, max(value) FILTER (variable = '{TARGET}' AND k = 1) AS y_1, max(value) FILTER (variable = '{CONTROL}' AND k = 5) AS view_5, max(value) FILTER (variable = 'click' AND k = 4) AS click_4, count(*) FILTER (variable IN ('{TARGET}', '{CONTROL}') AND k IN (1, 2, 5) OR variable = 'click' AND k BETWEEN 1 AND 4 OR variable = 'error' AND k BETWEEN 1 AND 5) AS there FROM m GROUP BY 1, 2)",
+        final="SELECT part, t, round(y, 6) AS y, round(y_1, 6) AS y_1, round(view_5, 6) AS view_5, round(click_4, 6) AS click_4 FROM c WHERE there = 15",
+    ),
+    "review_assessments": q(
+        R, SCORED, FLAGGED, "a AS (SELECT * REPLACE (CASE WHEN part % 10 = 0 THEN '' WHEN part % 10 = 5 THEN 'ok_fallback_missing_ranked_lag' WHEN part % 10 = 7 THEN 'fit_failed' ELSE conditional_status END AS conditional_status) FROM used)",
+        final="""SELECT part, CASE WHEN conditional_status = '' THEN 'not_computed' WHEN conditional_status = 'high_collinearity_risk' THEN CASE WHEN predictive_contribution > 0 THEN 'supported_with_limitations' ELSE 'not_supported' END
+ WHEN conditional_status = 'ok_fallback_missing_ranked_lag' THEN CASE WHEN predictive_contribution > 0 AND coalesce(conditional_q, 0) <= 0.1 THEN 'supported_with_limitations' ELSE 'not_supported' END
+ WHEN conditional_status IN ('insufficient_rows', 'fit_failed') THEN 'not_computed' WHEN coalesce(conditional_q, 1) <= 0.1 AND predictive_contribution > 0 THEN 'supported' ELSE 'not_supported' END AS independent_predictive_support,
+ CASE WHEN list_has_any(flags, ['formula_like', 'strong_formula_leakage']) OR recommended_use = 'formula_coupled_reference' THEN 'formula_relation_risk' WHEN list_contains(flags, 'common_capacity_driver') OR recommended_use = 'capacity_driven' THEN 'common_driver_risk'
+ WHEN list_has_any(flags, ['residual_collinearity', 'redundant_proxy']) THEN 'shared_signal_risk' ELSE 'no_flagged_confounder' END AS confounder_assessment,
+ CASE WHEN is_control_reference THEN 'control_reference' WHEN list_contains(flags, 'target_leads_variable') OR temporal_direction_status = 'target_leads_supported' OR lag < 0 OR recommended_use = 'state_indicator' THEN 'possible_control_response'
+ WHEN list_contains(flags, 'common_capacity_driver') OR recommended_use = 'capacity_driven' THEN 'shared_capacity_or_control_context' ELSE 'no_control_relation_flagged' END AS control_relation_assessment,
+ CASE WHEN conditional_status = 'high_collinearity_risk' OR list_contains(flags, 'residual_collinearity') OR condition_number > 1e8 THEN 'high_collinearity_limitation' WHEN conditional_status = 'insufficient_rows' THEN 'insufficient_sample_limitation' WHEN conditional_status = '' THEN 'not_computed'
+ WHEN conditional_status = 'fit_failed' THEN 'failed_statistical_limitation' ELSE 'no_flagged_statistical_limitation' END AS statistical_limitation,
+ CASE WHEN lag > 0 THEN 'variable_leads_target' WHEN lag < 0 THEN 'target_leads_variable' ELSE 'zero_lag' END AS direction_assessment FROM a""",
+    ),
+    "review_conflicts": q(
+        R, SCORED, FLAGGED, "c AS (SELECT *, starts_with(conditional_status, 'ok') AND coalesce(conditional_q, 1) <= 0.05 AS sup FROM used)",
+        final="SELECT part, array_to_string(list_filter([CASE WHEN part % 2 = 0 AND part % 3 > 0 THEN 'strong_screening_but_statistical_limited' END, CASE WHEN candidate_grade IN ('A', 'B') AND NOT sup THEN 'strong_screening_but_conditional_weak' END, CASE WHEN sup AND candidate_grade IN ('D', 'E') THEN 'conditional_supported_but_screening_weak' END, CASE WHEN importance_rank <= 5 AND NOT sup THEN 'model_supported_but_granger_weak' END, CASE WHEN list_contains(flags, 'lag_boundary') THEN 'boundary_lag_uncertain' END], lambda x: x IS NOT NULL), ';') AS conflict_types, CASE WHEN list_contains(flags, 'lag_boundary') THEN 'scan_further' ELSE '' END AS lag_boundary_hint FROM c",
+    ),
+    "review_rollup": "WITH f AS (SELECT concat('v', p_partkey % 50) AS variable, min(p_partkey * 60) AS tested_from, max(p_partkey * 60 + 30) AS tested_to FROM part WHERE p_partkey % 11 <> 0 GROUP BY 1) SELECT u.variable, tested_from, tested_to, 15 AS sampling_minutes, CAST(NULL AS BIGINT) AS max_used_lag, CAST(NULL AS INT) AS partly, true AS sampling_minutes_consistent, false AS max_used_lag_consistent, false AS partly_consistent FROM (SELECT DISTINCT concat('v', p_partkey % 60) AS variable FROM part) u LEFT JOIN f USING (variable)",
+    "screening": q(
+        K, GAPPED, SCREEN_FRAME, gap_pairs("hh", "pairs"), S, B, PEAKS, DIAG.replace("FROM h", "FROM g"),
+        f"c AS (SELECT x.t, x.side, x.variable, x.value AS x, y.value AS y, z.value AS z FROM hh x JOIN hh y ON y.t = x.t AND y.variable = '{TARGET}' JOIN hh z ON z.t = x.t AND z.variable = '{CONTROL}' WHERE x.variable NOT IN ('{TARGET}', '{CONTROL}') AND x.value IS NOT NULL AND y.value IS NOT NULL AND z.value IS NOT NULL)",
+        "fit AS (SELECT variable, regr_slope(x, z) AS bx, regr_intercept(x, z) AS ax, regr_slope(y, z) AS cy, regr_intercept(y, z) AS ay FROM c GROUP BY 1)",
+        "res AS (SELECT t, side, c.variable, x - ax - bx * z AS x, y - ay - cy * z AS y FROM c JOIN fit USING (variable))",
+        f"zpairs AS (SELECT a.variable, l.lag, b.t, a.x, b.y FROM res a CROSS JOIN (SELECT unnest(range(-{MAX_LAG}, {MAX_LAG} + 1)) AS lag) l JOIN res b ON b.variable = a.variable AND b.side = a.side AND b.t = a.t + l.lag * {PERIOD})",
+        scores("variable, lag", "zpairs", "zs"), best("variable", "zs", "zb"), REG.replace("FROM h", "FROM hh"), ROLL,
+        f"rg AS (SELECT variable, count(DISTINCT regime) AS k, min(score) AS lo, max(score) AS hi, abs(sum(signed)) AS net, sum(abs(signed)) AS gross, stddev_pop(lag) AS sd FROM rbest GROUP BY 1)",
+        f"rr AS (SELECT variable, CASE WHEN k < 2 THEN 'insufficient_regimes' WHEN k = 3 THEN 'full_coverage' ELSE 'partial_coverage' END AS regime_evidence_status, k / 3 AS regime_coverage, CASE WHEN k > 1 THEN lo / hi END AS regime_strength_consistency, CASE WHEN k > 1 THEN least(1, net / gross) END AS regime_sign_consistency, CASE WHEN k > 1 THEN greatest(0, 1 - sd / {MAX_LAG}.0) END AS regime_lag_consistency FROM rg)",
+        "ro AS (SELECT variable, greatest(avg(CASE WHEN r >= 0 THEN 1.0 ELSE 0 END), avg(CASE WHEN r < 0 THEN 1.0 ELSE 0 END)) AS rolling_sign_consistency, quantile_cont(r, 0.75) - quantile_cont(r, 0.25) AS rolling_corr_iqr, median(abs(r)) AS rolling_abs FROM roll GROUP BY 1)",
+        f"mv AS (SELECT hh.t + b.lag * {PERIOD} AS t, hh.variable, hh.value, hh.side FROM hh JOIN b USING (variable) WHERE b.lag > 0 AND hh.value IS NOT NULL)",
+        f"al AS (SELECT x.variable FROM mv x JOIN mv y ON x.t = y.t AND x.side = y.side AND x.variable <> y.variable JOIN (SELECT DISTINCT t, side FROM hh) z ON z.t = x.t AND z.side = x.side GROUP BY x.variable, y.variable HAVING count(*) >= 30 AND abs({corr('x.value', 'y.value')}) >= 0.995)",
+        f"""r AS (SELECT b.variable, CAST(b.lag AS INT) AS lag, b.score AS association_score, b.score AS raw_corr, exp(-ln(2) * (missing_rate / 0.2 + saturation_ratio / 0.2 + abnormal_jump_ratio / 0.01 + robust_outlier_ratio / 0.01) / 4) AS data_quality_score, missing_rate, saturation_ratio, abnormal_jump_ratio, robust_outlier_ratio,
+ {LAG_QUALITY} AS lag_quality, {DIRECTION} AS temporal_direction_status, abs(best_lag) = {MAX_LAG} AS lag_boundary_flag, CASE WHEN b.variable = '{CONTROL}' THEN 'control_reference_not_residualized' WHEN zb.variable IS NULL THEN 'no_valid_residual_lag' ELSE 'ok' END AS residual_status, zb.score AS residual_corr, regime_evidence_status, regime_coverage, regime_strength_consistency, regime_sign_consistency, regime_lag_consistency,
+ regime_coverage * greatest(0, least(1, regime_sign_consistency * (0.6 * regime_strength_consistency + 0.4 * regime_lag_consistency))) AS regime_stability_final, rolling_sign_consistency, rolling_corr_iqr, rolling_abs * rolling_sign_consistency * (1 - least(1, rolling_corr_iqr)) AS rolling_stability,
+ b.variable IN (SELECT variable FROM al) AS redundant, CAST(NULL AS VARCHAR) AS lift_status, CAST(NULL AS DOUBLE) AS model_lift, 1.0 AS condition_number FROM b JOIN pq USING (variable) JOIN diag USING (variable) LEFT JOIN zb ON zb.variable = b.variable LEFT JOIN rr ON rr.variable = b.variable LEFT JOIN ro ON ro.variable = b.variable)""",
+        SCORED, FLAGGED,
+        final="SELECT CAST(row_number() OVER (ORDER BY final_score DESC NULLS LAST, association_score DESC NULLS LAST, lag_quality DESC NULLS LAST, variable) AS INT) AS driver_rank, variable, lag, round(final_score, 6) AS final_score, candidate_grade, recommended_use, risk_flags FROM used",
+    ),
 }

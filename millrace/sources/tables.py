@@ -12,9 +12,17 @@ ENCODINGS = ("utf-8", "GB18030")
 
 
 def first_bytes(spark: SparkSession, path: str, n: int = 64 * 1024) -> bytes:
-    """The start of a file (or of a folder's first file), wherever Spark can read it."""
-    row = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, n).alias("b")).limit(1).first()
-    return bytes(row["b"]) if row else b""
+    """The first n bytes of a file (or of a folder's first file), wherever Spark can read it; no more are read."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = sorted((f for f in fs.listStatus(where) if f.isFile() and f.getPath().getName()[0] not in "._"), key=lambda f: f.getPath().getName())
+    if not files:
+        return b""
+    stream = fs.open(files[0].getPath())
+    try:
+        return bytes(stream.readNBytes(n))
+    finally:
+        stream.close()
 
 
 def sniff(head: bytes, encoding: str) -> str:

@@ -102,12 +102,128 @@ def test_exclusion_stats_of_an_empty_table(spark):
 def test_residual_corr_removes_a_common_driver(spark):
     rng = np.random.default_rng(3)
     load = rng.normal(size=300)
-    wide = pd.DataFrame({"t": np.arange(300) * 60, "load": load, "y": 1.8 * load + 0.3 * rng.normal(size=300), "x": 1.6 * load + 0.3 * rng.normal(size=300)})
-    one = residual.residual_corr(spark.createDataFrame(wide), "y", ["x"], ["load"], 3, 60).first()
-    assert one["residual_corr"] < 0.3
-    wide["other"] = rng.normal(size=300)
-    two = residual.residual_corr(spark.createDataFrame(wide), "y", ["x"], ["load", "other"], 3, 60).first()
-    assert two["residual_corr"] < 0.3
+    columns = {"load": load, "y": 1.8 * load + 0.3 * rng.normal(size=300), "x": 1.6 * load + 0.3 * rng.normal(size=300), "other": rng.normal(size=300), "twice": 2 * load, "flat": np.ones(300)}
+    long = long_of(spark, columns)
+    for controls in (["load"], ["load", "other"]):
+        out = {r["variable"]: r for r in residual.residual_corr(residual.residual_scores(long, "y", controls, 3, 60), 3).collect()}
+        assert out["x"]["residual_corr"] < 0.3 and out["x"]["residual_status"] == "ok" and out["load"]["residual_status"] == "control_reference_not_residualized"
+    both = {r["variable"]: r for r in residual.residual_corr(residual.residual_scores(long, "y", ["load", "twice"], 3, 60), 3).collect()}
+    assert both["x"]["residual_status"] == "rank_deficient" and both["x"]["control_matrix_rank"] == 2
+    none = {r["variable"]: r["residual_status"] for r in residual.residual_corr(residual.residual_scores(long, "y", ["flat"], 3, 60), 3).collect()}
+    assert none["x"] == "no_valid_controls"
+    few = residual.residual_corr(residual.residual_scores(long.where("t < 600 and variable in ('x', 'y', 'load')"), "y", ["load"], 8, 60), 8).where("variable = 'x'").first()
+    assert few["residual_status"] == "insufficient_joint_samples" and few["residual_n"] == 10
+
+
+def test_residuals_match_a_loop_over_joint_rows(spark):
+    rng = np.random.default_rng(8)
+    n = 120
+    z, x, y = (rng.normal(size=n).tolist() for _ in range(3))
+    y = [0.5 * a + b for a, b in zip(z, y, strict=True)]
+    x[7], y[30], z[55] = None, None, None
+    joint = [i for i in range(n) if None not in (x[i], y[i], z[i])]
+    zs = np.array([z[i] for i in joint])
+    left = lambda v: v - np.polyval(np.polyfit(zs, v, 1), zs)
+    rx, ry = (dict(zip(joint, left(np.array([v[i] for i in joint])), strict=True)) for v in (x, y))
+    got = {r["lag"]: r for r in residual.residual_scores(long_of(spark, {"x": x, "y": y, "z": z}), "y", ["z"], 2, 60).where("variable = 'x' and lag is not null").collect()}
+    for k in range(-2, 3):
+        pairs = np.array([(rx[i - k], ry[i]) for i in joint if i - k in rx])
+        assert got[k]["n"] == len(pairs) and got[k]["pearson"] == pytest.approx(np.corrcoef(pairs.T)[0, 1])
+
+
+def test_series_in_memory_and_by_windows_agree(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    columns = {v: [None if rng.random() < 0.1 else float(x) for x in rng.integers(0, 9, 200)] for v in ("y", "a", "b")} | {"flat": [1.0] * 200, "none": [None] * 200}
+    long = long_of(spark, columns)
+    keep = spark.createDataFrame([(t * 60,) for t in range(40, 170)], "t long")
+    table = lambda: sorted((r["variable"], r["lag"], r["n"], *(None if r[c] is None else round(r[c], 9) for c in ("pearson", "spearman"))) for r in association.lag_scores(long, "y", 60, 60, starts=[1800, 7200], targets=keep).collect())
+    one = table()
+    monkeypatch.setattr(association.series, "SERIES_ROWS", 10)
+    assert one == table() and len(one) == 3 * 121
+
+
+def test_excluded_windows_block_lags_in_a_screen(spark):
+    rng = np.random.default_rng(4)
+    n = 400
+    x = rng.normal(size=n)
+    y = np.roll(x, 5) + 0.1 * rng.normal(size=n)
+    wide = spark.createDataFrame(pd.DataFrame({"t": np.arange(n) * 60, "y": y, "x": x, "w": rng.normal(size=n)}))
+    s = screen(wide, Config("y", 6, exclude_windows=({"start": 100 * 60, "end": 102 * 60},)))
+    assert s.frame.starts == (103 * 60,)
+    got = s.lag_scores.where("variable = 'x' and lag = 5").first()
+    kept = [i for i in range(n) if not 100 <= i <= 102]
+    pairs = [i for i in kept if i - 5 in kept and (i < 103) == (i - 5 < 103)]
+    assert got["n"] == len(pairs) and s.ranked.orderBy("driver_rank").first()["variable"] == "x"
+    # First differences do not bridge the window either.
+    assert s.long.where("variable = 'x'").groupBy("exact").count().count() == 2
+    s.release()
+
+
+def test_admission_interpolation_and_resampling(spark):
+    n = 120
+    base = np.arange(n, dtype=float)
+    wide = pd.DataFrame({"t": np.arange(n) * 60, "y": base % 7, "half": np.where(np.arange(n) % 2, base, np.nan), "flat": 1.0, "kept": 2.0, "gap": np.where((np.arange(n) >= 50) & (np.arange(n) < 58), np.nan, base)})
+    df = spark.createDataFrame(wide).replace(float("nan"), None)
+    f = preprocess.prepare(df, "y", protected=["kept"])
+    assert f.variables == ("y", "kept", "gap") and f.protected_constant == ("kept",) and f.period == 60 and f.rows == n
+    gap = values(f.long, "gap")
+    assert gap[50:55] == [50.0, 51.0, 52.0, 53.0, 54.0] and gap[55:58] == [None] * 3
+    two = preprocess.prepare(df, "y", resample_seconds=120, protected=["kept"])
+    assert two.period == 120 and two.rows == 60 and "half" in two.variables
+    low = preprocess.prepare(df, "y", segment=("gap", "low", None, None), max_lag=2)
+    assert {r["t"] for r in low.targets.collect()} <= {int(t) for t in range(0, 45 * 60, 60)}
+    for frame in (f, two, low):
+        frame.release()
+    with pytest.raises(ValueError, match="fewer than 10"):
+        preprocess.prepare(df.limit(5), "y")
+
+
+def test_redundancy_keeps_a_clear_representative(spark):
+    rng = np.random.default_rng(6)
+    a, b = rng.normal(size=(2, 200))
+    long = long_of(spark, {"y": rng.normal(size=200), "a1": a, "a2": np.roll(a, -1), "b1": b, "b2": 3 * b, "c": rng.normal(size=200)})
+    best = spark.createDataFrame([("a1", 2), ("a2", 3), ("b1", 1), ("b2", 1), ("c", 1), ("d", -1)], "variable string, lag int")
+    pairs = association.redundant_pairs(long, "y", best, 60)
+    groups = {r["variable"]: r["group"] for r in association.redundancy_groups(pairs, best.where("lag > 0")).collect()}
+    assert groups == {"a1": "a1", "a2": "a1", "b1": "b1", "b2": "b1", "c": "c"}
+    profile = spark.createDataFrame([("a1", 0.9, None), ("a2", 0.7, None), ("b1", 0.8, 0.1), ("b2", 0.1, 0.8), ("c", 0.5, 0.5)], "variable string, u double, v double")
+    table = spark.createDataFrame(list(groups.items()), "variable string, group string")
+    assert {r["variable"] for r in association.redundant_variables(table, profile, ["u", "v"]).where("redundant").collect()} == {"a2", "b1", "b2"}
+
+
+def test_benjamini_hochberg_over_many_buckets(spark):
+    rng = np.random.default_rng(9)
+    p = [None if rng.random() < 0.05 else float(rng.choice([0.0, 0.01, 0.5, rng.random() ** 3])) for _ in range(700)]
+    known = sorted(x for x in p if x is not None)
+    want = {}
+    for i, x in reversed(list(enumerate(known))):
+        want[x] = min(1.0, x * len(known) / (i + 1), want.get(x, 1.0), want.get(known[i + 1], 1.0) if i + 1 < len(known) else 1.0)
+    out = association.benjamini_hochberg(spark.createDataFrame(list(enumerate(p)), "i int, p double"), "p", "q", buckets=16).collect()
+    assert all((r["q"] is None) == (p[r["i"]] is None) and (r["q"] is None or r["q"] == pytest.approx(want[p[r["i"]]])) for r in out)
+
+
+def test_more_tails_against_tables():
+    assert [t_two_sided(t, df) for t, df in ((12.706, 1), (2.776, 4), (2.042, 30), (1.96, 10**6))] == pytest.approx([0.05] * 4, abs=2e-4)
+    assert [f_tail(f, a, b) for f, a, b in ((161.45, 1, 1), (4.10, 2, 10), (2.35, 12, 17), (3.94, 1, 100))] == pytest.approx([0.05, 0.05, 0.0545, 0.05], abs=6e-4)
+
+
+def test_granger_matches_normal_equations(spark):
+    rng = np.random.default_rng(12)
+    n = 150
+    x, y = rng.normal(size=n), rng.normal(size=n)
+    y[2:] += 0.6 * x[:-2]
+    got = {r["lag"]: r for r in causality.granger(long_of(spark, {"x": x, "y": y}), "y", 3, 60).collect()}
+
+    def squares(columns, t):
+        m = np.column_stack([np.ones(len(t)), *columns])
+        return float(((t - m @ np.linalg.solve(m.T @ m, m.T @ t)) ** 2).sum())
+
+    for p in (1, 2, 3):
+        t = y[p:]
+        own, other = ([v[p - k : n - k] for k in range(1, p + 1)] for v in (y, x))
+        s0, s1 = squares(own, t), squares(own + other, t)
+        f = (s0 - s1) / p / (s1 / (len(t) - 2 * p - 1))
+        assert got[p]["n"] == len(t) and got[p]["f"] == pytest.approx(f) and got[p]["p"] == pytest.approx(f_tail(f, p, len(t) - 2 * p - 1))
 
 
 def test_regime_reversal(spark):
@@ -149,6 +265,7 @@ def test_screen_ranks_the_driver_first(spark):
     rows = s.ranked.orderBy("driver_rank").collect()
     assert rows[0]["variable"] == "x" and rows[0]["lag"] == 3 and rows[0]["candidate_grade"] in "AB"
     assert s.pool.first()["variable"] == "x"
+    s.release()
 
 
 def test_readers_and_publishing(spark, tmp_path):
@@ -165,11 +282,20 @@ def test_readers_and_publishing(spark, tmp_path):
         tables.read_table(spark, "x.doc")
     folder = str(tmp_path / "out")
     assert outputs.read_optional(spark, folder, "t") is None
-    first = outputs.publish({"t": spark.range(1)}, folder)
+    first = outputs.publish({"t": spark.range(1)}, folder, {"note": "é"})
+    assert outputs.current(folder)["about"] == {"note": "é"}
     outputs.publish({"t": spark.range(2)}, folder)
     assert outputs.read_optional(spark, folder, "t").count() == 2
     outputs.rollback(folder, first)
     assert outputs.read_optional(spark, folder, "t").count() == 1
+    with pytest.raises(ValueError):
+        outputs.rollback(folder, "v-none")
+    outputs.export_csv(spark.createDataFrame([("ä", 1)], "a string, b int"), f"{folder}/x.csv")
+    assert (tmp_path / "out/x.csv").read_text("utf-8-sig") == "a,b\nä,1\n"
+    with pytest.raises(ValueError):
+        outputs.export_csv(spark.range(3), f"{folder}/y.csv", 2)
+    (tmp_path / "big.csv").write_bytes(b"time,y\n" + b"2025-01-01,1\n" * 100_000)
+    assert len(tables.first_bytes(spark, str(tmp_path / "big.csv"))) == 64 * 1024
 
 
 def test_streaming_lowpass(spark, tmp_path):

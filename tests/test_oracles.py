@@ -10,16 +10,22 @@ from millrace.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
-#: Too few hours for their minimum rows here.
-SLOW = {"boosted_folds", "forest_importance", "review_queue", "screening"}
+#: The smallest tables have too few hours for these.
+LARGER = {"boosted_folds", "fold_features", "model_validation", "model_validation_folds", "residual_corr", "residual_corr_many_controls", "review_queue", "screening"}
+
+
+def folder(name):
+    return SF.replace("0.001", "0.01") if name in LARGER else SF
 
 
 @pytest.fixture(scope="module")
-def con():
-    c = duckdb.connect()
-    for p in Path(SF).glob("*.parquet"):
-        c.execute(f"create view {p.stem} as select * from '{p}'")
-    return c
+def connections():
+    out = {}
+    for path in {folder("screening"), SF}:
+        out[path] = duckdb.connect()
+        for p in Path(path).glob("*.parquet"):
+            out[path].execute(f"create view {p.stem} as select * from '{p}'")
+    return out
 
 
 def canon(rows):
@@ -28,17 +34,17 @@ def canon(rows):
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
-def test_matches_sql(spark, con, name):
-    df = QUERIES[name](spark, SF)
+def test_matches_sql(spark, connections, name):
+    df = QUERIES[name](spark, folder(name))
     columns = sorted(df.columns)
     mine = canon([tuple(r[c] for c in columns) for r in df.collect()])
-    rel = con.execute(ORACLE_SQL[name])
+    rel = connections[folder(name)].execute(ORACLE_SQL[name])
     names = [d[0] for d in rel.description]
     assert sorted(names) == columns
     theirs = canon([tuple(r[names.index(c)] for c in columns) for r in rel.fetchall()])
     assert mine == theirs
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_runs(spark, name):
-    assert QUERIES[name](spark, SF).columns
+    assert len(QUERIES[name](spark, folder(name)).collect()) >= 1
