@@ -7,9 +7,6 @@ executor only means that its tasks run again.
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -17,6 +14,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import forget, shared_dir, tidy  # noqa: F401
+from ..sources.staging import stored as durable  # noqa: F401
+
 #: Bytes of text that one vectorised step of the hashing below handles.
 CHUNK_BYTES = 1 << 20
 
@@ -26,43 +26,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one only where it is unset and one machine does all (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="millrace-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it again: its lineage ends here."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/millrace-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def forget(*tables: DataFrame) -> None:
-    """Delete the files of durable tables that nothing reads any more."""
-    for df in tables:
-        spark = df.sparkSession
-        jvm = spark.sparkContext._jvm
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if "/millrace-" in folder:
-                path = jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    tidy(spark)
-
-
-def tidy(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of jobs that have ended: it learns of them from garbage collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def free_name(df: DataFrame, name: str) -> str:
     """name, with underscores before it until df has no such column (case aside)."""
     taken = {c.lower() for c in df.columns}

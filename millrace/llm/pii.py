@@ -105,7 +105,7 @@ KINDS = {
     "card": r"(?<![\p{L}\p{N}.+-])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![\p{L}\p{N}-])",
     "ip": rf"(?<![\p{{L}}\p{{N}}.]){_OCTET}(?:\.{_OCTET}){{3}}(?![\p{{L}}\p{{N}}]|\.[0-9])",
     "dob": rf"{_BORN}(?:[0-9]{{1,2}}[./-][0-9]{{1,2}}[./-](?:[0-9]{{4}}|[0-9]{{2}})|[0-9]{{4}}[./-][0-9]{{1,2}}[./-][0-9]{{1,2}})(?![\p{{L}}\p{{N}}])",
-    "address": rf"[0-9]{{1,5}}[A-Za-z]? (?:\p{{Lu}}\p{{Ll}}{{1,20}} ){{1,3}}(?:{STREETS})(?![\p{{L}}\p{{N}}])|[0-9]{{1,4}},? (?:{FRENCH_STREETS}) (?:de la |de |du |des )?\p{{Lu}}\p{{Ll}}{{1,20}}|Calle (?:de )?\p{{Lu}}\p{{Ll}}{{1,20}},? [0-9]{{1,4}}(?![\p{{L}}\p{{N}}])|\p{{Lu}}\p{{Ll}}{{2,20}}?(?:{GERMAN_STREETS}) [0-9]{{1,4}}(?![\p{{L}}\p{{N}}])",
+    "address": rf"[0-9]{{1,5}}[A-Za-z]? (?:\p{{Lu}}\p{{Ll}}{{1,20}} ){{1,3}}(?:{STREETS})(?![\p{{L}}\p{{N}}])|[0-9]{{1,4}},? (?:{FRENCH_STREETS}) (?:de la |de |du |des )?\p{{Lu}}\p{{Ll}}{{1,20}}|Calle (?:de )?\p{{Lu}}\p{{Ll}}{{1,20}},? [0-9]{{1,4}}(?![\p{{L}}\p{{N}}])|(?=\p{{Lu}}\p{{Ll}}{{4,31}}+ [0-9])\p{{Lu}}\p{{Ll}}{{2,20}}?(?:{GERMAN_STREETS}) [0-9]{{1,4}}(?![\p{{L}}\p{{N}}])",
     "ssn": r"(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}-])",
     "phone": r"(?<![\p{L}\p{N}.-])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-]?[0-9]{3,4}(?![\p{L}\p{N}-])|(?<![\p{L}\p{N}.-])\+[0-9]{8,15}(?![\p{L}\p{N}-])",
     "name": rf"(?<![\p{{L}}\p{{N}}])(?=\p{{Lu}})(?:{_TITLE}\.? {_NAME}(?: {_NAME})?|{_GIVEN} {_NAME})(?![\p{{L}}\p{{N}}])|{_CUE} {_NAME} {_NAME}(?![\p{{L}}\p{{N}}])|\p{{IsHan}}{{1,4}}?{_HONORIFIC}",
