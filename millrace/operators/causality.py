@@ -37,36 +37,127 @@ def side_by_side(long: DataFrame, target: str, controls: list[str]) -> DataFrame
     return rows
 
 
+class LagScan:
+    """Least squares of y on 1, its own lags 1..p and x's lags 1..p, for p = 1, 2, ... in turn.
+
+    The products of all columns are kept and brought from p to p + 1: two columns are added
+    (their products with all others are correlations, by Fourier transforms) and the rows that lack the
+    new lags are taken out. One Cholesky factor, own lags first, gives both sums of squares. Where it is
+    close to singular, or the fit nearly perfect, the columns are solved directly.
+    """
+
+    def __init__(self, t: np.ndarray, x: np.ndarray, y: np.ndarray, period: int, most: int):
+        at, off = np.divmod(t - t[0], period)
+        self.regular = not off.any() and at[-1] < 4 * len(t) + most
+        if not self.regular:  # times off the grid: lags by search, each kept as a column
+            self.x, self.y = x, y
+        else:
+            self.x, self.y = (np.full(int(at[-1]) + 1, np.nan) for _ in range(2))
+            self.x[at], self.y[at] = x, y
+        scale = lambda v: (v - np.nanmean(v)) / (np.nanstd(v) or 1.0)
+        self.x, self.y = scale(self.x), scale(self.y)
+        if not self.regular:
+            self.lags = {(w, k): shifted(t, v, k, period) for k in range(1, most + 1) for w, v in (("y", self.y), ("x", self.x))}
+        n = len(self.y)
+        self.zero = {"y": np.nan_to_num(self.y), "x": np.nan_to_num(self.x)}
+        self.size = 1 << int(2 * n + 1).bit_length()
+        self.waves = {w: np.fft.rfft(v, self.size) for w, v in self.zero.items()}
+        self.names: list[tuple[str, int]] = []
+        self.valid = np.isfinite(self.y)
+        self.p = 0
+        rows = self.valid.sum()
+        self.gram = np.array([[float(rows)]])
+        self.right = np.array([self.zero["y"].sum()])
+
+    def column(self, name: tuple[str, int]) -> np.ndarray:
+        """A lag's values, NaN where it is absent."""
+        if not self.regular:
+            return self.lags[name]
+        out = np.full(len(self.y), np.nan)
+        k = name[1]
+        out[k:] = (self.y if name[0] == "y" else self.x)[: len(out) - k]
+        return out
+
+    def products(self, v: np.ndarray) -> np.ndarray:
+        """The sums of v times 1 and each column so far; v is 0 outside valid rows."""
+        if not self.names:
+            return np.array([v.sum()])
+        if not self.regular:
+            return np.array([v.sum(), *(v @ np.nan_to_num(self.lags[c]) for c in self.names)])
+        wave = np.fft.rfft(v, self.size)
+        by = {w: np.fft.irfft(wave * np.conj(z), self.size) for w, z in self.waves.items()}
+        return np.array([v.sum(), *(by[w][k] for w, k in self.names)])
+
+    def advance(self) -> None:
+        """From p to p + 1 lags."""
+        self.p += 1
+        new = [("y", self.p), ("x", self.p)]
+        columns = [self.column(c) for c in new]
+        kept = self.valid & np.isfinite(columns[0]) & np.isfinite(columns[1])
+        gone = np.flatnonzero(self.valid & ~kept)
+        if len(gone):
+            out = np.ones((len(gone), 1 + len(self.names)))
+            for j, (w, k) in enumerate(self.names):
+                out[:, j + 1] = self.lags[w, k][gone] if not self.regular else self.zero[w][gone - k]
+            self.gram -= out.T @ out
+            self.right -= out.T @ self.zero["y"][gone]
+        self.valid = kept
+        for c, v in zip(new, columns, strict=True):
+            v = np.where(kept, np.nan_to_num(v), 0.0)
+            cross = self.products(v)
+            self.gram = np.block([[self.gram, cross[:, None]], [cross[None, :], np.array([[v @ v]])]])
+            self.right = np.append(self.right, v @ self.zero["y"])
+            self.names.append(c)
+
+    def solve(self) -> tuple[int, float, int, float, int, float, float]:
+        """Rows; sum of squares and rank of the small and of the full model; the same sums for the first own lag alone and with x's last lag."""
+        n, p = int(self.valid.sum()), self.p
+        own = [0, *(1 + i for i, c in enumerate(self.names) if c[0] == "y")]
+        order = [*own, *(1 + i for i, c in enumerate(self.names) if c[0] == "x")]
+        y = self.zero["y"][self.valid]
+        total = float(y @ y)
+        gram, right = self.gram[np.ix_(order, order)], self.right[order]
+        try:
+            factor = np.linalg.cholesky(gram)
+            z = np.linalg.solve(factor, right)
+            small, full = total - float(z[: p + 1] @ z[: p + 1]), total - float(z @ z)
+            sound = (np.diag(factor) ** 2).min() > 1e-9 * n and full > 1e-8 * total
+        except np.linalg.LinAlgError:
+            sound = False
+        if not sound or n <= len(order):
+            m = np.column_stack([np.ones(n), *(self.column(c)[self.valid] for c in self.names)])[:, order]
+            (small, rank0), (full, rank1) = ssr(m[:, : p + 1], y), ssr(m, y)
+        else:
+            rank0, rank1 = p + 1, 2 * p + 1
+        one = order[:2]
+        last = [*one, order[-1]]
+        part = lambda at: total - float(self.right[at] @ np.linalg.lstsq(self.gram[np.ix_(at, at)], self.right[at], rcond=None)[0])
+        return n, small, rank0, full, rank1, part(one), part(last)
+
+
 def granger(long: DataFrame, target: str, max_lag: int, period: int) -> DataFrame:
     """variable, lag, status, n, f, p, q, contribution: y on its own lags against those and x's, per lag order."""
 
     def test(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("t")
         t, x, y = (part[c].to_numpy() for c in ("t", "x", "y"))
-        x, y = x.astype(float), y.astype(float)
-        ys = [shifted(t, y, k, period) for k in range(1, max_lag + 1)]
-        xs = [shifted(t, x, k, period) for k in range(1, max_lag + 1)]
+        scan = LagScan(t, x.astype(float), y.astype(float), period, max_lag)
         out = []
         for p in range(1, max_lag + 1):
-            rows = np.column_stack([y, *ys[:p], *xs[:p]])
-            rows = rows[np.isfinite(rows).all(axis=1)]
-            n = len(rows)
+            scan.advance()
+            n = int(scan.valid.sum())
+            row = (part["variable"].iloc[0], p)
             if n < max(30, 5 * max_lag):
-                out.append((part["variable"].iloc[0], p, "insufficient_rows", n, None, None, None))
+                out.append((*row, "insufficient_rows", n, None, None, None))
                 continue
-            ones = np.ones((n, 1))
-            small, full = np.hstack([ones, rows[:, 1 : p + 1]]), np.hstack([ones, rows[:, 1:]])
-            s0, r0 = ssr(small, rows[:, 0])
-            s1, r1 = ssr(full, rows[:, 0])
+            n, s0, r0, s1, r1, a, b = scan.solve()
             d1, d2 = r1 - r0, n - r1
-            if d1 <= 0 or d2 <= 0 or s1 <= 1e-12 * max(1.0, float(rows[:, 0] @ rows[:, 0])):
-                out.append((part["variable"].iloc[0], p, "degenerate", n, None, None, None))
+            size = float((scan.zero["y"][scan.valid] ** 2).sum())
+            if d1 <= 0 or d2 <= 0 or s1 <= 1e-12 * max(1.0, size):
+                out.append((*row, "degenerate", n, None, None, None))
                 continue
             f = max(0.0, (s0 - s1) / d1 / (s1 / d2))
-            one = np.hstack([ones, rows[:, 1:2]])
-            two = np.hstack([one, rows[:, [2 * p]]])
-            a, b = (ssr(m, rows[:, 0])[0] for m in (one, two))
-            out.append((part["variable"].iloc[0], p, "ok", n, f, f_tail(f, d1, d2), max(0.0, 1 - np.sqrt(b / a)) if n >= 10 and a > 0 else 0.0))
+            out.append((*row, "ok", n, f, f_tail(f, d1, d2), max(0.0, 1 - np.sqrt(max(b, 0.0) / a)) if n >= 10 and a > 0 else 0.0))
         return pd.DataFrame(out, columns=["variable", "lag", "status", "n", "f", "p", "contribution"]).astype({"f": "Float64", "p": "Float64", "contribution": "Float64"})
 
     tested = side_by_side(long, target, []).groupBy("variable").applyInPandas(test, "variable string, lag int, status string, n long, f double, p double, contribution double")

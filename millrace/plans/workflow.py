@@ -13,9 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import causality, joins, ranking, review, stages, validation
+from ..operators.preprocess import Frame
 from ..sources import outputs
+from ..sources.staging import forget, stored
 from . import validation as out_of_time
-from .screening import Config, Screening, retained, screen
+from .screening import Config, Screening, prepared, retained, screen
 
 BRANCHES = ("raw", "processed")
 
@@ -65,40 +67,45 @@ def formal(spark: SparkSession, folder: str) -> tuple[Config, str]:
     return replace(Config.from_json(outputs.load_config(spark, folder)), mode=now["about"]["mode"]), f"{folder}/{found['branch']}"
 
 
+def ready(wide: DataFrame, config: Config) -> tuple[Frame, DataFrame]:
+    """The prepared frame of a configuration and its stored long table."""
+    frame, long = prepared(wide, config)
+    return frame, stored(long)
+
+
 def enhanced(spark: SparkSession, wide: DataFrame, folder: str) -> str:
     """Model lift and rolling correlation of the confirmed branch, side by side with its ranking."""
     config, branch = formal(spark, folder)
-    s = screen(wide, config)
-    lift = causality.model_lift(s.long, config.target, s.best, config.max_lag, s.period).persist()
-    ranked = outputs.read_optional(spark, branch, "ranked_features")
-    version = outputs.publish({"model_lift_scores": lift, "rolling_corr_scores": s.rolling, "enhanced_validation_summary": stages.enhanced_summary(ranked, lift, s.rolling)}, f"{folder}/enhanced")
-    lift.unpersist()
-    s.release()
+    frame, long = ready(wide, config)
+    ranked, rolling = (outputs.read_optional(spark, branch, name) for name in ("ranked_features", "rolling_corr_scores"))
+    lift = stored(causality.model_lift(long, config.target, ranked, config.max_lag, frame.period))
+    version = outputs.publish({"model_lift_scores": lift, "rolling_corr_scores": rolling, "enhanced_validation_summary": stages.enhanced_summary(ranked, lift, rolling)}, f"{folder}/enhanced")
+    forget(lift, long, *frame.held)
     return version
 
 
 def granger(spark: SparkSession, wide: DataFrame, folder: str, max_lag: int | None = None) -> str:
     config, _ = formal(spark, folder)
-    s = screen(wide, config)
-    version = outputs.publish({"granger_tests": stages.granger_order(causality.granger(s.long, config.target, max_lag or config.max_lag, s.period))}, f"{folder}/granger")
-    s.release()
+    frame, long = ready(wide, config)
+    version = outputs.publish({"granger_tests": stages.granger_order(causality.granger(long, config.target, max_lag or config.max_lag, frame.period))}, f"{folder}/granger")
+    forget(long, *frame.held)
     return version
 
 
 def model(spark: SparkSession, wide: DataFrame, folder: str, most_features: int = 300) -> str:
     """A forest on lags around each variable's best, its importance by variable, and what it finds beyond the first ranks."""
     config, branch = formal(spark, folder)
-    s = screen(wide, config)
-    lags = {r["variable"]: r["lag"] for r in s.best.select("variable", "lag").collect()}  # a row a variable
+    frame, long = ready(wide, config)
+    ranked = outputs.read_optional(spark, branch, "ranked_features")
+    lags = {r["variable"]: r["lag"] for r in ranked.select("variable", "lag").collect()}  # a row a variable
     features = [(config.target, 1), *[(v, k) for v, lag in sorted(lags.items()) for k in validation.candidate_lags(lag, config.max_lag)]][:most_features]
-    frame = s.long.groupBy("t").pivot("variable", list(s.frame.variables)).agg(F.first("value", True))
-    rows = validation.lag_features(frame, features, s.period).join(frame.select("t", config.target), "t")
+    table = long.groupBy("t").pivot("variable", list(frame.variables)).agg(F.first("value", True))
+    rows = validation.lag_features(table, features, frame.period).join(table.select("t", config.target), "t")
     importance = validation.forest_importance(rows, [f"{v}__lag_{k}" for v, k in features], config.target)
-    ranked = outputs.read_optional(spark, branch, "ranked_features")
     found = stages.discovered(importance, ranked, max_lag=config.max_lag)
     tables = {"model_importance": importance, "model_variable_importance": validation.variable_importance(importance), "model_discovered_candidates": found, "discovery_candidates": stages.discovery_candidates(found, ranked, config.top_k)}
     version = outputs.publish(tables, f"{folder}/model")
-    s.release()
+    forget(long, *frame.held)
     return version
 
 
@@ -106,20 +113,19 @@ def causal_review(spark: SparkSession, wide: DataFrame, folder: str, controls: l
     """Conditional Granger tests of the review candidates, decisions and the final review order."""
     config, branch = formal(spark, folder)
     controls = controls or list(config.controls)
-    s = screen(wide, config)
+    frame, long = ready(wide, config)
     ranked = outputs.read_optional(spark, branch, "ranked_features")
     queue = review.review_candidates(ranked)
     if top_n:
         queue = queue.where(F.col("driver_rank") <= top_n)
-    tests = causality.conditional_granger(s.long, config.target, controls, max_lag or config.max_lag, s.period, min_rows=min_rows).persist()
+    tests = stored(causality.conditional_granger(long, config.target, controls, max_lag or config.max_lag, frame.period, min_rows=min_rows))
     key = F.struct(F.coalesce("q", F.lit(2.0)), F.coalesce("p", F.lit(2.0)), -F.coalesce("contribution", F.lit(0.0)), "lag")
     best = tests.groupBy("variable").agg(F.min_by("status", key).alias("conditional_status"), F.min_by("q", key).alias("conditional_q"), F.min_by("contribution", key).alias("predictive_contribution"), F.min_by("lag", key).alias("conditional_lag"))
     report = queue.join(best, "variable", "left").withColumn("decision", review.review_decision())
     level = F.when(F.col("strong_risk_count") > 0, "low").when(F.col("risk_count") > 1, "medium").otherwise("high")
     ordered = review.final_order(report.withColumn("data_priority", level))
     version = outputs.publish({"conditional_granger": tests, "causal_review_report": report, "final_review_summary": ordered}, f"{folder}/review")
-    tests.unpersist()
-    s.release()
+    forget(tests, long, *frame.held)
     return version
 
 
