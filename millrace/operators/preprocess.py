@@ -57,24 +57,43 @@ def standardize(long: DataFrame, targets: DataFrame | None = None) -> DataFrame:
     return long.join(stats, "variable").withColumn("value", scaled).drop("_m", "_s", "_in")
 
 
+def low_passed(t: np.ndarray, x: np.ndarray, tau_seconds: float) -> np.ndarray:
+    """The filter's path over known values, in blocks of so many time constants that their exponentials stay in range.
+
+    Inside a block each value is the carried one and the weighted inputs since, both decayed: a running sum.
+    """
+    out = np.array(x, float)
+    step = np.diff(t) / tau_seconds
+    gain = -np.expm1(-step)
+    age = np.concatenate([[0.0], np.cumsum(step)])
+    i = 1
+    while i < len(x):
+        j = int(np.searchsorted(age, age[i - 1] + 300, "right"))
+        if j <= i:  # one step of more than 300 time constants
+            out[i] = out[i - 1] + gain[i - 1] * (x[i] - out[i - 1])
+            i += 1
+            continue
+        grown = np.exp(age[i:j] - age[i - 1])
+        out[i:j] = (out[i - 1] + np.cumsum(gain[i - 1 : j - 1] * x[i:j] * grown)) / grown
+        i = j
+    return out
+
+
 def lowpass(long: DataFrame, tau_minutes: float = LOWPASS_TAU_MINUTES, keys: list[str] = ()) -> DataFrame:
-    """First-order low-pass: y += (1 - exp(-dt / tau)) (x - y) between known values, in each variable (and keys).
+    """First-order low-pass: y += (1 - exp(-dt / tau)) (x - y) between known values, in each variable (and keys, as segments).
 
-    A recurrence: each series runs in one task; the series are the parallel axis.
+    Each series (or segment of one) runs in one task; they are the parallel axis.
     """
     names = long.columns
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("t", kind="stable")
-        out, y, last = [], None, 0
-        for t, x in zip(part["t"], part["value"], strict=True):
-            if x is None or math.isnan(x):
-                out.append(np.nan)
-                continue
-            y = x if y is None else y + (1 - math.exp(-((t - last) / 60) / tau_minutes)) * (x - y)
-            last = t
-            out.append(y)
-        part["value"] = pd.array(out, "Float64").fillna(pd.NA)
+        value = part["value"].to_numpy(float)
+        known = ~np.isnan(value)
+        out = np.full(len(part), np.nan)
+        if known.any():
+            out[known] = low_passed(part["t"].to_numpy(float)[known], value[known], tau_minutes * 60)
+        part["value"] = out
         return part[names]
 
     out = long.groupBy("variable", *keys).applyInPandas(run, long.schema)

@@ -347,7 +347,7 @@ ORACLE_SQL: dict[str, str] = {
     ),
     "review_rollup": "WITH f AS (SELECT concat('v', p_partkey % 50) AS variable, min(p_partkey * 60) AS tested_from, max(p_partkey * 60 + 30) AS tested_to FROM part WHERE p_partkey % 11 <> 0 GROUP BY 1) SELECT u.variable, tested_from, tested_to, 15 AS sampling_minutes, CAST(NULL AS BIGINT) AS max_used_lag, CAST(NULL AS INT) AS partly, true AS sampling_minutes_consistent, false AS max_used_lag_consistent, false AS partly_consistent FROM (SELECT DISTINCT concat('v', p_partkey % 60) AS variable FROM part) u LEFT JOIN f USING (variable)",
     "screening": q(
-        K, GAPPED, SCREEN_FRAME, gap_pairs("hh", "pairs"), S, B, PEAKS, DIAG.replace("FROM h", "FROM g"),
+        K.replace("median(value) AS value FROM ev", "round(median(value), 6) AS value FROM ev"), GAPPED, SCREEN_FRAME, gap_pairs("hh", "pairs"), S, B, PEAKS, DIAG.replace("FROM h", "FROM g"),
         f"c AS (SELECT x.t, x.side, x.variable, x.value AS x, y.value AS y, z.value AS z FROM hh x JOIN hh y ON y.t = x.t AND y.variable = '{TARGET}' JOIN hh z ON z.t = x.t AND z.variable = '{CONTROL}' WHERE x.variable NOT IN ('{TARGET}', '{CONTROL}') AND x.value IS NOT NULL AND y.value IS NOT NULL AND z.value IS NOT NULL)",
         "fit AS (SELECT variable, regr_slope(x, z) AS bx, regr_intercept(x, z) AS ax, regr_slope(y, z) AS cy, regr_intercept(y, z) AS ay FROM c GROUP BY 1)",
         "res AS (SELECT t, side, c.variable, x - ax - bx * z AS x, y - ay - cy * z AS y FROM c JOIN fit USING (variable))",

@@ -533,8 +533,8 @@ def boosted_folds(spark, sf):
 
 
 def screened(spark, sf):
-    """A screen of the hourly frame without the excluded windows; nothing is interpolated, as ranks of values a rounding apart would differ from machine to machine."""
-    wide = stored(frames.hourly_wide(spark, sf))
+    """A screen of the hourly frame without the excluded windows; rounded and not interpolated, as ranks of values a rounding apart would differ from machine to machine."""
+    wide = stored(r6(frames.hourly_wide(spark, sf), *VARIABLES))
     config = Config(TARGET, MAX_LAG, controls=(CONTROL,), capacity=CONTROL, exclude_windows=tuple(frames.windows(wide)), interpolate_limit=0)
     return screen(wide, config), config
 

@@ -74,6 +74,17 @@ def test_lowpass_matches_a_loop(spark):
     assert values(preprocess.lowpass(long_of(spark, {"x": x}), 5.0), "x") == [1.0, None, pytest.approx(second), pytest.approx(second + b * (2 - second))]
 
 
+@pytest.mark.parametrize("tau", [0.01, 1.0, 30.0, 1e6])
+def test_lowpass_in_blocks_matches_a_loop(tau):
+    rng = np.random.default_rng(3)
+    t = np.cumsum(rng.choice([1, 1, 1, 5, 900], 3000)).astype(float)
+    x = rng.normal(size=3000)
+    want = [x[0]]
+    for i in range(1, 3000):
+        want.append(want[-1] + (1 - math.exp(-(t[i] - t[i - 1]) / tau)) * (x[i] - want[-1]))
+    assert np.allclose(preprocess.low_passed(t, x, tau), want, rtol=1e-9, atol=1e-10)
+
+
 def test_causal_steps_do_not_see_the_future(spark):
     x = [float(i * i % 17) for i in range(40)]
     short, full = (preprocess.transform(long_of(spark, {"x": v}), "detrend_diff", causal=True) for v in (x[:30], x))
