@@ -1,11 +1,16 @@
-"""The corpus pipeline: each stage calls one operator of millrace.llm and hands its rows to the next."""
+"""The corpus pipeline: each stage calls one operator of millrace.llm and hands its rows to the next.
+
+Defined results: an empty table gives an empty result; null and empty texts weigh 0 and stay or go by the cut as others do,
+link with nothing, hold no entities, take no part in the mix (they have no words) and so are not packed; rows that repeat go or stay
+together in the first stage, of rows that link only those of the smallest doc_id stay, rows without doc_id never link.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import mixing, ngram_join, packing, pii, quality
-from millrace.llm.common import durable, read
+from millrace.llm.common import durable, forget, read
 from millrace.llm.queries import public_files
 
 
@@ -46,9 +51,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages applied to documents. Each one's table is deleted once the next is stored; the last but one stays, as the result reads it."""
     docs = read(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = durable(docs)
-    return docs
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        last, docs = docs, durable(stage(spark, docs, sf_dir))
+        if i:
+            forget(last)
+    return STAGES[-1][1](spark, docs, sf_dir)
