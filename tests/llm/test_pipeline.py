@@ -63,5 +63,29 @@ def test_stages(spark, corpus):
     assert corpus_pipeline.run(spark, sf).count() == len(packed)
 
 
+def test_odd_tables_pass_all_stages(spark, tmp_path):
+    """Nulls, repeated rows, clashing columns, one very long text; and an empty table."""
+    pytest.importorskip("public_tokenizers")
+    r = random.Random(2)
+    text = lambda n: " ".join(f"w{r.randrange(300)}" for _ in range(n))
+    rows = [(i, text(30), "en", f"s{i % 2}", 1, i) for i in range(40)] + [(40, None, None, None, None, 40), (41, "", "en", "s0", 0, 41), (None, text(20), "en", "s1", 1, 42), (43, text(60_000), "en", "s0", 1, 43)]
+    rows += [rows[3]] * 3
+    docs = spark.createDataFrame(rows, COLUMNS + ", _row long").selectExpr("*", "1 as gone", "2 as epochs", "3 as n_entities", "4 as copy")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(10)], "doc_id long, quality int, toxic int")
+    for name, table in (("odd", docs), ("none", docs.limit(0))):
+        folder = str(tmp_path / name)
+        table.write.parquet(f"{folder}/documents.parquet")
+        labels.write.parquet(f"{folder}/labels.parquet")
+        now = spark.read.parquet(f"{folder}/documents.parquet")
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, now, folder)
+            if i < 4:
+                assert out.columns == docs.columns
+            out.write.parquet(f"{folder}/stage{i}")
+            now = spark.read.parquet(f"{folder}/stage{i}")
+        found = {x["doc_id"] for x in now.collect()}
+        assert (found >= {43, 3, None} and not found & {40, 41}) if name == "odd" else not found
+
+
 def test_queries_are_registered():
     assert [q.split("_")[0] for q in QUERIES] == [f"op{i}" for i in (1, 2, 3, 4, 5, 6, 7, 8, 9, 10)]
