@@ -20,15 +20,19 @@ def average_rank(column: str, keys: list[str]):
     return F.rank().over(w.orderBy(column)) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, column)) - 1) / 2
 
 
-def lag_scores(long: DataFrame, target: str, max_lag: int, period: int, *, lags: list[int] | None = None, starts: list[int] = (), targets: DataFrame | None = None, rows: int | None = None) -> DataFrame:
+def lag_scores(long: DataFrame, target: str, max_lag: int, period: int, *, lags: list[int] | None = None, starts: list[int] = (), targets: DataFrame | None = None, rows: int | None = None, group: str | None = None) -> DataFrame:
     """variable, lag, n, pearson, spearman, r2s and the boundary flag; ranks are those of each lag's own pairs.
 
+    targets: the target's times (t) that count; group: a column of targets whose values are scored on their own.
     rows: a bound on the rows of a series, where it is known; else they are counted. Series that fit a task are scored in memory.
     """
     lags = list(range(-max_lag, max_lag + 1)) if lags is None else lags
     if (series.longest(long) if rows is None else rows) <= series.SERIES_ROWS:
-        return with_squares(series.series_scores(long, target, lags, period, list(starts), targets), max_lag)
-    return pair_scores(lagged_pairs(long, target, lags, period, list(starts), targets), ["variable", "lag"], max_lag)
+        return with_squares(series.series_scores(long, target, lags, period, list(starts), targets, group), max_lag)
+    pairs = lagged_pairs(long, target, lags, period, list(starts), targets)
+    if group is None:
+        return pair_scores(pairs, ["variable", "lag"], max_lag)
+    return pair_scores(pairs.join(targets.select("t", group), "t"), ["variable", group, "lag"], max_lag)
 
 
 def pair_scores(pairs: DataFrame, keys: list[str], max_lag: int) -> DataFrame:

@@ -66,10 +66,10 @@ def average_ranks(value: np.ndarray) -> np.ndarray:
     return (np.cumsum(counts) - (counts - 1) / 2)[value]
 
 
-def arrays(rows: DataFrame) -> DataFrame:
-    """variable, s: its known (t, value) in the order of t."""
+def arrays(rows: DataFrame, key: str = "variable") -> DataFrame:
+    """key, s: its known (t, value) in the order of t."""
     known = rows.where(F.col("value").isNotNull() & ~F.isnan("value"))
-    return known.groupBy("variable").agg(F.array_sort(F.collect_list(F.struct("t", "value"))).alias("s"))
+    return known.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("t", "value"))).alias("s"))
 
 
 def unpacked(column: pa.ListArray, at: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,13 +77,15 @@ def unpacked(column: pa.ListArray, at: int) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(flat.field(0), np.int64), np.asarray(flat.field(1), float)
 
 
-def series_scores(long: DataFrame, target: str, lags: list[int], period: int, starts: list[int] = (), targets: DataFrame | None = None) -> DataFrame:
-    """SCORES for every variable but the target and every lag with pairs; series of SERIES_ROWS at most."""
-    y = long.where(F.col("variable") == target)
-    if targets is not None:
-        y = y.join(targets.select("t"), "t", "left_semi")
-    one = arrays(y).select(F.col("s").alias("y"))
-    x = arrays(long.where(F.col("variable") != target)).crossJoin(F.broadcast(one))  # one series
+def series_scores(long: DataFrame, target: str, lags: list[int], period: int, starts: list[int] = (), targets: DataFrame | None = None, group: str | None = None) -> DataFrame:
+    """SCORES for every variable but the target and every lag with pairs; series of SERIES_ROWS at most.
+
+    targets: the target's times that count; with group, a column of targets, each of its few values is scored on its own.
+    """
+    y = long.where(F.col("variable") == target).select("t", "value")
+    y = y.withColumn("part_of", F.lit("")) if targets is None else y.join(targets.select("t", (F.lit("") if group is None else F.col(group)).alias("part_of")), "t")
+    one = arrays(y, "part_of").select("part_of", F.col("s").alias("y"))
+    x = arrays(long.where(F.col("variable") != target)).crossJoin(F.broadcast(one))  # one series, dealt to its groups
     spread = max(1, -(-len(lags) // LAGS_AT_ONCE))
     tasks = x.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
     if spread > 1:
@@ -92,14 +94,15 @@ def series_scores(long: DataFrame, target: str, lags: list[int], period: int, st
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            name, s, target_s, part = (batch.column(c) for c in ("variable", "s", "y", "part"))
+            name, s, target_s, part, of = (batch.column(c) for c in ("variable", "s", "y", "part", "part_of"))
             out: list[tuple] = []
             for i in range(batch.num_rows):
                 pair = Lagged(*unpacked(s, i), *unpacked(target_s, i), period, blocked)
-                out += [(name[i].as_py(), k, *pair.score(k)) for k in lags[part[i].as_py() :: spread]]
+                out += [(name[i].as_py(), k, *pair.score(k), of[i].as_py()) for k in lags[part[i].as_py() :: spread]]
             out = [row for row in out if row[2]]
-            columns = list(zip(*out, strict=True)) or [()] * 5
-            kinds = (pa.string(), pa.int32(), pa.int64(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["variable", "lag", "n", "pearson", "spearman"])
+            columns = list(zip(*out, strict=True)) or [()] * 6
+            kinds = (pa.string(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["variable", "lag", "n", "pearson", "spearman", "part_of"])
 
-    return tasks.select("variable", "s", "y", "part").mapInArrow(each, SCORES)
+    found = tasks.select("variable", "s", "y", "part", "part_of").mapInArrow(each, f"{SCORES}, part_of string")
+    return found.drop("part_of") if group is None else found.withColumnRenamed("part_of", group)

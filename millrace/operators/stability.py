@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,8 +24,7 @@ def regime_scores(long: DataFrame, target: str, capacity: str, max_lag: int, per
     if targets is not None:
         parts = parts.join(targets.select("t"), "t", "left_semi")
     others = long.where(F.col("variable") != capacity)
-    found = [lag_scores(others, target, max_lag, period, starts=list(starts), targets=parts.where(F.col("regime") == r), rows=rows).withColumn("regime", F.lit(r)) for r in REGIMES]
-    scores = reduce(DataFrame.unionByName, found)
+    scores = lag_scores(others, target, max_lag, period, starts=list(starts), targets=parts, rows=rows, group="regime")
     return best_lags(scores, ["variable", "regime"]).select("variable", "regime", "lag", "score", F.col("signed").alias("signed_corr"), "n")
 
 

@@ -148,9 +148,11 @@ def test_series_in_memory_and_by_windows_agree(spark, monkeypatch):
     long = long_of(spark, columns)
     keep = spark.createDataFrame([(t * 60,) for t in range(40, 170)], "t long")
     table = lambda: sorted((r["variable"], r["lag"], r["n"], *(None if r[c] is None else round(r[c], 9) for c in ("pearson", "spearman"))) for r in association.lag_scores(long, "y", 60, 60, starts=[1800, 7200], targets=keep).collect())
-    one = table()
+    parts = keep.withColumn("half", F.when(F.col("t") < 6000, "a").otherwise("b"))
+    halves = lambda: sorted((r["half"], r["variable"], r["lag"], r["n"], None if r["spearman"] is None else round(r["spearman"], 9)) for r in association.lag_scores(long, "y", 9, 60, targets=parts, group="half").collect())
+    one, two = table(), halves()
     monkeypatch.setattr(association.series, "SERIES_ROWS", 10)
-    assert one == table() and len(one) == 3 * 121
+    assert one == table() and len(one) == 3 * 121 and two == halves() and {x[0] for x in two} == {"a", "b"}
 
 
 def test_excluded_windows_block_lags_in_a_screen(spark):
